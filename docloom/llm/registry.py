@@ -7,7 +7,11 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["docloom.llm.tokens"]
+MODULES = [
+    "docloom.llm.tokens",
+    "docloom.llm.repetition",
+    "docloom.llm.source_lines",
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
