@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
     "docloom.llm.tokens",
+    "docloom.llm.near",
     "docloom.llm.packing",
     "docloom.llm.repetition",
     "docloom.llm.source_lines",
