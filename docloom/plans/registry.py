@@ -8,7 +8,9 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a `QUERIES` dict and a `SQL` dict.
-MODULES: list[str] = []
+MODULES: list[str] = [
+    "docloom.operators.changes",
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
