@@ -11,6 +11,7 @@ MODULES = [
     "docloom.llm.tokens",
     "docloom.llm.near",
     "docloom.llm.packing",
+    "docloom.llm.quality",
     "docloom.llm.repetition",
     "docloom.llm.source_lines",
 ]
