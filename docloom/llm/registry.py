@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = [
     "docloom.llm.tokens",
+    "docloom.llm.history",
+    "docloom.llm.main_body",
     "docloom.llm.near",
     "docloom.llm.packing",
     "docloom.llm.quality",
