@@ -15,6 +15,7 @@ MODULES = [
     "docloom.llm.packing",
     "docloom.llm.quality",
     "docloom.llm.repetition",
+    "docloom.llm.scans",
     "docloom.llm.source_lines",
 ]
 
