@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a `QUERIES` dict and a `SQL` dict.
 MODULES: list[str] = [
+    "docloom.plans.corpus",
+    "docloom.plans.operations",
     "docloom.operators.changes",
 ]
 
