@@ -26,7 +26,8 @@ def instant(text: Column) -> Column:
     zoned = F.when(trimmed.rlike(r"(Z|[+-]\d\d(:?\d\d)?)$") & trimmed.rlike(r"\d:\d\d"), trimmed).otherwise(
         F.concat(trimmed, F.when(trimmed.rlike(r":\d\d"), F.lit("Z")).otherwise(F.lit("T00:00:00Z")))
     )
-    return zoned.try_cast("timestamp")
+    # A bare time of day would be read as today's.
+    return F.when(trimmed.rlike(r"^[+-]?\d{4,}-"), zoned.try_cast("timestamp"))
 
 
 class ChangeCapture:
