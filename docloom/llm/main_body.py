@@ -184,6 +184,7 @@ def outside_lines(pages: DataFrame, meta: DataFrame, share: float = 0.01, least:
     its words stand on at least `least` pages and on the share `share` of the
     pages of its source.
     """
+    pages = pick(pages, doc_id="doc_id", text="text", title="title", links="links")
     known = meta.groupBy("doc_id").agg(
         F.max(F.lower(F.trim("doc_type")).rlike("^x?html?$")).alias("html"), F.coalesce(F.min("source_id"), F.lit("")).alias("source_id")
     ).where("html").select("doc_id", "source_id")

@@ -18,8 +18,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import pick, table
-from docloom.llm.words import let
+from docloom.llm.words import let, most_frequent
+from docloom.session import pick, settle, table
 
 TOKENIZER_DIR = os.environ.get("DOCLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the public pre-tokenisation pattern of byte-level BPE, with its \s spelt as the Unicode property.
@@ -134,11 +134,9 @@ class ByteBpe:
 
     def frequent(self, docs: DataFrame, text: str = "text") -> Column:
         """The ids of the `frequent_words` most frequent words, as a literal of that bounded size."""
+        counts = settle(self.word_table(docs, text).where(F.length("word") <= 64), "words")
         rows = (
-            self.word_table(docs, text)
-            .where(F.length("word") <= 64)
-            .orderBy(F.desc("n"), "word")
-            .limit(self.frequent_words)
+            most_frequent(counts, self.frequent_words)
             .repartition(8)
             .select("word", self.merge(F.col("word")).alias("ids"))
             .collect()

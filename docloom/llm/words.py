@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LETTERS = r"\p{L}+"
@@ -33,3 +33,20 @@ def grams(tokens: Column, n: int) -> Column:
 def lines(text: Column) -> Column:
     """The pieces between line feeds, blank ones included; null text has none."""
     return F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>"))
+
+
+def most_frequent(counts: DataFrame, k: int, word: str = "word", n: str = "n") -> DataFrame:
+    """The `k` rows of the largest `n` (ties by `word`).
+
+    A histogram over powers of two, 64 rows at most, first gives the power that
+    at least `k` rows reach; only those are sorted, so that no task sorts `k`
+    rows of each of very many partitions.
+    """
+    power = F.floor(F.log2(n)).cast("int")
+    hist = sorted(((r["p"], r["rows"]) for r in counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    least, seen = 0, 0
+    for p, rows in hist:
+        least, seen = p, seen + rows
+        if seen >= k:
+            break
+    return counts.where(F.col(n) >= 2**least).orderBy(F.desc(n), word).limit(k)

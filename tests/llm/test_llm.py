@@ -156,7 +156,7 @@ def test_lines_of_a_source(spark):
         docs.append((f"d{i}", "\n".join(body), "x"))
     docs += [("null", None, "x"), docs[0]]
     meta = [(f"d{i}", "s") for i in range(30)] * 2 + [("null", "s"), ("other", None)]
-    frame = spark.createDataFrame(docs, "doc_id string, text string, source_id string").select("doc_id", "text")
+    frame = spark.createDataFrame(docs, "doc_id string, text string, source_id string").withColumnRenamed("source_id", "gone")
     sources = spark.createDataFrame(meta, "doc_id string, source_id string")
     got = sorted((r.doc_id, r.line_no) for r in source_lines.repeated_lines(frame, sources).collect())
     assert got == sorted((f"d{i}", n) for i in range(9) for n in (2, 3))
@@ -298,7 +298,7 @@ def test_main_body(spark):
         meta += [(f"d{i}", "s", "HTML")] * 2
     pages += [("data", "a\nb", None, None), ("null", None, None, None), ("empty", "", None, None)]
     meta += [("data", "s", "csv"), ("null", "s", "html"), ("empty", "s", "htm")]
-    frame = spark.createDataFrame(pages, "doc_id string, text string, title string, links array<string>")
+    frame = spark.createDataFrame(pages, "doc_id string, text string, title string, links array<string>").withColumn("source_id", F.lit(1))
     known = spark.createDataFrame(meta, "doc_id string, source_id string, doc_type string")
     got = defaultdict(list)
     for r in main_body.outside_lines(frame, known).collect():
@@ -326,8 +326,8 @@ def test_scans(spark):
                 lines[1] = sentence.replace("their", "thcir")
             pages.append((f"r{d}", p, "\n".join(lines), 1))
     pages += [("plain", 1, "a risk-based order and a risk-based bank\nrisk-based market", 1), ("none", 1, None, 1)]
-    frame = spark.createDataFrame(pages, "doc_id string, page_number int, text string, kind int").drop("kind")
-    titles = spark.createDataFrame([("r0", None)], "doc_id string, title string")
+    frame = spark.createDataFrame(pages, "doc_id string, page_number int, text string, title int")
+    titles = spark.createDataFrame([("r0", None, "x")], "doc_id string, title string, text string")
     found = scans.findings(frame, titles)
     got = {(r.doc_id, r.page_number, r.line_no, r.kind) for r in found.collect()}
     want = {(f"r{d}", p, n, "furniture") for d in range(8) for p in (1, 2, 3) for n in (1, 7)}
