@@ -29,6 +29,8 @@ from docloom.session import pick, settle, table
 
 #: Symbols of a table, tables, rows of a variant that are still paired one by one.
 WIDTH, TABLES, FEW = 5, 9, 16
+#: Blocks that a variant is cut into where all its rows are compared.
+BLOCKS = 8
 SKETCH_BITS = 48
 #: A pair of similarity 0.7 disagrees in 0.15 of the sketch's bits; this many is 4.5 deviations above.
 SKETCH_SLACK = 4.5
@@ -174,7 +176,8 @@ def pair_stream(threshold: float, few: int):
     """A pass over rows sorted by variant: pairs to verify, and the variants that need the second pass.
 
     Output rows are `key, a, b`; a row without `b` says that the rows of `key`
-    were not all paired (a long variant, or one cut by the partition's border).
+    may not all have been paired: without `a` as well it is a long variant, with
+    `a` one at the partition's border.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,6 +194,10 @@ def pair_stream(threshold: float, few: int):
                 [pa.array(keys), pa.array(cls), pa.array([None] * len(keys), pa.int64())], ["key", "a", "b"]
             )
 
+        def long(key):
+            none = pa.array([None], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([key]), none, none], ["key", "a", "b"])
+
         def star(key, lead, rows):
             n, s, c = rows[2], rows[3], rows[1]
             ok = _alike(n, s, lead[2], lead[3], threshold) & (c != lead[1])
@@ -214,7 +221,7 @@ def pair_stream(threshold: float, few: int):
                 at = slice(begin[r], begin[r] + length[r])
                 lead = [x[begin[r]] for x in rows]
                 yield star(lead[0], lead, [x[at] for x in rows])
-                yield flags(np.array([lead[0]]), np.array([lead[1]]))
+                yield long(lead[0])
 
         for batch in batches:
             if not batch.num_rows:
@@ -241,13 +248,11 @@ def pair_stream(threshold: float, few: int):
             if len(held[0]) > few:
                 leader = [x[0] for x in held]
                 yield star(leader[0], leader, held)
-                yield flags(np.array([leader[0]]), np.array([leader[1]]))
+                yield long(leader[0])
                 held = None
         if held is not None:
             yield from closed(held)
             yield flags(held[0][:1], held[1][:1])
-        elif leader is not None:
-            yield flags(np.array([leader[0]]), np.array([leader[1]]))
 
     return run
 
@@ -267,9 +272,24 @@ def most_bits(threshold: float) -> float:
 
 
 def open_variants(stream: DataFrame) -> DataFrame:
-    """`key` of the variants whose rows were not all paired; a border flagged once was a whole variant."""
-    flagged = stream.where("b IS NULL").groupBy("key").agg(F.countDistinct("a").alias("parts"), F.count(F.lit(1)).alias("times"))
-    return flagged.where("parts > 1 OR times > 1").select("key")
+    """`key` of the variants whose rows were not all paired: the long ones, and those flagged at more borders than one."""
+    flagged = stream.where("b IS NULL").groupBy("key").agg(F.count("a").alias("borders"), F.count_if(F.col("a").isNull()).alias("long"))
+    return flagged.where("borders > 1 OR long > 0").select("key")
+
+
+def joined(rows: DataFrame, others: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of `rows` and `others` of one variant that sizes and sketches let be alike.
+
+    Both have `key, cls, n, sketch`; what `others` has comes out with a 2 at its
+    end. A variant is cut into blocks of `rows`, so that a hot one is spread over tasks.
+    """
+    second = others.select(*[F.col(c).alias("key" if c == "key" else f"{c}2") for c in others.columns])
+    return (
+        rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(BLOCKS)).cast("int"))
+        .join(second.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))), ["key", "block"])
+        .where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("sketch2"))) <= most_bits(threshold))
+        .where(F.least("n", "n2") >= threshold * F.greatest("n", "n2") - 1e-9)
+    )
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -356,15 +376,9 @@ class NearDuplicates:
             .agg(F.max_by("root", F.struct("m", "root")).alias("main"))
         )
         # All pairs of which not both are in the variant's largest group: the others against all its rows.
-        minor = spread.join(largest, "key").where("root <> main").select(
-            "key", F.col("cls").alias("c2"), F.col("n").alias("n2"), F.col("sketch").alias("s2"), F.col("root").alias("r2")
-        )
-        more = (
-            spread.join(minor, "key")
-            .where("root <> r2")
-            .where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("s2"))) <= most_bits(self.threshold))
-            .where(F.least("n", "n2") >= self.threshold * F.greatest("n", "n2") - 1e-9)
-            .select(F.least("cls", "c2").alias("a"), F.greatest("cls", "c2").alias("b"))
+        minor = spread.join(largest, "key").where("root <> main").select("key", "cls", "n", "sketch", "root")
+        more = joined(spread.select("key", "cls", "n", "sketch", "root"), minor, self.threshold).where("root <> root2").select(
+            F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")
         )
         return first.unionByName(self._verified(more))
 

@@ -215,6 +215,30 @@ def test_one_group_of_near_copies_may_be_most_of_the_rows(spark):
     assert near.NearDuplicates(docs.limit(0)).groups().count() == 0
 
 
+def template_texts(seed, many=40, linked=3):
+    """`many` texts that are mutually unlike, then near copies of the last `linked` of them."""
+    rng = random.Random(seed)
+    unlike = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(many)]
+    copies = [[*w[:30], "edited", *w[31:]] for w in unlike[-linked:]]
+    return [" ".join(w) for w in unlike + copies]
+
+
+def share_one_table(rows):
+    """As if all but one of the first table's symbols came from a part that all texts have in common, and the others from their own."""
+    own = F.transform(F.sequence(F.lit(0), F.lit(near.WIDTH * near.TABLES - 1)), lambda i: F.when(i < near.WIDTH - 1, i.cast("int")).otherwise(F.hash("cls", i)))
+    return rows.withColumn("symbols", F.when(F.col("cls").isNotNull(), own))
+
+
+def test_long_variant_inside_a_partition_loses_no_link(spark):
+    texts = template_texts(3)
+    found = near.NearDuplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    found.classes = share_one_table(found.classes)
+    groups = defaultdict(set)
+    for r in found.groups().collect():
+        groups[r.root].add(r.doc_id)
+    assert {frozenset(g) for g in groups.values()} == brute_groups(texts) == {frozenset({37, 40}), frozenset({38, 41}), frozenset({39, 42})}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)]
     got = {r.node: r.root for r in near.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
