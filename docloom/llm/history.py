@@ -108,7 +108,8 @@ class History:
         """Decide a batch of `features`: the accepted records are appended to the history."""
         self._pass(batch, batch.drop("symbols"))
 
-    def _pass(self, rows: DataFrame, undecided: DataFrame) -> None:
+    def _pass(self, rows: DataFrame, undecided: DataFrame, every: bool = False) -> None:
+        """With `every`, also all rows of the variants that the stream left open are compared, and no record is in doubt."""
         classes = settle(
             undecided.where("cls IS NOT NULL").groupBy("cls").agg(
                 F.min("ord").alias("first"), *[F.first(c).alias(c) for c in ("n", "sketch", "pivots", "members", "balls")]
@@ -135,20 +136,25 @@ class History:
         # Links within the batch, among the records that the history leaves.
         alive = keyed.join(left.groupBy("cls").agg(F.min("ord").alias("o")), "cls").select("key", F.col("o").alias("ord"), "cls", "n", "sketch")
         stream = settle(near._streamed(alive, self.threshold, self.few), "stream")
-        pairs = stream.where("b IS NOT NULL").select(F.col("a").alias("c"), F.col("b").alias("other")).distinct()
-        linked = self._verified(pairs, classes, classes)
-        links = settle(linked.unionByName(linked.select(F.col("other").alias("c"), F.col("c").alias("other"))), "links")
+        pairs = stream.where("b IS NOT NULL").select(F.col("a").alias("c"), F.col("b").alias("other"))
         open_keys = near.open_variants(stream)
         unsure = None
         if not open_keys.isEmpty():
             lead = alive.join(open_keys, "key", "left_semi")
-            firsts = lead.groupBy("key").agg(F.min("ord").alias("lead"))
-            unsure = lead.join(firsts, "key").where("ord > lead").select("cls").distinct()
+            if every:
+                more = near.joined(lead, lead, self.threshold).where("cls < cls2")
+                pairs = pairs.unionByName(more.select(F.col("cls").alias("c"), F.col("cls2").alias("other")))
+            else:
+                firsts = lead.groupBy("key").agg(F.min("ord").alias("lead"))
+                unsure = lead.join(firsts, "key").where("ord > lead").select("cls").distinct()
+        linked = self._verified(pairs.distinct(), classes, classes)
+        links = settle(linked.unionByName(linked.select(F.col("other").alias("c"), F.col("c").alias("other"))), "links")
         status, waiting = self._resolve(left, links, unsure)
         self._accept(rows.join(status.where("state = 1").select("ord"), "ord", "left_semi"))
         if waiting:
-            # Members of variants too long to be paired: the accepted are history by now, the rest is a batch of its own.
-            self._pass(rows, undecided.join(status.where("state = 0").select("ord"), "ord", "left_semi"))
+            # Members of variants too long to be paired: the accepted are history by now, near copies of the leaders
+            # are gone, and the rest is a batch of its own, of which all pairs are compared.
+            self._pass(rows, undecided.join(status.where("state = 0").select("ord"), "ord", "left_semi"), every=True)
 
     def _resolve(self, left: DataFrame, links: DataFrame, unsure: DataFrame | None) -> tuple[DataFrame, int]:
         """`ord, state`: 1 accepted, 2 a duplicate of one accepted before it in the batch, 0 to be seen again; and how many of those.

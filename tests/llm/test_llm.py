@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import history, main_body, near, packing, quality, repetition, scans, source_lines, tokens
+from docloom.session import settle
 
 WORDS = [f"{a}{b}" for a in ("ka", "mo", "ti", "re", "su", "no", "la") for b in ("ri", "to", "na", "be", "zu", "fi", "mi")]
 
@@ -279,6 +280,17 @@ def test_batches_equal_one_by_one(spark, few):
     assert {r.doc_id: r.duplicate_type for r in got} == want
 
 
+def test_copies_of_a_record_that_leads_no_long_variant(spark):
+    texts = template_texts(3)
+    frame = spark.createDataFrame([(f"d{i}", 1, i, None, t) for i, t in enumerate(texts)], "doc_id string, batch_no int, seq_no bigint, url string, text string")
+    own = F.transform("balls", lambda key, i: F.when(i == 0, F.lit(7).cast("bigint")).otherwise(F.xxhash64("cls", i)))
+    rows = settle(history.features(frame).drop("batch_no").withColumn("balls", own))
+    known = history.History(spark)
+    known.check(rows)
+    assert {r.doc_id: r.duplicate_type for r in known.verdicts(rows).collect()} == {"d40": "near", "d41": "near", "d42": "near"}
+    known.close()
+
+
 # Problem 1
 
 
