@@ -356,14 +356,20 @@ class NearDuplicates:
         sets = settle(texts.select("cls", shingles(F.col("text")).alias("grams")), "sets")
         return settle(verify(pairs, sets, self.threshold), "links")
 
-    def links(self) -> DataFrame:
-        """`a, b, similarity`: links between classes that connect every group, stars for long variants."""
+    def links(self, every: bool = False) -> DataFrame:
+        """`a, b, similarity`: links between classes that connect every group, stars for long variants; with `every`, all links."""
         rows = variants(self.classes)
         stream = settle(_streamed(rows, self.threshold, self.few), "candidates")
         first = self._verified(stream.where("b IS NOT NULL"))
         borders = open_variants(stream)
         if borders.isEmpty():
             return first
+        if every:
+            # All pairs of the long variants that the stars don't hold.
+            spread = settle(rows.join(borders, "key", "left_semi").select("key", "cls", "n", "sketch"), "long")
+            more = joined(spread, spread, self.threshold).where("cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
+            done = stream.where("b IS NOT NULL").select("a", "b")
+            return first.unionByName(self._verified(more.distinct().join(done, ["a", "b"], "left_anti")))
         roots = components(first).withColumnRenamed("node", "cls")
         spread = (
             rows.join(borders, "key", "left_semi")
@@ -382,15 +388,16 @@ class NearDuplicates:
         )
         return first.unionByName(self._verified(more))
 
-    def groups(self) -> DataFrame:
+    def groups(self, every: bool = True) -> DataFrame:
         """`doc_id, root, duplicate_of, similarity, n_links`: one row for each record of a group.
 
         `duplicate_of` is the smallest `doc_id` of the group (null for that record
         itself), `similarity` the largest of the record's links (1 for a set that
-        occurs again), `n_links` the verified links of its class. Records that are
+        occurs again), `n_links` the verified links of its class. Without `every`,
+        these two only count the links that connect the groups. Records that are
         like no other, and texts of under three words, have no row.
         """
-        links = self.links()
+        links = self.links(every)
         self.edges = links
         roots = components(links)
         ends = links.select(F.col("a").alias("cls"), "similarity").unionByName(links.select(F.col("b").alias("cls"), "similarity"))
@@ -415,7 +422,7 @@ class NearDuplicates:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of records in the same group, as the statement of the problem asks."""
-    groups = settle(NearDuplicates(table(spark, sf_dir, "pdf_results")).groups().select("root", "doc_id"), "members")
+    groups = settle(NearDuplicates(table(spark, sf_dir, "pdf_results")).groups(every=False).select("root", "doc_id"), "members")
     a = groups.select("root", F.col("doc_id").alias("doc_id_a"))
     b = groups.select("root", F.col("doc_id").alias("doc_id_b"))
     return a.join(b, "root").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()

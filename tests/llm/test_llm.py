@@ -240,6 +240,16 @@ def test_long_variant_inside_a_partition_loses_no_link(spark):
     assert {frozenset(g) for g in groups.values()} == brute_groups(texts) == {frozenset({37, 40}), frozenset({38, 41}), frozenset({39, 42})}
 
 
+def test_links_inside_a_hot_group_are_counted(spark):
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(90)]
+    texts = [" ".join([*base[:i], f"word{i}", *base[i + 1 :]]) for i in range(3, 87, 3)]
+    sets = [shingle(t) for t in texts]
+    alike = [[similar(a, b) for j, b in enumerate(sets) if i != j] for i, a in enumerate(sets)]
+    rows = near.NearDuplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).groups().collect()
+    assert {r.doc_id: (r.n_links, round(r.similarity, 9)) for r in rows} == {i: (sum(x >= 0.7 for x in s), round(max(s), 9)) for i, s in enumerate(alike)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)]
     got = {r.node: r.root for r in near.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
