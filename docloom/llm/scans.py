@@ -26,6 +26,8 @@ WORD = r"[\p{L}\p{N}@$|](?:[\p{L}\p{N}@$|!]*[\p{L}\p{N}@$|])?"
 #: Characters that scans confuse, each with the one that stands for all of them, and pairs read as one.
 ALIKE = ("01l!|5$@9efb6", "oiiiissagcthg")
 PAIRS = (("rn", "m"), ("ri", "n"), ("vv", "w"), ("ci", "d"), ("ii", "u"), ("in", "m"))
+#: Confused as well, but without a group: of each only these two stand for each other.
+ALSO = ("ef", "fe")
 CUTS = "-¬‐­"
 _NUMBER = re.compile(r"^\W*(?:(page|p\.?|ukurasa|uk\.?)\s*)?([\dlIOo]{1,5}|[ivxl]{1,6})(?:\s*(of|/|ya)\s*[\dlIOo]{1,5})?\W*$", re.I)
 _FIGURE = re.compile(r"^(?=.*\d)(?=.*[lIOo])[\dlIOo]+$")
@@ -232,7 +234,7 @@ def weighted_distance(wrong: str, right: str) -> float:
             if here == inf:
                 continue
             if i < len(a) and j < len(b):
-                cost = 0.0 if a[i] == b[j] else 0.3 if fa[i] == fb[j] else 1.0
+                cost = 0.0 if a[i] == b[j] else 0.3 if fa[i] == fb[j] or a[i] + b[j] in ALSO else 1.0
                 d[i + 1][j + 1] = min(d[i + 1][j + 1], here + cost)
             if i < len(a):
                 d[i + 1][j] = min(d[i + 1][j], here + 1)

@@ -382,3 +382,9 @@ def test_scans(spark):
     text = {r.doc_id: r.text for r in scans.repaired_text(frame, found).collect()}
     assert "thcir" not in text["r0"] and "an order was sold" in text["r0"] and "Page 2" not in text["r0"] and text["none"] == ""
     assert scans.findings(frame.limit(0), titles).count() == 0
+
+
+def test_e_read_as_f(spark):
+    words = spark.createDataFrame([("survey", 60), ("survfy", 2), ("threshold", 60), ("thrfshold", 1), ("margin", 60), ("margins", 1)], "word string, n bigint")
+    got = {r.word: r.repaired for r in scans.corrections(words, words).collect()}
+    assert got == {"survfy": "survey", "thrfshold": "threshold"}
