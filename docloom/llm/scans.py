@@ -292,8 +292,8 @@ def findings(pages: DataFrame, titles: DataFrame, top_words: int = 20000, freque
     titles = pick(titles, doc_id="doc_id", title="title")
     counts = settle(lexicon(pages), "lexicon")
     sure = counts.where(~F.col("word").rlike(r"[^\p{L}]")).where(F.col("n") >= frequent)
-    # A frequent word may still be a frequent misreading of a far more frequent one.
-    doubtful = corrections(sure.where(F.length("word") >= 2), sure, ratio=60, most_deletes=0).select("word")
+    # A frequent word may still be a frequent misreading of a far more frequent one, by the same judgement as a rare one.
+    doubtful = corrections(sure.where(F.length("word") >= 2), sure).select("word")
     top = most_frequent(sure.join(doubtful, "word", "left_anti"), top_words).collect()
     known = frozenset(r["word"] for r in top)
     one_title = titles.groupBy("doc_id").agg(F.min("title").alias("title"))

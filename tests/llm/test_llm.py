@@ -388,3 +388,12 @@ def test_e_read_as_f(spark):
     words = spark.createDataFrame([("survey", 60), ("survfy", 2), ("threshold", 60), ("thrfshold", 1), ("margin", 60), ("margins", 1)], "word string, n bigint")
     got = {r.word: r.repaired for r in scans.corrections(words, words).collect()}
     assert got == {"survfy": "survey", "thrfshold": "threshold"}
+
+
+def test_frequent_misreadings_are_found_like_rare_ones(spark):
+    for times in (1, 25):
+        pages = [("r", p, "the value of the fund and the value of the bank\n" * 15, 1) for p in range(1, times + 1)]
+        pages += [("w", p, "the bank and\nthe valiie of the fund\nof the bank", 1) for p in range(1, times + 1)]
+        frame = spark.createDataFrame(pages, "doc_id string, page_number int, text string, title int")
+        found = scans.findings(frame, spark.createDataFrame([], "doc_id string, title string")).where("kind = 'misread'").collect()
+        assert {(r.doc_id, r.page_number, r.word, r.repaired) for r in found} == {("w", p, "valiie", "value") for p in range(1, times + 1)}
