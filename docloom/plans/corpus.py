@@ -50,25 +50,38 @@ def doc_lengths(spark, sf_dir):
 
 
 def risk_levels(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", rules.risk_level(F.substring("text", 1, 3000)).alias("risk"))
+    return _docs(spark, sf_dir).select("doc_id", rules.risk_level(F.col("text")).alias("risk"))
 
 
 def product_tags(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(rules.product_types(F.substring("text", 1, 3000)), ",").alias("products"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(rules.product_types(F.col("text")), ",").alias("products"))
 
 
 def persona_tags(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(rules.personas(F.substring("text", 1, 3000)), ",").alias("personas"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(rules.personas(F.col("text")), ",").alias("personas"))
+
+
+def _typed(rows: DataFrame, spark, sf_dir, source: str) -> DataFrame:
+    """`rows` with `source_id` and the institution type of their source (null if unknown)."""
+    sources = table(spark, sf_dir, "sources").groupBy("source_id").agg(F.min("institution_type").alias("institution_type"))
+    return rows.withColumn("source_id", F.col(source)).join(sources, "source_id", "left")
 
 
 def life_stages(spark, sf_dir):
-    docs = table(spark, sf_dir, "pdf_results").select("doc_id", F.substring("text", 1, 3000).alias("t"))
-    return docs.select("doc_id", rules.life_stage(F.col("t"), F.lit("cbk"), F.lit("bank")).alias("stage"))
+    docs = _typed(_docs(spark, sf_dir).select("doc_id", "text", "source"), spark, sf_dir, "source")
+    return docs.select("doc_id", rules.life_stage(F.col("text"), F.col("source_id"), F.col("institution_type")).alias("stage"))
 
 
 def relevance_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "pdf_results")
-    return docs.select("doc_id", F.round(rules.relevance(F.col("text"), F.lit("regulatory")), 3).alias("score"))
+    docs = _typed(_docs(spark, sf_dir).select("doc_id", "text", "source"), spark, sf_dir, "source")
+    return docs.select("doc_id", rules.relevance(F.col("text"), F.col("institution_type")).alias("score"))
+
+
+def document_tags(spark, sf_dir):
+    """All tags of each document at once, with its title before the text and its own source."""
+    docs = _typed(_docs(spark, sf_dir).select("doc_id", "text", "title", "source"), spark, sf_dir, "source")
+    made = rules.tags(F.col("text"), F.col("title"), F.lit(""), F.col("source_id"), F.col("institution_type"))
+    return docs.select("doc_id", made.alias("t")).select("doc_id", "t.*")
 
 
 def document_classes(spark, sf_dir):
@@ -158,7 +171,19 @@ def consecutive_lines(spark, sf_dir):
 
 _PICK = {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 QUERIES = _PICK
-_LOW = "lower(coalesce(substring(text, 1, 3000), ''))"
+_LOW = "lower(coalesce(text, ''))"
+_TYPED = "(SELECT d.doc_id, d.text, d.title, d.source AS source_id, s.institution_type FROM documents d LEFT JOIN sources s ON s.source_id = d.source)"
+
+
+def _members(column: str, names) -> str:
+    return f"{column} IN ({', '.join(repr(n) for n in names)})"
+
+
+_STAGE_EXTRA = {
+    k: f"CASE WHEN {_members('source_id', rules.STAGE_SOURCES[k])} THEN 3 ELSE 0 END + CASE WHEN {_members('institution_type', rules.STAGE_TYPES[k])} THEN 2 ELSE 0 END"
+    for k in rules.STAGE
+}
+_WEIGHT = "CASE institution_type " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in rules.AUTHORITY.items()) + " ELSE 0::DOUBLE END"
 
 
 def _in(low: str, words: str) -> str:
@@ -169,6 +194,23 @@ def _list(parts: list[str]) -> str:
     return f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), ',')"
 
 
+def _products(low: str) -> str:
+    return _list([f"CASE WHEN {_in(low, v)} >= 2 THEN '{k}' END" for k, v in rules.PRODUCTS.items()])
+
+
+def _personas(low: str) -> str:
+    return _list(
+        [
+            f"CASE WHEN (CASE WHEN {_in(low, rules.PERSONA_STRONG[k])} > 0 THEN 3 ELSE 0 END) + {_in(low, rules.PERSONA_WEAK[k])} >= 3 THEN '{k}' END"
+            for k in rules.PERSONA_STRONG
+        ]
+    )
+
+
+_MEASURED = r"""(SELECT *, length(t) AS n, len(regexp_extract_all(t, '\d+\.?\d*%?')) AS figures,
+len(list_filter(regexp_split_to_array(t, '[\s\p{Z}]+'), lambda x: x <> '')) AS words FROM (SELECT *, coalesce(text, '') AS t FROM """ + _TYPED + "))"
+_RELEVANCE = f"""greatest(0.0, least(1.0, round(0.5::DOUBLE + CASE WHEN n < 100 THEN -0.2 WHEN n > 300 THEN 0.1 ELSE 0.0 END
++ least({rules.sql_hits('lower(t)', rules.TERMS)} * 0.03::DOUBLE, 0.15) + {_WEIGHT} + CASE WHEN figures > 5 THEN 0.05 ELSE 0.0 END - CASE WHEN words < 20 THEN 0.15 ELSE 0.0 END, 3)))::DOUBLE"""
 SQL = {
     "docs_per_source": "SELECT source, count(*) AS docs, count(DISTINCT lang) AS langs FROM documents GROUP BY source",
     "content_hashes": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
@@ -179,27 +221,18 @@ SQL = {
     "doc_lengths": r"""SELECT doc_id, length(coalesce(text, ''))::BIGINT AS chars,
 len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> ''))::BIGINT AS words FROM documents""",
     "risk_levels": f"SELECT doc_id, {rules.sql_best(_LOW, rules.RISK, 'medium')} AS risk FROM documents",
-    "product_tags": f"SELECT doc_id, {_list([f'''CASE WHEN {_in(_LOW, v)} >= 2 THEN '{k}' END''' for k, v in rules.PRODUCTS.items()])} AS products FROM documents",
-    "persona_tags": "SELECT doc_id, coalesce(nullif(p, ''), 'general') AS personas FROM (SELECT doc_id, "
-    + _list(
-        [
-            f"CASE WHEN (CASE WHEN {_in(_LOW, rules.PERSONA_STRONG[k])} > 0 THEN 3 ELSE 0 END) + {_in(_LOW, rules.PERSONA_WEAK[k])} >= 3 THEN '{k}' END"
-            for k in rules.PERSONA_STRONG
-        ]
-    )
-    + " AS p FROM documents)",
-    "life_stages": f"SELECT doc_id, {rules.sql_best(_LOW, rules.STAGE, 'intermediate', {'beginner': '0', 'intermediate': '0', 'advanced': '3'})} AS stage FROM pdf_results",
+    "product_tags": f"SELECT doc_id, {_products(_LOW)} AS products FROM documents",
+    "persona_tags": f"SELECT doc_id, coalesce(nullif(p, ''), 'general') AS personas FROM (SELECT doc_id, {_personas(_LOW)} AS p FROM documents)",
+    "life_stages": f"SELECT doc_id, {rules.sql_best(_LOW, rules.STAGE, 'intermediate', _STAGE_EXTRA)} AS stage FROM {_TYPED}",
+    "document_tags": f"""SELECT doc_id, coalesce(nullif({_personas('c')}, ''), 'general') AS persona, {rules.sql_best('c', rules.STAGE, 'intermediate', _STAGE_EXTRA)} AS life_stage,
+{rules.sql_best('c', rules.RISK, 'medium')} AS risk_level, {_products('c')} AS product_type, {_RELEVANCE} AS relevance_score
+FROM (SELECT *, lower(coalesce(title, '') || '  ' || t) AS c FROM {_MEASURED})""",
     "document_classes": "SELECT doc_id, CASE "
     + " ".join(
         f"WHEN {_in('low', v)} > 0 THEN '{k}'" for k, v in rules.CLASSES.items()
     )
     + " ELSE 'other' END AS doc_class FROM (SELECT doc_id, lower(coalesce(title, '') || ' ' || coalesce(substring(text, 1, 500), '')) AS low FROM documents)",
-    "relevance_scores": r"""SELECT doc_id, round(greatest(0.0, least(1.0, round(0.5::DOUBLE + CASE WHEN n < 100 THEN -0.2 WHEN n > 300 THEN 0.1 ELSE 0.0 END
-+ least(hits * 0.03::DOUBLE, 0.15) + 0.15 + CASE WHEN figures > 5 THEN 0.05 ELSE 0.0 END - CASE WHEN words < 20 THEN 0.15 ELSE 0.0 END, 3))), 3) AS score
-FROM (SELECT doc_id, length(t) AS n, len(regexp_extract_all(t, '\d+\.?\d*%?')) AS figures,
-len(list_filter(regexp_split_to_array(t, '[\s\p{Z}]+'), lambda x: x <> '')) AS words, """
-    + rules.sql_hits("lower(t)", rules.TERMS)
-    + " AS hits FROM (SELECT doc_id, coalesce(text, '') AS t FROM pdf_results))",
+    "relevance_scores": f"SELECT doc_id, {_RELEVANCE} AS score FROM {_MEASURED}",
     "date_hints": r"""SELECT doc_id, coalesce(nullif(regexp_extract(h, '(\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4})', 1), ''),
 nullif(regexp_extract(h, '(?i)((?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4})', 1), ''), nullif(regexp_extract(h, '(\d{4})', 1), '')) AS date_hint
 FROM (SELECT doc_id, substring(text, 1, 200) AS h FROM pdf_results)""",
