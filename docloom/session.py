@@ -61,6 +61,38 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _at(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    target, fs = _at(spark, folder)
+    return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, written aside, then renamed, so that it is there whole or not at all; one that is there already is an error."""
+    target, fs = _at(spark, path)
+    aside, _ = _at(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(target) or not fs.rename(aside, target):
+        fs.delete(aside, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    target, fs = _at(spark, path)
+    data = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
+    finally:
+        data.close()
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rules, text
 from docloom.operators import catalog, chunk, dedup, html, monitor, tables, vector
-from docloom.operators.changes import ChangeCapture, due_documents, instant
+from docloom.operators.changes import ChangeCapture, ChangeLog, document_states, due_documents, instant, merge_states
 from docloom.plans import registry
 from docloom.sources import readers
 from docloom.streaming import ingest
@@ -140,23 +140,61 @@ def test_instants(spark):
 LOG = "doc_id string, date_scraped string, date_indexed string, content_hash string, arrived_at timestamp"
 
 
+def capture_of(spark, tmp_path, **options):
+    return ChangeCapture(ChangeLog(spark, f"file://{tmp_path}/log"), f"file://{tmp_path}/state", **options)
+
+
 def test_change_capture_replays_and_skips_nothing(spark, tmp_path):
-    rows = [(f"d{i}", "2025-01-01", None, f"h{i}", datetime(2025, 1, 1, 0, i)) for i in range(6)]
-    log = spark.createDataFrame(rows + rows[:2], LOG)
-    state = f"file://{tmp_path}/state"
-    first = ChangeCapture(log.where("arrived_at < '2025-01-01 00:03:00'"), state)
+    def lot(*names, at=datetime(2025, 1, 1)):
+        return spark.createDataFrame([(n, "2025-01-01", None, "h", at) for n in names], LOG)
+
+    taken = []
+
+    def noted(rows):
+        taken.append(sorted(r.doc_id for r in rows.select("doc_id").collect()))
+        return rows
+
+    log = ChangeLog(spark, f"file://{tmp_path}/log")
+    assert capture_of(spark, tmp_path).run() is None and capture_of(spark, tmp_path).state() is None
+    log.append(lot("d0", "d1", "d1", None))
+    first = capture_of(spark, tmp_path, lift=noted)
     plan = first.plan()
     first.process(*plan)  # fails before its commit
-    again = ChangeCapture(log, state)
+    log.append(lot("d2"))
+    again = capture_of(spark, tmp_path, lift=noted)
     assert again.plan() == plan  # the open plan is replayed as it stands
-    assert again.run() == 1
-    assert {r["_key"] for r in again.sink().collect()} == {"d0", "d1", "d2"}
+    assert again.run() == 1 and taken == [["d0", "d1", "d1"]] * 2
+    assert sorted(r.doc_id for r in again.state().collect()) == ["d0", "d1", "d1"]
     assert again.run() == 2 and again.run() is None
-    assert sorted(r["_key"] for r in again.sink().collect()) == [f"d{i}" for i in range(6)]
-    same_instant = log.unionByName(spark.createDataFrame([("d5", "2025-02-01", None, "new", datetime(2025, 1, 1, 0, 5))], LOG))
-    later = ChangeCapture(same_instant.unionByName(spark.createDataFrame([("d9", None, None, None, datetime(2025, 1, 2))], LOG)), state)
-    assert later.run() == 3
-    assert ChangeCapture(log.limit(0), f"file://{tmp_path}/empty").run() is None
+    # A null arrival, the same instant again, and a row of long ago come later: each is taken once.
+    log.append(lot("d0", at=None))
+    log.append(lot("d2"))
+    log.append(lot("d1", at=datetime(2024, 12, 31)))
+    last = capture_of(spark, tmp_path, lift=noted, segments_per_batch=2)
+    assert [last.run(), last.run(), last.run()] == [3, 4, None]
+    assert taken[2:] == [["d2"], ["d0", "d2"], ["d1"]]
+    assert sorted(r.doc_id for r in last.state().collect()) == ["d0", "d0", "d1", "d1", "d1", "d2", "d2"]
+    assert last.pieces() == [(1, 4)]  # four pieces of one batch were merged
+    last.prune()
+    log.append(lot("d7"))
+    assert last.run() == 5 and last.pieces() == [(1, 4), (5, 5)] and last.state().count() == 8
+
+
+def test_what_failed_is_replaced(spark, tmp_path):
+    log = ChangeLog(spark, f"file://{tmp_path}/log")
+    rows = spark.createDataFrame([("d1", 1)], "doc_id string, _position int").withColumnRenamed("_position", "v")
+    rows.write.parquet(f"{tmp_path}/log/rows/1")  # an append that failed before its ends were written
+    assert log.segments() == [] and log.append(rows) == 1 and log.segments() == [1]
+    assert log.append(rows.limit(0)) == 2
+    capture = capture_of(spark, tmp_path)
+    assert capture.run() == 1 and capture.run() is None and [r.v for r in capture.state().collect()] == [1]
+    with pytest.raises(FileExistsError):
+        capture.commit(1)
+
+
+def states_of(spark, rows):
+    log = spark.createDataFrame([(*r, 1, i) for i, r in enumerate(rows)], "doc_id string, date_scraped string, date_indexed string, content_hash string, _segment int, _position bigint")
+    return document_states(log)
 
 
 def test_due_documents(spark):
@@ -168,9 +206,24 @@ def test_due_documents(spark):
         ("changed", "2025-01-01", "2025-01-02", "h"), ("changed", "2025-01-05", None, "h2"), ("before", "2025-01-01", "2024-12-31", "h"),
         ("again", "2025-01-01", "2025-01-21T00:00:00Z", "h"), ("again", "2025-01-01", "2025-01-21T00:00:00Z", "h"),
     ]
-    log = spark.createDataFrame(rows, "doc_id string, date_scraped string, date_indexed string, content_hash string")
-    assert {r.doc_id for r in due_documents(log, runs).collect()} == {"failed", "never", "blank", "changed", "before"}
-    assert due_documents(log.limit(0), runs).count() == 0
+    states = states_of(spark, rows)
+    due = {"failed", "never", "blank", "changed", "before"}
+    assert {r.doc_id for r in due_documents(states, runs).collect()} == due
+    merged = merge_states(states)
+    assert merged.count() == 8 and {r.doc_id for r in due_documents(merge_states(merged.unionByName(merged)), runs).collect()} == due
+    assert due_documents(states.limit(0), runs).count() == 0
+
+
+def test_late_rows_change_what_is_due(spark, tmp_path):
+    runs = spark.createDataFrame([(1, datetime(2025, 1, 1), "success")], "run_id int, started_at timestamp, status string")
+    log = ChangeLog(spark, f"file://{tmp_path}/log")
+    capture = capture_of(spark, tmp_path, lift=document_states, merge=merge_states)
+    schema = "doc_id string, date_scraped string, date_indexed string, content_hash string"
+    wanted = [({"a", "b"}, [("a", "2025-01-02", None, "h"), ("b", "2025-01-02", None, "h")]), ({"b"}, [("a", "2025-01-01", "2025-01-01T12:00:00Z", "h")]), (set(), [("b", "2025-01-02", "2025-01-03", "h")])]
+    for due, rows in wanted:
+        log.append(spark.createDataFrame(rows, schema))
+        assert capture.run() is not None
+        assert {r.doc_id for r in due_documents(capture.state(), runs).collect()} == due
 
 
 def test_sources(spark, tmp_path):
