@@ -1,11 +1,16 @@
 """Problem 6: repair of text from scanned pages.
 
-Three passes. (1) The corpus gives a frequency lexicon of its words. (2) The
-pages of a record stream by in order; running headers, footers and page numbers
-are found by what recurs at the pages' edges, words cut at line ends are joined,
-and every word that isn't among the most frequent ones goes on as a suspect.
-(3) A symmetric-delete index over the lexicon gives the correction candidates of
-the suspects, a weighted edit distance with confusion pairs judges them.
+Four passes. (1) One scan of the corpus gives its pairs of neighbouring words
+with counts, and from them the frequency lexicon. (2) A symmetric-delete index
+over the lexicon gives, for each word, far more frequent words close by; a
+weighted edit distance judges them, with confusion pairs that are partly fixed
+and partly learned from these candidates. (3) The pages of a record stream by in
+order; running headers, footers and page numbers are found by what recurs at the
+pages' edges, words cut at line ends are joined, and words that aren't surely
+right go on with their neighbours. (4) The counts of the pairs that a candidate
+would make with these neighbours pick the repair, or speak against it.
+
+All thresholds are shares and ratios, so they mean the same for any corpus.
 """
 
 from __future__ import annotations
@@ -16,9 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from docloom.llm.words import most_frequent
+from docloom.llm.words import let
 from docloom.session import pick, settle, table
 
 #: A word may hold signs that stand for letters, not at its end if they are punctuation as well.
@@ -26,8 +30,16 @@ WORD = r"[\p{L}\p{N}@$|](?:[\p{L}\p{N}@$|!]*[\p{L}\p{N}@$|])?"
 #: Characters that scans confuse, each with the one that stands for all of them, and pairs read as one.
 ALIKE = ("01l!|5$@9efb6", "oiiiissagcthg")
 PAIRS = (("rn", "m"), ("ri", "n"), ("vv", "w"), ("ci", "d"), ("ii", "u"), ("in", "m"))
-#: Confused as well, but without a group: of each only these two stand for each other.
-ALSO = ("ef", "fe")
+#: Words of at least this share of all tokens, if they have no correction, are surely right: 1 / SURE words at most.
+SURE = 2e-5
+#: A correction must be so many times as frequent as the word.
+RATIO = 20
+#: A confusion is learned if it explains this share of the words with the wrong character, and so many words.
+LEARN_SHARE, LEARN_WORDS = 0.01, 5
+#: Cost of an edit: within a group of confusable characters, of a pair read as one, learned; any other costs 1.
+ALIKE_COST, PAIR_COST, LEARNED_COST, FURTHEST = 0.3, 0.4, 0.6, 0.95
+#: Folded words up to this length are indexed by their deletes, longer ones by their halves, which finds the same.
+DELETES_TO = 32
 CUTS = "-¬‐­"
 _NUMBER = re.compile(r"^\W*(?:(page|p\.?|ukurasa|uk\.?)\s*)?([\dlIOo]{1,5}|[ivxl]{1,6})(?:\s*(of|/|ya)\s*[\dlIOo]{1,5})?\W*$", re.I)
 _FIGURE = re.compile(r"^(?=.*\d)(?=.*[lIOo])[\dlIOo]+$")
@@ -50,12 +62,30 @@ def fold(word: str) -> str:
     return word
 
 
-def lexicon(pages: DataFrame) -> DataFrame:
-    """`word, n`: lower-case words of the corpus with their counts, combined before the shuffle."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    return pages.where("text IS NOT NULL").select(word.alias("word")).where(F.length("word") <= 40).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n")
+#: A capitalised word inside a sentence: a name, if its words mostly stand so.
+INSIDE = r"(?<=[\p{Ll}\p{N},] )\p{Lu}\p{Ll}+\b"
+
+
+def word_pairs(pages: DataFrame) -> DataFrame:
+    """`word, after, n, inside`: each lower-case word with the one after it (null at a page's end) and how often.
+
+    Counts are combined before the shuffle. Rows with `inside` count the word's
+    capitalised occurrences within sentences and have no `n`.
+    """
+    low = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    pairs = let(low, lambda a: F.transform(a, lambda w, i: F.struct(w.alias("word"), F.get(a, i + 1).alias("after"), F.lit(1).alias("n"), F.lit(0).alias("inside"))))
+    names = F.transform(
+        F.regexp_extract_all("text", F.lit(INSIDE), F.lit(0)),
+        lambda w: F.struct(F.lower(w).alias("word"), F.lit(None).cast("string").alias("after"), F.lit(0).alias("n"), F.lit(1).alias("inside")),
     )
+    rows = pages.where("text IS NOT NULL").select(F.explode(F.concat(pairs, names)).alias("r")).select("r.*")
+    return rows.groupBy("word", "after").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+
+
+def lexicon(pairs: DataFrame) -> DataFrame:
+    """`word, n, name`: counts of words, and whether at least half of them are capitalised within sentences."""
+    counts = pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).where("n > 0")
+    return counts.select("word", "n", (F.col("inside") * 2 >= F.col("n")).alias("name"))
 
 
 def roman(text: str) -> int | None:
@@ -103,6 +133,35 @@ def same_header(a: str, b: str) -> bool:
     return SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.85
 
 
+def header_groups(keys: list[str]) -> list[int]:
+    """For each key how many of the keys are the same header, itself included.
+
+    Equal keys are one; each further key is compared only with earlier heads of
+    groups that share runs of four characters with it, so that the work grows
+    with the pages and not with their pairs.
+    """
+    heads: list[str] = []
+    of: dict[str, int] = {}
+    posting: dict[str, list[int]] = {}
+    for key in dict.fromkeys(keys):
+        runs = {key[i : i + 4] for i in range(max(1, len(key) - 3))}
+        shared: dict[int, int] = {}
+        for run in runs:
+            for h in posting.get(run, ()):
+                shared[h] = shared.get(h, 0) + 1
+        met = next((h for h, _ in sorted(shared.items(), key=lambda x: -x[1]) if same_header(key, heads[h])), None)
+        if met is None:
+            met = len(heads)
+            heads.append(key)
+            for run in runs:
+                posting.setdefault(run, []).append(met)
+        of[key] = met
+    size: dict[int, int] = {}
+    for key in keys:
+        size[of[key]] = size.get(of[key], 0) + 1
+    return [size[of[key]] for key in keys]
+
+
 def furniture(pages: list[list[str]], numbers: list[int], title: str | None) -> set[tuple[int, int]]:
     """`(page index, line index)` of headers, footers and page numbers of one record."""
     out: set[tuple[int, int]] = set()
@@ -132,20 +191,20 @@ def furniture(pages: list[list[str]], numbers: list[int], title: str | None) ->
                 key = header_key(pages[p][i])
                 if len(key) >= 8:
                     keyed.append((p, i, key, pages[p][i]))
-        for p, i, key, line in keyed:
-            twins = sum(same_header(key, other) for q, _, other, _ in keyed if q != p)
+        kin = header_groups([key for _, _, key, _ in keyed])
+        for (p, i, key, line), twins in zip(keyed, kin):
             named = zone == 0 and numbers[p] > 1 and len(name) >= 12 and (same_header(key, name) or key.endswith(name[:40]))
             barred = zone == 0 and numbers[p] > 1 and re.match(r"^[A-Z][\w &'-]{2,40} \| \S.{8,}$", line.strip())
-            if twins >= 1 or named or barred:
+            if twins > 1 or named or barred:
                 out.add((p, i))
     return out
 
 
 def examine(known: frozenset[str]):
-    """The pass over pages sorted by record: rows `doc_id, page_number, line_no, kind, word, other`.
+    """The pass over pages sorted by record: rows `doc_id, page_number, line_no, kind, word, other, before, after`.
 
     `kind` is furniture, cut (`word` joined, `other` with its hyphen), figure, or
-    suspect (`word` is not among the most frequent words).
+    suspect (`word` is not surely right; with its neighbours).
     """
 
     def record(doc: str, rows: list[tuple[int, str]], title: str | None) -> Iterator[tuple]:
@@ -156,7 +215,7 @@ def examine(known: frozenset[str]):
         for p, text in enumerate(pages):
             for i, line in enumerate(text):
                 if (p, i) in gone:
-                    yield doc, numbers[p], i + 1, "furniture", None, None
+                    yield doc, numbers[p], i + 1, "furniture", None, None, None, None
                 elif line.strip():
                     body.append((p, i, line))
         skip = ""
@@ -170,31 +229,34 @@ def examine(known: frozenset[str]):
                 if right and (right.group()[0].islower() or bare[-2].isupper()):
                     left = tokens[-1]
                     joined = (left + right.group()).lower()
-                    yield doc, numbers[p], i + 1, "cut", joined, f"{left}-{right.group()}".lower() if bare[-1] in "-‐" else None
+                    yield doc, numbers[p], i + 1, "cut", joined, f"{left}-{right.group()}".lower() if bare[-1] in "-‐" else None, None, None
                     skip, last = right.group(), left
             if first and tokens and tokens[0] == first:
                 tokens = tokens[1:]
             if last and tokens and tokens[-1] == last:
                 tokens = tokens[:-1]
             # Lines without known words are no text that a scan garbled: figures alone, tables, codes.
-            sense = sum(t.lower() in known for t in tokens) >= 0.3 * len(tokens)
+            lows = [t.lower() for t in tokens]
+            letters = sum(map(len, lows))
+            sense = sum(len(t) for t in lows if len(t) > 1 and t in known) >= 0.15 * letters
             if not sense and not all(_PLAIN.match(t) for t in tokens):
                 continue
-            for token in set(tokens):
-                low = token.lower()
-                if low in known or len(token) > 24:
+            done = set()
+            for j, (token, low) in enumerate(zip(tokens, lows)):
+                if low in known or token in done:
                     continue
+                done.add(token)
                 if _FIGURE.match(token):
-                    yield doc, numbers[p], i + 1, "figure", low, None
+                    yield doc, numbers[p], i + 1, "figure", low, None, None, None
                 elif any(c.isalpha() for c in token) and len(token) >= 2:
-                    yield doc, numbers[p], i + 1, "suspect", low, token
+                    yield doc, numbers[p], i + 1, "suspect", low, token, lows[j - 1] if j else None, lows[j + 1] if j + 1 < len(lows) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, rows, title, ready = None, [], None, []
 
         def out():
             cols = list(zip(*ready))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            kinds = (pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 5)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], NAMES)
 
         for batch in batches:
@@ -216,11 +278,12 @@ def examine(known: frozenset[str]):
     return run
 
 
-NAMES = ["doc_id", "page_number", "line_no", "kind", "word", "other"]
+NAMES = ["doc_id", "page_number", "line_no", "kind", "word", "other", "before", "after"]
+SEEN = "doc_id string, page_number int, line_no int, kind string, word string, other string, before string, after string"
 
 
-def weighted_distance(wrong: str, right: str) -> float:
-    """Edit distance in which confusable characters, and pairs read as one, cost little."""
+def weighted_distance(wrong: str, right: str, learned: frozenset[str] = frozenset()) -> float:
+    """Edit distance in which confusable characters, and pairs read as one, cost little; `learned` has pairs wrong + right."""
     alike = str.maketrans(*ALIKE)
     a, b = wrong.lower(), right.lower()
     fa, fb = a.translate(alike), b.translate(alike)
@@ -234,7 +297,7 @@ def weighted_distance(wrong: str, right: str) -> float:
             if here == inf:
                 continue
             if i < len(a) and j < len(b):
-                cost = 0.0 if a[i] == b[j] else 0.3 if fa[i] == fb[j] or a[i] + b[j] in ALSO else 1.0
+                cost = 0.0 if a[i] == b[j] else ALIKE_COST if fa[i] == fb[j] else LEARNED_COST if a[i] + b[j] in learned else 1.0
                 d[i + 1][j + 1] = min(d[i + 1][j + 1], here + cost)
             if i < len(a):
                 d[i + 1][j] = min(d[i + 1][j], here + 1)
@@ -243,85 +306,147 @@ def weighted_distance(wrong: str, right: str) -> float:
             for x, y, fx, fy, step in ((i, j, fa, fb, (2, 1)), (j, i, fb, fa, (1, 2))):
                 if x + 2 <= len(fx) and y < len(fy) and pairs.get(fx[x : x + 2]) == fy[y]:
                     u, v = i + step[0], j + step[1]
-                    d[u][v] = min(d[u][v], here + 0.4)
+                    d[u][v] = min(d[u][v], here + PAIR_COST)
     return d[len(a)][len(b)]
 
 
-def deletes(folded: Column, most: int = 1) -> Column:
-    """The folded word and, from five characters on, all its variants with one character deleted."""
-    if not most:
-        return F.array(folded)
-    one = F.transform(
-        F.sequence(F.lit(1), F.length(folded)),
-        lambda i: F.concat(F.substring(folded, F.lit(1), i - 1), F.substring(folded, i + 1, F.length(folded))),
+def index_keys(folded: Column) -> Column:
+    """Keys of which two folded words that are one edit apart, or equal, have one in common.
+
+    The word and its variants with one character deleted, from three characters
+    on; for long words their first and last halves, cut at the places where those
+    of a word one character longer or shorter are cut.
+    """
+    n = F.length(folded)
+    one = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(folded, F.lit(1), i - 1), F.substring(folded, i + 1, n)))
+    cuts = F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2), F.floor((n + 1) / 2)).cast("array<int>"))
+    halves = F.concat(
+        F.transform(cuts, lambda c: F.concat(F.lit("<"), F.substring(folded, F.lit(1), c))),
+        F.transform(cuts, lambda c: F.concat(F.lit(">"), F.substring(folded, n - c + 1, c))),
+    )
+    return (
+        F.when(n < 3, F.array(folded))
+        .when(n < DELETES_TO, F.array_distinct(F.concat(F.array(folded), one)))
+        .when(n == DELETES_TO, F.array_distinct(F.concat(F.array(folded), one, halves)))
+        .otherwise(halves)
+    )
+
+
+def candidates(words: DataFrame, ratio: int = RATIO) -> DataFrame:
+    """`word, repaired, m`: words of the lexicon with the far more frequent ones whose folded forms are at most an edit away."""
+    keyed = words.where(F.length("word") >= 2).withColumn("key", F.explode(let(fold_column(F.col("word")), index_keys)))
+    right = keyed.where(~F.col("word").rlike(r"[^\p{L}]")).where(F.col("n") >= ratio)
+    right = right.select(F.col("word").alias("repaired"), F.col("n").alias("m"), "key")
+    met = keyed.join(right, "key").where((F.col("m") >= F.col("n") * ratio) & (F.abs(F.length("word") - F.length("repaired")) <= 2))
+    return met.where("word <> repaired").groupBy("word", "repaired").agg(F.max("m").alias("m"))
+
+
+def learned_confusions(met: DataFrame, words: DataFrame) -> frozenset[str]:
+    """Pairs wrong + right of characters, of which the wrong one makes so many rare words out of frequent ones.
+
+    For each pair, the words that one replacement of it turns into a candidate,
+    as a share of all words with the wrong character and a candidate-free or
+    corrected form alike. A pair of characters is learned once: there are as many
+    rows here as pairs of characters that the corpus confuses at all.
+    """
+    single = met.where((F.length("word") == F.length("repaired")) & (F.levenshtein("word", "repaired", 1) == 1) & (F.length("word") >= 5))
+    at = F.get(
+        F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.lit(1)) != F.substring("repaired", i, F.lit(1))), F.lit(0)
     )
-    return F.when(F.length(folded) >= 5, F.array_distinct(F.concat(F.array(folded), one))).otherwise(F.array(folded))
+    pairs = single.select("word", F.substring("word", at, F.lit(1)).alias("x"), F.substring("repaired", at, F.lit(1)).alias("y"))
+    found = pairs.groupBy("x", "y").agg(F.countDistinct("word").alias("found")).where(F.col("found") >= LEARN_WORDS)
+    with_x = words.where(F.length("word") >= 5).select(F.explode(F.array_distinct(F.split("word", ""))).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("all"))
+    kept = found.join(with_x, "x").where(F.col("found") >= LEARN_SHARE * F.col("all")).select(F.concat("x", "y"))
+    return frozenset(r[0] for r in kept.collect())
 
 
-@F.udf(T.DoubleType())
-def _distance(wrong, right):
-    return weighted_distance(wrong, right)
+def judged(met: DataFrame, learned: frozenset[str], furthest: float = FURTHEST) -> DataFrame:
+    """`met` with `distance`, where it is at most `furthest`."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = [weighted_distance(w, r, learned) for w, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            keep = pa.array([x <= furthest for x in far], pa.bool_())
+            made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(far, pa.float64())], [*batch.schema.names, "distance"])
+            yield made.filter(keep)
 
-def corrections(suspects: DataFrame, words: DataFrame, ratio: int = 20, furthest: float = 0.95, most_deletes: int = 1) -> DataFrame:
-    """`word, repaired, distance`: suspects with a far more frequent word of the lexicon close by.
+    return met.select("word", "repaired", "m").mapInArrow(run, "word string, repaired string, m bigint, distance double")
 
-    `suspects` has `word, n`. Both sides emit their folded form and its deletes;
-    where they meet they are candidates, judged by the weighted distance. The
-    best is the nearest, then the most frequent.
+
+def corrections(words: DataFrame, ratio: int = RATIO) -> DataFrame:
+    """`word, repaired, m, distance`: the candidates of each word of `words` (`word, n`) that the distance lets through."""
+    met = settle(candidates(words, ratio), "met")
+    return judged(met, learned_confusions(met, words))
+
+
+def in_context(suspects: DataFrame, fixes: DataFrame, pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """`suspects` with `repaired`: the nearest candidate, of equally near ones the one that its neighbours know best; null if there is none.
+
+    A word that mostly stands as a name is only taken for a misreading of a word
+    that does not if each of its neighbours is known beside the candidate.
     """
-    left = suspects.withColumn("variant", F.explode(deletes(fold_column(F.col("word")), most_deletes)))
-    right = words.where(F.length("word") >= 2).where(~F.col("word").rlike(r"[^\p{L}]")).select(
-        F.col("word").alias("repaired"), F.col("n").alias("m"), F.explode(deletes(fold_column(F.col("word")), most_deletes)).alias("variant")
+    names = counts.select("word", "name")
+    fixed = fixes.join(names, "word").join(names.select(F.col("word").alias("repaired"), F.col("name").alias("is_name")), "repaired")
+    fixed = fixed.withColumn("strict", F.col("name") & ~F.col("is_name"))
+    rivals = fixed.groupBy("word").agg(F.count(F.lit(1)).alias("rivals"))
+    tried = suspects.join(fixed.join(rivals, "word"), "word", "left")
+    # Only where there is a choice or a doubt do the neighbours have a say.
+    asks = F.col("strict") | (F.col("rivals") > 1)
+    tried = settle(
+        tried.withColumn("l", F.when(asks, F.xxhash64("before", "repaired"))).withColumn("r", F.when(asks, F.xxhash64("repaired", "after")))
+        .withColumn("l", F.when(F.col("before").isNotNull(), F.col("l"))).withColumn("r", F.when(F.col("after").isNotNull(), F.col("r"))),
+        "tried",
     )
-    met = left.join(right, "variant").where("word <> repaired AND m >= n * %d" % ratio).select("word", "n", "repaired", "m").distinct()
-    judged = met.withColumn("distance", _distance("word", "repaired")).where(F.col("distance") <= furthest)
-    best = judged.groupBy("word").agg(F.min_by(F.struct("repaired", "distance"), F.struct("distance", -F.col("m"), "repaired")).alias("b"))
-    return best.select("word", "b.repaired", "b.distance")
+    asked = tried.select(F.explode(F.array_compact(F.array("l", "r"))).alias("pair")).distinct()
+    seen = pairs.where("after IS NOT NULL").select(F.xxhash64("word", "after").alias("pair"), F.col("n").alias("times"))
+    known = settle(seen.join(asked, "pair", "left_semi").groupBy("pair").agg(F.sum("times").alias("times")), "contexts")
+    scored = tried.join(known.select(F.col("pair").alias("l"), F.col("times").alias("tl")), "l", "left").join(
+        known.select(F.col("pair").alias("r"), F.col("times").alias("tr")), "r", "left"
+    )
+    alone = F.col("before").isNull() & F.col("after").isNull()
+    backed = (F.col("before").isNull() | F.col("tl").isNotNull()) & (F.col("after").isNull() | F.col("tr").isNotNull()) & ~alone
+    support = F.coalesce("tl", F.lit(0)) + F.coalesce("tr", F.lit(0))
+    place = ["doc_id", "page_number", "line_no", "word", "other"]
+    fit = F.when(F.col("repaired").isNotNull() & (~F.col("strict") | backed), F.struct("repaired"))
+    best = F.min_by(fit, F.when(fit.isNotNull(), F.struct("distance", -support, -F.col("m"), "repaired")))
+    return scored.groupBy(*place).agg(best["repaired"].alias("repaired"))
 
 
-def findings(pages: DataFrame, titles: DataFrame, top_words: int = 20000, frequent: int = 20) -> DataFrame:
+def findings(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """`doc_id, page_number, line_no, kind, word, repaired`: what has to be repaired, one row for each place.
 
     `pages` has `doc_id, page_number, text`, `titles` has `doc_id, title`. Pages
     without text have no findings; of repeated rows of a page all count as pages.
-    `top_words` bounds the set that is sent to the tasks to pass over words that
-    are surely right; all others are looked up in the whole lexicon.
+    The words that are surely right (`SURE`) are sent to the tasks, which pass
+    over them; all others are looked up in the whole lexicon.
     """
     pages = pick(pages, doc_id="doc_id", page_number="page_number", text="text")
     titles = pick(titles, doc_id="doc_id", title="title")
-    counts = settle(lexicon(pages), "lexicon")
-    sure = counts.where(~F.col("word").rlike(r"[^\p{L}]")).where(F.col("n") >= frequent)
-    # A frequent word may still be a frequent misreading of a far more frequent one, by the same judgement as a rare one.
-    doubtful = corrections(sure.where(F.length("word") >= 2), sure).select("word")
-    top = most_frequent(sure.join(doubtful, "word", "left_anti"), top_words).collect()
-    known = frozenset(r["word"] for r in top)
+    pairs = settle(word_pairs(pages), "pairs")
+    counts = settle(lexicon(pairs), "lexicon")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    fixes = settle(corrections(counts.select("word", "n")), "fixes")
+    sure = counts.where(~F.col("word").rlike(r"[^\p{L}]")).where(F.col("n") >= max(2, SURE * total))
+    # 1 / SURE words at most.
+    known = frozenset(r["word"] for r in sure.join(fixes.select("word").distinct(), "word", "left_anti").select("word").collect())
     one_title = titles.groupBy("doc_id").agg(F.min("title").alias("title"))
     ordered = pages.join(one_title, "doc_id", "left").repartition("doc_id").sortWithinPartitions("doc_id", "page_number")
-    seen = settle(
-        ordered.select("doc_id", "page_number", "text", "title").mapInArrow(
-            examine(known), "doc_id string, page_number int, line_no int, kind string, word string, other string"
-        ),
-        "seen",
-    )
-    done = seen.where("kind = 'furniture'").select("doc_id", "page_number", "line_no", "kind", "word", F.lit(None).cast("string").alias("repaired"))
+    seen = settle(ordered.select("doc_id", "page_number", "text", "title").mapInArrow(examine(known), SEEN), "seen")
+    none = F.lit(None).cast("string")
+    done = seen.where("kind = 'furniture'").select("doc_id", "page_number", "line_no", "kind", "word", none.alias("repaired"))
     # Cut words: one word unless its parts are known as a compound more often than as one word.
     cuts = seen.where("kind = 'cut'")
     compound = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:-\p{L}+)+"), F.lit(0)))
     compounds = pages.where("text IS NOT NULL").select(compound.alias("other")).groupBy("other").agg(F.count(F.lit(1)).alias("as_two"))
-    whole = counts.withColumnRenamed("n", "as_one")
+    whole = counts.select("word", F.col("n").alias("as_one"))
     joined = cuts.join(whole, "word", "left").join(compounds, "other", "left").where(
         F.coalesce("as_two", F.lit(0)) <= F.coalesce("as_one", F.lit(0))
     ).select("doc_id", "page_number", "line_no", F.lit("hyphen").alias("kind"), "word", F.col("word").alias("repaired"))
-    suspects = seen.where("kind = 'suspect'")
-    distinct = suspects.select("word").distinct().join(counts, "word")
-    right = counts.where(F.col("n") >= frequent)
-    fixes = corrections(distinct, right)
+    suspects = seen.where("kind = 'suspect'").select("doc_id", "page_number", "line_no", "word", "other", "before", "after")
+    plain = in_context(suspects, fixes, pairs, counts)
     # Letters and signs mixed in a word are a misreading even where the word itself is unknown.
-    plain = suspects.join(fixes, "word", "left").withColumn(
-        "odd", F.col("other").rlike(r"^\p{Lu}?\p{Ll}*(?:[0159@$|!]{1,2}\p{Ll}+)+$") & F.col("other").rlike(r"\p{L}.*\p{L}.*\p{L}")
-    )
-    wrong = plain.where(F.col("repaired").isNotNull() | F.col("odd")).select(
+    odd = F.col("other").rlike(r"^\p{Lu}?\p{Ll}*(?:[01569@$|!]{1,2}\p{Ll}+)+$") & F.col("other").rlike(r"\p{L}.*\p{L}.*\p{L}")
+    wrong = plain.where(F.col("repaired").isNotNull() | odd).select(
         "doc_id", "page_number", "line_no", F.lit("misread").alias("kind"), "word", F.coalesce("repaired", "word").alias("repaired")
     )
     figures = seen.where("kind = 'figure'").select(

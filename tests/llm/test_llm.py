@@ -384,10 +384,42 @@ def test_scans(spark):
     assert scans.findings(frame.limit(0), titles).count() == 0
 
 
-def test_e_read_as_f(spark):
-    words = spark.createDataFrame([("survey", 60), ("survfy", 2), ("threshold", 60), ("thrfshold", 1), ("margin", 60), ("margins", 1)], "word string, n bigint")
-    got = {r.word: r.repaired for r in scans.corrections(words, words).collect()}
-    assert got == {"survfy": "survey", "thrfshold": "threshold"}
+def test_confusions_are_learned(spark):
+    bases = ["survey", "reserve", "tender", "ledger", "member", "center"]
+    words = [(w, 60) for w in bases] + [(w[0] + w[1:].replace("e", "f", 1), 2) for w in bases] + [("margin", 60), ("margins", 1), ("lender", 1)]
+    frame = spark.createDataFrame(words, "word string, n bigint")
+    got = {r.word: r.repaired for r in scans.corrections(frame).collect()}
+    assert got == {w[0] + w[1:].replace("e", "f", 1): w for w in bases}
+
+
+def test_index_keys_meet_wherever_the_edit_is(spark):
+    rng = random.Random(2)
+    rows = []
+    for n in (3, 5, 31, 32, 33, 34, 60):
+        word = "".join(rng.choice("abcdefgh") for _ in range(n))
+        for i in range(n):
+            rows += [(word, word[:i] + "z" + word[i + 1 :]), (word, word[:i] + word[i + 1 :]), (word, word[:i] + "z" + word[i:])]
+    frame = spark.createDataFrame([r for r in rows if min(map(len, r)) > 2], "a string, b string")
+    met = frame.select(F.arrays_overlap(scans.index_keys(F.col("a")), scans.index_keys(F.col("b"))).alias("m"))
+    assert {r.m for r in met.collect()} == {True}
+
+
+def test_headers_are_grouped_without_all_pairs():
+    keys = ["yearlyreportofthefund", "yearlyreportofthefunc", "other line entirely", "yearlyreportofthefund"] + [f"{i:04d}{i * 7919:012d}" for i in range(3000)]
+    sizes = scans.header_groups(keys)
+    assert sizes[:4] == [3, 3, 1, 3] and max(sizes[4:]) < 5
+
+
+def test_neighbours_pick_the_repair_and_spare_names(spark):
+    pages = [("a", p, "pay the bill of the bank before the end\nwe saw the hill of the town before the end\n" * 15, 1) for p in range(1, 4)]
+    pages += [("b", 1, "pay the bi1l of the bank before\nwe saw the bil1 of the town before\na share of Biil Motors in the town of the bank", 1)]
+    pages += [("c", 1, "the share that Biil Traders sold to the bank of the town", 1)]
+    pages += [("d", 1, "\n".join(["the hiil of the town before", "pay the hiil of the bank"]), 1)]
+    frame = spark.createDataFrame(pages, "doc_id string, page_number int, text string, title int")
+    found = scans.findings(frame, spark.createDataFrame([], "doc_id string, title string")).where("kind = 'misread'").collect()
+    got = {(r.doc_id, r.line_no): (r.word, r.repaired) for r in found}
+    assert got[("b", 1)] == ("bi1l", "bill") and ("b", 3) not in got and ("c", 1) not in got
+    assert got[("d", 1)][0] == "hiil" and got[("d", 1)][1] == "hill"
 
 
 def test_frequent_misreadings_are_found_like_rare_ones(spark):
