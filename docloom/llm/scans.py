@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,8 +36,8 @@ PAIRS = (("rn", "m"), ("ri", "n"), ("vv", "w"), ("ci", "d"), ("ii", "u"), ("in",
 SURE = 2e-5
 #: A correction must be so many times as frequent as the word.
 RATIO = 20
-#: A confusion is learned if it explains this share of the words with the wrong character, and so many words.
-LEARN_SHARE, LEARN_WORDS = 0.01, 5
+#: A confusion is learned if it explains this share of the words with the wrong character that may be misread, and so many words.
+LEARN_SHARE, LEARN_WORDS = 0.015, 4
 #: Cost of an edit: within a group of confusable characters, of a pair read as one, learned; any other costs 1.
 ALIKE_COST, PAIR_COST, LEARNED_COST, FURTHEST = 0.3, 0.4, 0.6, 0.95
 #: Folded words up to this length are indexed by their deletes, longer ones by their halves, which finds the same.
@@ -63,20 +65,24 @@ def fold(word: str) -> str:
 
 
 #: A capitalised word inside a sentence: a name, if its words mostly stand so.
-INSIDE = r"(?<=[\p{Ll}\p{N},] )\p{Lu}\p{Ll}+\b"
+INSIDE = r"\p{Lu}(?<=[\p{Ll}\p{N},] .)\p{Ll}+\b"
+
+
+def hashed(word: Column) -> Column:
+    return F.when(word.isNotNull(), F.xxhash64(word))
 
 
 def word_pairs(pages: DataFrame) -> DataFrame:
-    """`word, after, n, inside`: each lower-case word with the one after it (null at a page's end) and how often.
+    """`word, after, n, inside`: each lower-case word with a hash of the one after it (null at a page's end) and how often.
 
     Counts are combined before the shuffle. Rows with `inside` count the word's
     capitalised occurrences within sentences and have no `n`.
     """
     low = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    pairs = let(low, lambda a: F.transform(a, lambda w, i: F.struct(w.alias("word"), F.get(a, i + 1).alias("after"), F.lit(1).alias("n"), F.lit(0).alias("inside"))))
+    pairs = let(low, lambda a: F.transform(a, lambda w, i: F.struct(w.alias("word"), hashed(F.get(a, i + 1)).alias("after"), F.lit(1).alias("n"), F.lit(0).alias("inside"))))
     names = F.transform(
         F.regexp_extract_all("text", F.lit(INSIDE), F.lit(0)),
-        lambda w: F.struct(F.lower(w).alias("word"), F.lit(None).cast("string").alias("after"), F.lit(0).alias("n"), F.lit(1).alias("inside")),
+        lambda w: F.struct(F.lower(w).alias("word"), F.lit(None).cast("bigint").alias("after"), F.lit(0).alias("n"), F.lit(1).alias("inside")),
     )
     rows = pages.where("text IS NOT NULL").select(F.explode(F.concat(pairs, names)).alias("r")).select("r.*")
     return rows.groupBy("word", "after").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
@@ -140,20 +146,24 @@ def header_groups(keys: list[str]) -> list[int]:
     groups that share runs of four characters with it, so that the work grows
     with the pages and not with their pairs.
     """
+    if len(keys) < 2:
+        return [1] * len(keys)
     heads: list[str] = []
     of: dict[str, int] = {}
     posting: dict[str, list[int]] = {}
     for key in dict.fromkeys(keys):
-        runs = {key[i : i + 4] for i in range(max(1, len(key) - 3))}
+        # Keys that are alike have many runs in common, so the first ones do, and every second one to look up.
+        start = key[:48]
+        runs = [start[i : i + 4] for i in range(max(1, len(start) - 3))]
         shared: dict[int, int] = {}
-        for run in runs:
+        for run in runs[::2]:
             for h in posting.get(run, ()):
                 shared[h] = shared.get(h, 0) + 1
         met = next((h for h, _ in sorted(shared.items(), key=lambda x: -x[1]) if same_header(key, heads[h])), None)
         if met is None:
             met = len(heads)
             heads.append(key)
-            for run in runs:
+            for run in set(runs):
                 posting.setdefault(run, []).append(met)
         of[key] = met
     size: dict[int, int] = {}
@@ -237,6 +247,8 @@ def examine(known: frozenset[str]):
                 tokens = tokens[:-1]
             # Lines without known words are no text that a scan garbled: figures alone, tables, codes.
             lows = [t.lower() for t in tokens]
+            if all(low in known for low in lows):
+                continue
             letters = sum(map(len, lows))
             sense = sum(len(t) for t in lows if len(t) > 1 and t in known) >= 0.15 * letters
             if not sense and not all(_PLAIN.match(t) for t in tokens):
@@ -341,27 +353,41 @@ def candidates(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     return met.where("word <> repaired").groupBy("word", "repaired").agg(F.max("m").alias("m"))
 
 
-def learned_confusions(met: DataFrame, words: DataFrame) -> frozenset[str]:
-    """Pairs wrong + right of characters, of which the wrong one makes so many rare words out of frequent ones.
+def learned_confusions(met: DataFrame, names: DataFrame) -> frozenset[str]:
+    """Pairs wrong + right of characters that the corpus confuses.
 
-    For each pair, the words that one replacement of it turns into a candidate,
-    as a share of all words with the wrong character and a candidate-free or
-    corrected form alike. A pair of characters is learned once: there are as many
-    rows here as pairs of characters that the corpus confuses at all.
+    For each pair, the words that one replacement of it turns into a candidate, as
+    a share of the words with the wrong character that have any candidate; names
+    (`names` has `word`), which by chance are like other words, are left out. As
+    many rows are collected as the corpus has such pairs of characters.
     """
-    single = met.where((F.length("word") == F.length("repaired")) & (F.levenshtein("word", "repaired", 1) == 1) & (F.length("word") >= 5))
+    plain = met.where(F.length("word") >= 5).join(names.select("word"), "word", "left_anti")
+    single = plain.where((F.length("word") == F.length("repaired")) & (F.levenshtein("word", "repaired", 1) == 1))
     at = F.get(
         F.filter(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring("word", i, F.lit(1)) != F.substring("repaired", i, F.lit(1))), F.lit(0)
     )
     pairs = single.select("word", F.substring("word", at, F.lit(1)).alias("x"), F.substring("repaired", at, F.lit(1)).alias("y"))
     found = pairs.groupBy("x", "y").agg(F.countDistinct("word").alias("found")).where(F.col("found") >= LEARN_WORDS)
-    with_x = words.where(F.length("word") >= 5).select(F.explode(F.array_distinct(F.split("word", ""))).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("all"))
+    with_x = plain.select("word").distinct().select(F.explode(F.array_distinct(F.split("word", ""))).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("all"))
     kept = found.join(with_x, "x").where(F.col("found") >= LEARN_SHARE * F.col("all")).select(F.concat("x", "y"))
     return frozenset(r[0] for r in kept.collect())
 
 
+def skeleton(word: Column) -> Column:
+    """The folded word with `u` as the two strokes it is read from, so that it doesn't matter which two of three were joined."""
+    return F.replace(fold_column(word), F.lit("u"), F.lit("ii"))
+
+
 def judged(met: DataFrame, learned: frozenset[str], furthest: float = FURTHEST) -> DataFrame:
-    """`met` with `distance`, where it is at most `furthest`."""
+    """`met` with `distance`, where it is at most `furthest`.
+
+    An edit that is no confusion costs more than that. So only those go on to the
+    distance whose folded forms are equal, or may be but for a learned confusion.
+    """
+    own = [xy for xy in sorted(learned) if fold(xy[0]) != fold(xy[1])]
+    cheap = [F.contains("word", F.lit(xy[0])) & F.contains("repaired", F.lit(xy[1])) for xy in own]
+    shape = [skeleton(F.col(c)) for c in ("word", "repaired")]
+    met = met.where(reduce(or_, cheap, shape[0] == shape[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -374,9 +400,9 @@ def judged(met: DataFrame, learned: frozenset[str], furthest: float = FURTHEST)
 
 
 def corrections(words: DataFrame, ratio: int = RATIO) -> DataFrame:
-    """`word, repaired, m, distance`: the candidates of each word of `words` (`word, n`) that the distance lets through."""
+    """`word, repaired, m, distance`: the candidates of each word of `words` (`word, n, name`) that the distance lets through."""
     met = settle(candidates(words, ratio), "met")
-    return judged(met, learned_confusions(met, words))
+    return judged(met, learned_confusions(met, words.where("name")))
 
 
 def in_context(suspects: DataFrame, fixes: DataFrame, pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -393,7 +419,7 @@ def in_context(suspects: DataFrame, fixes: DataFrame, pairs: DataFrame, counts:
     # Only where there is a choice or a doubt do the neighbours have a say.
     asks = F.col("strict") | (F.col("rivals") > 1)
     tried = settle(
-        tried.withColumn("l", F.when(asks, F.xxhash64("before", "repaired"))).withColumn("r", F.when(asks, F.xxhash64("repaired", "after")))
+        tried.withColumn("l", F.when(asks, F.xxhash64("before", F.xxhash64("repaired")))).withColumn("r", F.when(asks, F.xxhash64("repaired", F.xxhash64("after"))))
         .withColumn("l", F.when(F.col("before").isNotNull(), F.col("l"))).withColumn("r", F.when(F.col("after").isNotNull(), F.col("r"))),
         "tried",
     )
@@ -425,7 +451,7 @@ def findings(pages: DataFrame, titles: DataFrame) -> DataFrame:
     pairs = settle(word_pairs(pages), "pairs")
     counts = settle(lexicon(pairs), "lexicon")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    fixes = settle(corrections(counts.select("word", "n")), "fixes")
+    fixes = settle(corrections(counts), "fixes")
     sure = counts.where(~F.col("word").rlike(r"[^\p{L}]")).where(F.col("n") >= max(2, SURE * total))
     # 1 / SURE words at most.
     known = frozenset(r["word"] for r in sure.join(fixes.select("word").distinct(), "word", "left_anti").select("word").collect())
@@ -436,8 +462,8 @@ def findings(pages: DataFrame, titles: DataFrame) -> DataFrame:
     done = seen.where("kind = 'furniture'").select("doc_id", "page_number", "line_no", "kind", "word", none.alias("repaired"))
     # Cut words: one word unless its parts are known as a compound more often than as one word.
     cuts = seen.where("kind = 'cut'")
-    compound = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+(?:-\p{L}+)+"), F.lit(0)))
-    compounds = pages.where("text IS NOT NULL").select(compound.alias("other")).groupBy("other").agg(F.count(F.lit(1)).alias("as_two"))
+    compound = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})\p{L}++(?:-\p{L}++)+"), F.lit(0)))
+    compounds = pages.where(F.contains("text", F.lit("-"))).select(compound.alias("other")).groupBy("other").agg(F.count(F.lit(1)).alias("as_two"))
     whole = counts.select("word", F.col("n").alias("as_one"))
     joined = cuts.join(whole, "word", "left").join(compounds, "other", "left").where(
         F.coalesce("as_two", F.lit(0)) <= F.coalesce("as_one", F.lit(0))
