@@ -14,9 +14,10 @@ ONE_TO_ONE = ("’‘“”– ", "''\"\"- ")
 LONGER = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("—", "--"), ("…", "..."), ("​", ""), ("﻿", ""))
 CURRENCY = r"(?iU)\b(?:K[Ss][Hh]s?\.?|Kshs\.?|K\.?Sh\.?)\s*"
 SHILLINGS = r"(?iU)\bKenyan?\s+Shillings?\b"
+FILLERS = r"(?i)\b(um|uh|er|ah)\b[\s,]*(?:\b\1\b[\s,]*){2,}"
 PAGE_EDGES = (
-    r"^page\s+\d+\s*(of\s+\d+)?$", r"^\d+\s*$", r"^www\.\S+\.\w{2,3}$", r"^©\s*\d{4}", r"^confidential\s*$", r"^restricted\s*$",
-    r"^central bank of kenya$", r"^nairobi securities exchange$", r"^kenya revenue authority$", r"^capital markets authority$",
+    r"^Page\s+\d+\s*(of\s+\d+)?$", r"^\d+\s*$", r"^www\.\S+\.\w{2,3}$", r"^©\s*\d{4}", r"^CONFIDENTIAL\s*$", r"^RESTRICTED\s*$",
+    r"^CENTRAL BANK OF KENYA$", r"^NAIROBI SECURITIES EXCHANGE$", r"^KENYA REVENUE AUTHORITY$", r"^CAPITAL MARKETS AUTHORITY$",
 )
 ABBREVIATIONS = {
     "CBK": "Central Bank of Kenya (CBK)", "CBR": "Central Bank Rate (CBR)", "NSE": "Nairobi Securities Exchange (NSE)",
@@ -124,11 +125,11 @@ def drop_repeated_lines(text: Column) -> Column:
 
 def clean_transcript(text: Column) -> Column:
     """Marks, times, entities and fillers of captions go; four sentences make a paragraph."""
-    text = F.regexp_replace(text, r"\[[^\]]*\]", "")
-    text = F.regexp_replace(text, r"\d{1,2}:\d{2}(?::\d{2})?", "")
-    text = F.regexp_replace(F.replace(text, F.lit("&amp;"), F.lit("&")), r"&#\d+;", "")
+    text = F.regexp_replace(text, r"(?U)\[[\w\s]+\]", " ")
+    text = F.regexp_replace(text, r"(?U)\b\d{1,2}:\d{2}(?::\d{2})?\b", " ")
+    text = F.regexp_replace(F.replace(text, F.lit("&amp;"), F.lit("&")), r"&#\d+;", " ")
     text = drop_repeated_lines(clean(text))
-    text = F.trim(F.regexp_replace(text, r"(?i)\b(um|uh|er|ah)(?:\s+\1){2,}\b\s*", "$1 "))
+    text = F.trim(F.regexp_replace(text, FILLERS, "$1 "))
 
     def paragraphs(sentences: Column) -> Column:
         groups = F.transform(

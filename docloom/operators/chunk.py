@@ -125,3 +125,23 @@ def chunk_documents(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
             yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "chunk_index", "total_chunks", "chunk_type", "section_title", "page_content", "chunk_size"])
 
     return docs.select("doc_id", "text", "title", "doc_type").mapInPandas(run, SCHEMA.format(key=key))
+
+
+#: The splitter of indexes without sections.
+PLAIN = ChunkConfig(size=1000, overlap=200, least=1, headers=False, tables=False)
+
+
+def plain_chunks(docs: DataFrame, config: ChunkConfig = PLAIN) -> DataFrame:
+    """`doc_id, chunk_id, size` of the recursive splitter alone; null and blank texts have no chunks."""
+    key = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [
+                (d, f"{d}_chunk_{i:04d}", len(piece))
+                for d, text in frame.itertuples(index=False)
+                for i, piece in enumerate(split_recursive(text or "", config.size, config.overlap, ("\n\n", "\n", ". ", " ", "")))
+            ]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "size"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {key}, chunk_id string, size int")

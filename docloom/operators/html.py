@@ -10,11 +10,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Tags, classes and ids that hold no content, and where content is looked for first.
-DROP_TAGS = {"script", "style", "noscript", "iframe", "svg", "nav", "header", "footer"}
-DROP_CLASSES = {"sidebar", "navigation", "menu", "breadcrumb", "cookie", "advertisement", "social-share"}
-DROP_IDS = {"sidebar", "navigation", "cookie-banner"}
-CONTENT = ["article", "main", "role=main", ".content", ".post-content", ".entry-content", ".article-content", "#content", "#main-content"]
+# What holds no content, where content is looked for first, where a date may stand; in order.
+STRIP = (
+    "script", "style", "noscript", "iframe", "svg", "nav", "header", "footer",
+    ".sidebar", ".nav", ".menu", ".breadcrumb", ".social-share", ".cookie-notice", ".popup",
+    "#sidebar", "#nav", "#footer",
+)
+CONTENT = (
+    "article", "main", "[role='main']", ".entry-content", ".post-content", ".article-content", ".content-area", ".page-content",
+    "#content", "#main-content", ".field-item", ".node-content", ".region-content",
+)
+DATE_METAS = ("article:published_time", "datePublished", "date", "DC.date")
+DATE_CLASSES = ("date", "post-date", "publish-date", "entry-date")
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
 _LINK = T.StructType([T.StructField("text", T.StringType()), T.StructField("href", T.StringType())])
 SCHEMA = T.StructType(
@@ -34,8 +41,12 @@ class Node:
                 yield c
                 yield from c.walk()
 
-    def text(self, sep: str = "") -> str:
-        return sep.join(c if isinstance(c, str) else c.text(sep) for c in self.children)
+    def text(self) -> str:
+        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+
+    def bare(self) -> str:
+        """Its pieces of text, each stripped, without anything between them."""
+        return "".join(c.strip() if isinstance(c, str) else c.bare() for c in self.children)
 
     def find(self, tag: str):
         return next((n for n in self.walk() if n.tag == tag), None)
@@ -64,7 +75,11 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str | None, emit_text_nodes: bool = False, least: int = 50) -> dict | None:
-    """The facts and the main text of a page; None for a null page or one with under `least` characters of text."""
+    """The facts and the main text of a page; None for a null page, one without a body, or one with under `least` characters of text.
+
+    With `emit_text_nodes`, the text of blocks also comes again as bare text after
+    each block, and list items stand on one line.
+    """
     if html is None:
         return None
     builder = _Builder()
@@ -72,18 +87,20 @@ def parse(html: str | None, emit_text_nodes: bool = False, least: int = 50) -> d
     builder.close()
     root = builder.root
     nodes = list(root.walk())
-    meta = {}
-    for n in nodes:
-        if n.tag == "meta":
-            for k in ("property", "name"):
-                if n.attrs.get(k):
-                    meta.setdefault(n.attrs[k].lower(), n.attrs.get("content", ""))
-    title_node, h1, time = root.find("title"), root.find("h1"), next((n for n in nodes if n.tag == "time" and n.attrs.get("datetime")), None)
-    title = meta.get("og:title") or (title_node.text().strip() if title_node else "") or (h1.text().strip() if h1 else "")
-    date = next((meta[k] for k in ("article:published_time", "date", "publish-date", "dc.date") if meta.get(k)), "") or (time.attrs["datetime"] if time else "")
-    if not date:
-        dated = next((n for n in nodes if re.search(r"date|posted|published", n.attrs.get("class", ""))), None)
-        date = dated.text().strip()[:30] if dated else ""
+    by_property = _metas(nodes, "property")
+    by_name = _metas(nodes, "name")
+
+    def first(names, *tables) -> str:
+        return next((t[n].strip() for n in names for t in tables if t.get(n)), "")
+
+    title_node, h1, time = root.find("title"), root.find("h1"), root.find("time")
+    title = first(("og:title",), by_property) or (title_node.bare() if title_node else h1.bare() if h1 else "")
+    date = first(DATE_METAS, by_property, by_name)
+    if not date and time is not None:
+        date = time.attrs.get("datetime", time.bare())
+    elif not date:
+        dated = next((n for word in DATE_CLASSES for n in nodes if word in n.attrs.get("class", "").lower()), None)
+        date = dated.bare()[:30] if dated else ""
 
     def strip(node: Node) -> None:
         node.children = [c for c in node.children if not (isinstance(c, Node) and _dropped(c))]
@@ -93,38 +110,54 @@ def parse(html: str | None, emit_text_nodes: bool = False, least: int = 50) -> d
 
     strip(root)
     content = _content(root)
+    if content is None:
+        return None
     text = _structured(content, emit_text_nodes)
     if len(text) < least:
         return None
     found = list(content.walk())
     return {
-        "title": title, "description": meta.get("description") or meta.get("og:description") or "", "date": date, "text": text,
-        "headings": [n.text().strip() for n in found if n.tag in ("h1", "h2", "h3", "h4") and n.text().strip()],
-        "links": [{"text": n.text().strip(), "href": n.attrs["href"]} for n in found if n.tag == "a" and n.attrs.get("href") and n.text().strip()],
+        "title": title, "description": first(("description", "og:description"), by_name, by_property), "date": date, "text": text,
+        "headings": [n.bare() for n in found if n.tag in ("h1", "h2", "h3", "h4") and n.bare()],
+        "links": [{"text": n.bare(), "href": n.attrs["href"]} for n in found if n.tag == "a" and "href" in n.attrs and n.bare()],
         "tables": [t for t in (_table(n) for n in found if n.tag == "table") if t],
         "char_count": len(text), "word_count": len(text.split()),
     }
 
 
+def _metas(nodes: list[Node], key: str) -> dict[str, str]:
+    """The content of the first meta tag of each name."""
+    out: dict[str, str] = {}
+    for n in nodes:
+        if n.tag == "meta" and n.attrs.get(key):
+            out.setdefault(n.attrs[key], n.attrs.get("content", ""))
+    return out
+
+
+def _is(n: Node, selector: str) -> bool:
+    if selector.startswith("."):
+        return selector[1:] in n.attrs.get("class", "").split()
+    if selector.startswith("#"):
+        return n.attrs.get("id") == selector[1:]
+    if selector.startswith("["):
+        return n.attrs.get("role") == "main"
+    return n.tag == selector
+
+
 def _dropped(n: Node) -> bool:
-    return n.tag in DROP_TAGS or bool(set(n.attrs.get("class", "").split()) & DROP_CLASSES) or n.attrs.get("id") in DROP_IDS
-
-
-def _content(root: Node) -> Node:
-    for want in CONTENT:
-        if want.startswith("."):
-            hits = [n for n in root.walk() if want[1:] in n.attrs.get("class", "").split()]
-        elif want.startswith("#"):
-            hits = [n for n in root.walk() if n.attrs.get("id") == want[1:]]
-        elif want == "role=main":
-            hits = [n for n in root.walk() if n.attrs.get("role") == "main"]
-        else:
-            hits = [n for n in root.walk() if n.tag == want]
+    return any(_is(n, s) for s in STRIP)
+
+
+def _content(root: Node) -> Node | None:
+    """Of the first selector with a hit the longest element, else the `div` with most text in paragraphs, else the body."""
+    nodes = list(root.walk())
+    for selector in CONTENT:
+        hits = [n for n in nodes if _is(n, selector)]
         if hits:
             return max(hits, key=lambda n: len(n.text()))
-    divs = [(sum(len(p.text()) for p in n.walk() if p.tag == "p"), n) for n in root.walk() if n.tag == "div"]
+    divs = [(sum(len(p.text()) for p in n.walk() if p.tag == "p"), n) for n in nodes if n.tag == "div"]
     most = max(divs, key=lambda x: x[0], default=(0, None))
-    return most[1] if most[0] > 200 else (root.find("body") or root)
+    return most[1] if most[0] > 200 else root.find("body")
 
 
 def _structured(node: Node, emit: bool) -> str:
@@ -136,14 +169,14 @@ def _structured(node: Node, emit: bool) -> str:
                 if c.strip() and (emit or not inside):
                     parts.append(c.strip())
                 continue
-            t = c.text().strip()
+            t = c.bare()
             block = True
             if re.fullmatch("h[1-6]", c.tag) and t:
                 parts.append(f"\n\n## {t}\n")
             elif c.tag == "p" and t:
                 parts.append(f"\n{t}\n")
             elif c.tag == "li" and t:
-                parts.append(f"  - {t}\n")
+                parts.append(f"  - {t}" if emit else f"\n  - {t}")
             elif c.tag == "br":
                 parts.append("\n")
             else:
@@ -157,7 +190,7 @@ def _structured(node: Node, emit: bool) -> str:
 def _table(node: Node) -> str:
     rows = []
     for tr in (n for n in node.walk() if n.tag == "tr"):
-        cells = [c.text().strip() for c in tr.walk() if c.tag in ("td", "th")]
+        cells = [c.bare() for c in tr.walk() if c.tag in ("td", "th")]
         if any(cells):
             rows.append(" | ".join(cells))
     return "\n".join(rows)

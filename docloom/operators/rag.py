@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,8 +47,24 @@ def answer(prompts: DataFrame, model: Callable[[str], str] | None = None) -> Dat
     """`query_id, answer` from a callable that takes a prompt; without one, the prompt's length and digest (for tests)."""
     call = model or (lambda p: f"{len(p)}:{hashlib.sha256(p.encode()).hexdigest()[:8]}")
 
-    @F.udf("string")
-    def ask(p):
-        return None if p is None else call(p)
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda p: None if p is None else call(p))
 
     return prompts.select("query_id", ask("prompt").alias("answer"))
+
+
+def source_records(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """For each chunk found the record that an answer names as its source; missing fields have their defaults, the preview 150 characters."""
+    texts = ("source_id", "institution_type", "doc_type", "section_title", "url", "chunk_id", "persona", "life_stage", "risk_level", "product_type")
+    have = set(chunks.columns)
+
+    def field(name: str, default) -> Column:
+        return F.coalesce(F.col(name), F.lit(default)) if name in have else F.lit(default)
+
+    return found.join(chunks, "vec_id").select(
+        "query_id", "rank", field("title", "Unknown").alias("title"), field("source_name", "Unknown").alias("source_name"),
+        *[field(t, "").alias("section" if t == "section_title" else t) for t in texts], field("relevance_score", 0.0).alias("relevance_score"),
+        F.substring("page_content", 1, 150).alias("preview"),
+    )

@@ -71,13 +71,36 @@ def to_markdown(headers: Column, rows: Column, caption: Column | None = None) ->
     return F.array_join(body, "\n")
 
 
-def to_text(headers: Column, rows: Column) -> Column:
-    """`header: cell` pairs, blank cells left out; a cell without a header has `Column N`."""
+def to_text(headers: Column, rows: Column, caption: Column | None = None) -> Column:
+    """`header: cell` pairs, blank cells left out; a cell beyond the headers has `Column N`.
+
+    A caption stands before them with a colon; a table without rows is empty.
+    """
 
     def line(cells: Column) -> Column:
         named = F.transform(
-            cells, lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.coalesce(F.nullif(F.get(headers, i), F.lit("")), F.concat(F.lit("Column "), (i + 1).cast("string"))), F.lit(": "), c))
+            cells,
+            lambda c, i: F.when(
+                F.trim(F.coalesce(c, F.lit(""))) != "",
+                F.concat(F.coalesce(F.get(headers, i), F.concat(F.lit("Column "), (i + 1).cast("string"))), F.lit(": "), c),
+            ),
         )
         return F.array_join(F.array_compact(named), "; ")
 
-    return F.array_join(F.filter(F.transform(rows, line), lambda t: t != ""), "\n")
+    lines = F.filter(F.transform(rows, line), lambda t: t != "")
+    if caption is not None:
+        lines = F.when(F.coalesce(caption, F.lit("")) != "", F.concat(F.array(F.concat(caption, F.lit(":"))), lines)).otherwise(lines)
+    return F.when(F.size(rows) > 0, F.array_join(lines, "\n")).otherwise(F.lit(""))
+
+
+def tables_to_text(tables: Column, markdown: bool = False) -> Column:
+    """An array of tables (`headers, rows, caption`) as one text, with a blank line between tables; empty ones are left out."""
+    form = to_markdown if markdown else to_text
+    texts = F.transform(tables, lambda t: form(t["headers"], t["rows"], t["caption"]))
+    return F.array_join(F.filter(texts, lambda t: t != ""), "\n\n")
+
+
+def from_rows(rows: Column) -> Column:
+    """A struct `headers, rows, caption` of rows of cells: the first is the header; null if under two rows or mostly blank."""
+    made = F.struct(F.get(rows, F.lit(0)).alias("headers"), F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))).alias("rows"), F.lit(None).cast("string").alias("caption"))
+    return F.when(is_filled(rows), made)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.operators import catalog, monitor, rag, vector
 from docloom.operators.changes import instant
-from docloom.session import table
+from docloom.session import settle, table
 from docloom.streaming import ingest
 
 NOW = "2025-10-01 00:00:00"
+#: A time of judgement after the last rows of the tables.
+LATER = "2026-12-01 00:00:00"
 
 
 def _queries_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -37,12 +40,64 @@ def knn_overfetch(spark, sf_dir):
 
 
 def knn_ivf_overlap(spark, sf_dir):
-    """Recall of the search in cells against the exact one."""
+    """Recall of the search in cells against the exact one, by the share of the cells that are read."""
     queries, index = _queries_of(spark, sf_dir)
     nlist = vector.list_count(index.count())
     placed, centroids = vector.cells(index, nlist)
-    near = vector.knn_cells(queries, placed, centroids, k=10, nprobe=max(1, (3 * nlist) // 4))
-    return vector.overlap(vector.knn(queries, index, k=10), near, 10)
+    exact = settle(vector.knn(queries, index, k=10), "exact")
+    out = None
+    for part in (16, 4, 2):
+        nprobe = max(1, nlist // part)
+        row = vector.overlap(exact, vector.knn_cells(queries, placed, centroids, k=10, nprobe=nprobe), 10)
+        row = row.select(F.lit(nlist).alias("nlist"), F.lit(nprobe).alias("nprobe"), "queries", "overlap")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def index_migration(spark, sf_dir):
+    """What becomes of the index when cells are asked for from 1,000 vectors on."""
+    queries, index = _queries_of(spark, sf_dir)
+    kind, _, share = vector.migrate(index, queries, nprobe=64, switch=1000)
+    return spark.createDataFrame([(kind, None if share is None else float(share))], "index_type string, overlap double")
+
+
+def index_append(spark, sf_dir):
+    """An index of one half with the other half appended: every vector has a cell."""
+    _, index = _queries_of(spark, sf_dir)
+    first = index.where("vec_id % 2 = 0").select("vec_id", "embedding")
+    placed, centroids = vector.cells(first, vector.list_count(first.count()))
+    grown = vector.append(placed, index.select("vec_id", "embedding"), centroids)
+    return grown.agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("vec_id").alias("ids"), F.count("cell_id").alias("placed"))
+
+
+def index_statistics(spark, sf_dir):
+    return vector.index_stats(table(spark, sf_dir, "embeddings"))
+
+
+def _retrieval_meta(spark, sf_dir) -> DataFrame:
+    """Fields of the vectors for filters, made of their ids and labels."""
+    personas, stages = ["", "general", "sme,farmer", "sme"], ["", "beginner", "advanced"]
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("source_id"),
+        F.element_at(F.array(*map(F.lit, personas)), (F.col("vec_id") % 4 + 1).cast("int")).alias("persona"),
+        F.element_at(F.array(*map(F.lit, stages)), (F.col("label") % 3 + 1).cast("int")).alias("life_stage"),
+    )
+
+
+def retrieval_by_source(spark, sf_dir):
+    """Only a source is asked for: up to three times as many results."""
+    return vector.retrieve(*_queries_of(spark, sf_dir), _retrieval_meta(spark, sf_dir), k=5, source_id="s1")
+
+
+def retrieval_by_persona(spark, sf_dir):
+    return vector.retrieve(*_queries_of(spark, sf_dir), _retrieval_meta(spark, sf_dir), k=5, persona="sme", life_stage="advanced")
+
+
+def source_records(spark, sf_dir):
+    """The records that an answer names as its sources."""
+    queries, index = _queries_of(spark, sf_dir)
+    chunks = _retrieval_meta(spark, sf_dir).withColumn("page_content", F.format_string("vector %d, of which more is told here", "vec_id"))
+    return rag.source_records(vector.knn(queries, index, k=3), chunks)
 
 
 def retrieved_context(spark, sf_dir):
@@ -94,8 +149,8 @@ def failed_runs(spark, sf_dir):
 
 
 def last_runs(spark, sf_dir):
-    ranked = table(spark, sf_dir, "runs").selectExpr("run_id", "started_at", "row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS r")
-    return ranked.where("r <= 10").select("run_id", "started_at")
+    """The last ten runs, which is the feature here."""
+    return table(spark, sf_dir, "runs").select("run_id", "started_at").orderBy(F.desc("started_at"), F.desc("run_id")).limit(10)
 
 
 def error_window(spark, sf_dir):
@@ -112,12 +167,59 @@ def event_props(spark, sf_dir):
     )
 
 
+def _health(spark, sf_dir) -> DataFrame:
+    """The health as of the time of judgement: the index is that of the last run, a source has data if there are pages of it."""
+    last = table(spark, sf_dir, "runs").where("index_path IS NOT NULL").agg(F.max("started_at").alias("built"))
+    held = table(spark, sf_dir, "html_results").select(F.regexp_extract("doc_id", r"^(.*)_\d+$", 1).alias("source_id"))
+    return monitor.health(table(spark, sf_dir, "sources"), held, last, F.lit(LATER))
+
+
+def health_check(spark, sf_dir):
+    health = _health(spark, sf_dir)
+    return health.select(
+        "status", F.size("issues").alias("issues"), F.size("warnings").alias("warnings"), "sources_with_data", "sources_total", F.array_join("sources_missing", ",").alias("missing")
+    )
+
+
 def alerts_raised(spark, sf_dir):
-    fresh = source_freshness(spark, sf_dir)
-    covered = tag_coverage(spark, sf_dir)
-    stale = monitor.alert("warning", "freshness", fresh.where("state = 'stale'"), F.concat(F.col("source_id"), F.lit(" is stale")))
-    thin = monitor.alert("warning", "tagging", covered.where("percent < 50"), F.concat(F.col("tag"), F.lit(" is thinly covered")))
-    return stale.unionByName(thin)
+    """All alerts at a later time, when sources have gone stale: health, freshness, coverage of tags."""
+    last = table(spark, sf_dir, "doc_metadata").groupBy("source_id").agg(F.max("arrived_at").alias("last"))
+    sources = table(spark, sf_dir, "sources").select("source_id", "name").join(last, "source_id", "left")
+    fresh = sources.select("source_id", "name", monitor.freshness(F.col("last"), F.lit(LATER)).alias("state"))
+    rows = table(spark, sf_dir, "doc_metadata").agg(F.count(F.lit(1)).alias("total"))
+    return monitor.alerts(_health(spark, sf_dir), fresh, tag_coverage(spark, sf_dir), rows)
+
+
+def statistics(spark, sf_dir):
+    """The totals of the dashboard."""
+    docs = table(spark, sf_dir, "doc_metadata")
+    held = docs.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("source_id").alias("sources"), F.max("arrived_at").alias("last_arrival"))
+    runs = table(spark, sf_dir, "runs").agg(F.count(F.lit(1)).alias("runs"), F.max("started_at").alias("last_run"))
+    return held.join(F.broadcast(runs))  # one row each
+
+
+def manifest_projection(spark, sf_dir):
+    """The manifest's rows by a schema of its own: unknown fields go, missing ones have their defaults."""
+    schema = "doc_id string, source_name string, section_title string, chunk_index int, persona string, relevance_score double"
+    rows = table(spark, sf_dir, "doc_metadata").select("doc_id", "source_name", "persona", "relevance_score", "url", "arrived_at")
+    made = catalog.conform(rows, T.StructType.fromDDL(schema), {"section_title": "", "chunk_index": 0, "persona": "general", "relevance_score": 0.0, "source_name": "Unknown"})
+    return made.groupBy(*made.columns).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def source_types(spark, sf_dir):
+    """Sources of a kind, and how many of those asked for there are not."""
+    sources = table(spark, sf_dir, "sources")
+    kinds = sources.groupBy("institution_type").agg(F.count(F.lit(1)).alias("sources"))
+    asked = sources.select("source_id").union(spark.createDataFrame([("nowhere",)], "source_id string"))
+    unknown = asked.join(sources, "source_id", "left_anti").agg(F.count(F.lit(1)).alias("sources")).select(F.lit("unknown").alias("institution_type"), "sources")
+    return kinds.unionByName(unknown)
+
+
+def merged_manifests(spark, sf_dir):
+    """Manifest and new records as one list, each document once: the last row of the manifest goes before a new record."""
+    old = table(spark, sf_dir, "doc_metadata").select("doc_id", "url", F.lit(1).alias("place"))
+    new = table(spark, sf_dir, "raw_docs").select("doc_id", "url", F.lit(0).alias("place"))
+    return catalog.upsert(old.unionByName(new), "doc_id", ["place", "url"]).groupBy("place").agg(F.count(F.lit(1)).alias("docs"), F.count("url").alias("urls"))
 
 
 def documents_by_filter(spark, sf_dir):
@@ -162,6 +264,12 @@ _COVER = "SELECT unnest(['persona', 'life_stage', 'risk_level', 'product_type',
         + ["round(100 * avg(CASE WHEN relevance_score > 0 THEN 1.0 ELSE 0.0 END), 1)"]
     )
 )
+_HEALTH = rf"""SELECT m, total, list_filter([CASE WHEN age > 30 THEN 'Index is ' || printf('%.0f', age) || ' days old (threshold: 30 days)' END,
+CASE WHEN len(m) > 0 THEN 'Sources without data: ' || array_to_string(m, ', ') END], lambda x: x IS NOT NULL) AS w FROM
+(SELECT (SELECT count(*) FROM sources) AS total, (SELECT (epoch_us(TIMESTAMP '{LATER}') - epoch_us(max(started_at))) / 86400e6 FROM runs WHERE index_path IS NOT NULL) AS age,
+(SELECT coalesce(list(source_id ORDER BY source_id), []) FROM sources WHERE source_id NOT IN (SELECT regexp_extract(doc_id, '^(.*)_\d+$', 1) FROM html_results)) AS m)"""
+_RANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r, 's' || (vec_id % 3) AS source_id,
+['', 'general', 'sme,farmer', 'sme'][vec_id % 4 + 1] AS persona, ['', 'beginner', 'advanced'][label % 3 + 1] AS life_stage FROM ({_KNN.format(d=_D, where='')})"""
 SQL = {
     "knn_flat": f"SELECT query_id, vec_id, r::INTEGER AS rank, round(d, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM ({_KNN.format(d=_D, where='')})) WHERE r <= 5",
     "knn_prefilter": f"SELECT query_id, vec_id, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS r FROM ({_KNN.format(d=_D, where='WHERE e.label = 1')})) WHERE r <= 5",
@@ -185,7 +293,31 @@ SELECT source, count(*) AS runs, sum(error_count)::BIGINT AS errors, round(great
     "last_runs": "SELECT run_id, started_at FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 10",
     "error_window": "SELECT user_id, count(*) AS errors, max(ts) AS last_ts FROM events WHERE event_type = 'error' AND ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAYS GROUP BY user_id",
     "event_props": "SELECT event_type, sum((props::JSON->>'k')::BIGINT)::BIGINT AS k_sum, count((props::JSON->>'k')) AS k_count FROM events GROUP BY event_type",
-    "alerts_raised": f"SELECT 'warning' AS level, 'freshness' AS category, source_id || ' is stale' AS message FROM ({_FRESH}) WHERE state = 'stale' UNION ALL SELECT 'warning', 'tagging', tag || ' is thinly covered' FROM ({_COVER}) WHERE percent < 50",
+    "health_check": f"SELECT CASE WHEN len(w) > 0 THEN 'degraded' ELSE 'healthy' END AS status, 0 AS issues, len(w)::INTEGER AS warnings, total - len(m) AS sources_with_data, total AS sources_total, array_to_string(m, ',') AS missing FROM ({_HEALTH})",
+    "alerts_raised": f"""WITH h AS ({_HEALTH}),
+f AS (SELECT s.source_id, s.name, max(d.arrived_at) AS last FROM sources s LEFT JOIN doc_metadata d USING (source_id) GROUP BY s.source_id, s.name),
+st AS (SELECT source_id, name FROM f WHERE (epoch_us(TIMESTAMP '{LATER}') - epoch_us(last)) / 86400e6 > 30)
+SELECT 'warning' AS level, 'health' AS category, unnest(w) AS message FROM h
+UNION ALL SELECT 'warning', 'freshness', count(*) || ' sources have stale data: ' || array_to_string((list(name ORDER BY source_id))[:5], ', ') FROM st HAVING count(*) > 0
+UNION ALL SELECT 'warning', 'tagging', 'Low tagging coverage for ' || chr(39) || tag || chr(39) || ': ' || printf('%.0f', percent) || '%' FROM ({_COVER}) WHERE percent < 50 AND (SELECT count(*) FROM doc_metadata) > 100""",
+    "statistics": """SELECT * FROM (SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT source_id) AS sources, max(arrived_at) AS last_arrival FROM doc_metadata),
+(SELECT count(*) AS runs, max(started_at) AS last_run FROM runs)""",
+    "manifest_projection": """SELECT doc_id, coalesce(source_name, 'Unknown') AS source_name, '' AS section_title, 0 AS chunk_index, coalesce(persona, 'general') AS persona,
+coalesce(relevance_score, 0.0) AS relevance_score, count(*) AS rows FROM doc_metadata GROUP BY ALL""",
+    "source_types": "SELECT institution_type, count(*) AS sources FROM sources GROUP BY institution_type UNION ALL SELECT 'unknown', 1",
+    "merged_manifests": """SELECT place, count(*) AS docs, count(url) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place DESC, url DESC NULLS LAST) AS r FROM
+(SELECT doc_id, url, 1 AS place FROM doc_metadata UNION ALL SELECT doc_id, url, 0 FROM raw_docs)) WHERE r = 1 GROUP BY place""",
+    "index_append": "SELECT count(*) AS vectors, count(*) AS ids, count(*) AS placed FROM embeddings WHERE embedding IS NOT NULL",
+    "index_statistics": "SELECT 'flat' AS index_type, count(vec_id) AS vectors, max(len(embedding))::INTEGER AS dims, 0::BIGINT AS cells FROM embeddings",
+    "retrieval_by_source": f"""WITH k AS ({_RANKED}), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS r2 FROM k WHERE r <= 75 AND source_id = 's1')
+SELECT query_id, vec_id, r2::INTEGER AS rank FROM f WHERE r2 <= 15""",
+    "retrieval_by_persona": f"""WITH k AS ({_RANKED}), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS r2 FROM k WHERE r <= 75
+AND (persona = 'sme' OR list_contains(string_split(persona, ','), 'sme')) AND life_stage = 'advanced'),
+g AS (SELECT *, coalesce(persona IN ('', 'sme', 'general'), true) AND coalesce(life_stage IN ('', 'advanced'), true) AS fits FROM f WHERE r2 <= 15),
+h AS (SELECT *, bool_or(fits) OVER (PARTITION BY query_id) AS some FROM g)
+SELECT query_id, vec_id, rank::INTEGER AS rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY r2) AS rank FROM h WHERE fits OR NOT some) WHERE rank <= 5""",
+    "source_records": f"""SELECT query_id, r::INTEGER AS rank, 'Unknown' AS title, 'Unknown' AS source_name, source_id, '' AS institution_type, '' AS doc_type, '' AS section, '' AS url, '' AS chunk_id,
+persona, life_stage, '' AS risk_level, '' AS product_type, 0.0::DOUBLE AS relevance_score, 'vector ' || vec_id || ', of which more is told here' AS preview FROM ({_RANKED}) WHERE r <= 3""",
     "documents_by_filter": "SELECT source_id, count(DISTINCT doc_id) AS docs FROM doc_metadata WHERE list_contains(string_split(persona, ','), 'student') GROUP BY source_id",
     "crawl_steps": """WITH RECURSIVE p AS (SELECT DISTINCT 's' || l_suppkey AS page, 'o' || (l_orderkey % 97) AS target FROM lineitem),
 b AS (SELECT page, target FROM p UNION ALL SELECT target, page FROM p),

@@ -1,12 +1,15 @@
+import hashlib
 import json
+import random
 from datetime import datetime
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import rules, text
-from docloom.operators import catalog, chunk, dedup, html, monitor, tables, vector
+from docloom.operators import catalog, chunk, dedup, html, links, monitor, pipeline, tables, vector
 from docloom.operators.changes import ChangeCapture, ChangeLog, document_states, due_documents, instant, merge_states
 from docloom.plans import registry
 from docloom.sources import readers
@@ -36,6 +39,7 @@ def test_currency(spark, given, wanted):
         (text.expand_abbreviations, "CBK and CBK", "Central Bank of Kenya (CBK) and CBK"),
         (text.clean_for_embedding, "See page 12 at http://x.y/z now", "See at now"),
         (text.clean_transcript, "[Music] 0:05 um um um hello", "um hello"),
+        (text.clean_transcript, "[a-b] um, um, um, hello &#39;x", "[a-b] um hello x"),
         (text.safe_filename, "a/b: c?", "a_b_c"),
         (text.safe_filename, "", "unnamed"),
         (text.date_hint, "Report Mar 2024", "Mar 2024"),
@@ -77,6 +81,10 @@ def test_tables(spark):
     got = row.select(tables.to_text(F.col("h"), F.col("r")).alias("t"), tables.to_markdown(F.col("h"), F.col("r")).alias("m")).first()
     assert got.t == "Rate: 9; Year: 2024"
     assert got.m == "| Rate | Year |\n| --- | --- |\n| 9 | 2024 |"
+    cells = spark.createDataFrame([([["Rate", "Year"], ["9", "2024"], [" ", "x", "y"]],), ([["one"]],), ([["a", "", "", ""], ["", "", "", ""]],)], "r array<array<string>>")
+    made = cells.select(tables.tables_to_text(F.array_compact(F.array(tables.from_rows(F.col("r"))))).alias("t")).collect()
+    assert [r.t for r in made] == ["Rate: 9; Year: 2024\nYear: x; Column 3: y", "", ""]
+    assert row.select(tables.to_text(F.col("h"), F.col("r"), F.lit("Cap")).alias("t")).first().t == "Cap:\nRate: 9; Year: 2024"
     docs = spark.createDataFrame([(1, "t\n|a|b|\n|c|d|\nu"), (2, None)], "doc_id int, text string")
     assert [(r.kind, r.first_line, r.n_lines) for r in tables.segments(docs).orderBy("segment").collect()] == [("text", 1, 1), ("table", 2, 2), ("text", 4, 1)]
     eight = "\n".join(["words only"] * 8)
@@ -92,6 +100,163 @@ def test_html():
     assert html.parse("<p>short</p>") is None and html.parse(None) is None
 
 
+def test_html_facts_come_in_their_order():
+    def facts(head="", body="<p>" + "word " * 20 + "</p>"):
+        return html.parse(f"<html><head>{head}</head><body>{body}</body></html>")
+
+    p = "<p>" + "word " * 20 + "</p>"
+    assert facts('<meta property="og:title" content=" O "><title>T</title>', "<h1>H</h1>" + p)["title"] == "O"
+    assert facts("<title></title>", "<h1>H</h1>" + p)["title"] == "" and facts("", "<h1>A <b>b</b></h1>" + p)["title"] == "Ab"
+    assert facts('<meta property="og:description" content="og"><meta name="description" content="d">')["description"] == "d"
+    assert facts('<meta name="DC.date" content="2"><meta name="datePublished" content="1">')["date"] == "1"
+    assert facts("", "<time>noon</time>" + p)["date"] == "noon" and facts("", '<time datetime="2024"></time>' + p)["date"] == "2024"
+    assert facts("", '<i class="Post-DATE">' + "x" * 40 + "</i>" + p)["date"] == "x" * 30
+    cut = facts("", '<main><div class="popup">Pop</div><div class="navigation">Kept</div><div id="nav">Nav</div>' + p + "</main>")["text"]
+    assert "Pop" not in cut and "Nav" not in cut and "Kept" in cut
+    assert "right" in facts("", '<div class="entry-content">' + p + "right</div><div class='post-content'>" + p * 3 + "</div>")["text"]
+    assert html.parse("<div>" + "word " * 30 + "</div>") is None  # neither a long enough division nor a body
+    quirk = html.parse("<body><article><p>" + "a" * 60 + "</p></article></body>", emit_text_nodes=True)["text"]
+    assert quirk.count("a" * 60) == 2 and html.parse("<body><article><p>" + "a" * 60 + "</p></article></body>")["text"].count("a" * 60) == 1
+
+
+def test_links(spark):
+    base = "https://a.example/x/y/z.html?q=1"
+    joined = {"m": "https://a.example/x/y/m", "../m": "https://a.example/x/m", "../../../m": "https://a.example/m", "/m": "https://a.example/m", "//b.example/m": "https://b.example/m",
+              "http://c.example": "http://c.example", "?p=2": "https://a.example/x/y/z.html?p=2", "./m": "https://a.example/x/y/m"}
+    for href, wanted in joined.items():
+        assert one(spark, href, lambda c: links.join_url(F.lit(base), c)) == wanted, href
+    followed = {"m": True, "#top": False, "mailto:x": False, "tel:1": False, "http://c.example/m": False, "tender/1": False, None: False, "": False}
+    for href, wanted in followed.items():
+        got = one(spark, href, lambda c: links.is_followed(c, links.join_url(F.lit(base), c), F.lit(base), F.array(F.lit("/TENDER"))))
+        assert (got or False) is wanted, href
+    assert one(spark, "https://a.example/news/markets/1", links.category) == "market_news"
+    assert one(spark, "https://markets.example/other", links.category) == "financial_news"
+
+
+def brute_verdicts(rows, threshold=0.85):
+    urls, hashes, signed, out = {}, {}, [], {}
+    for d, _, url, t in sorted(rows, key=lambda r: r[1]):
+        s = None if t is None else dedup.signature(t)
+        near = next(((o, float((s == x).mean())) for o, x in signed if s is not None and (s == x).mean() >= threshold), None)
+        kind = ("url", urls[url], 1.0) if url and url.strip() and url in urls else ("exact", hashes[t], 1.0) if t is not None and t in hashes else ("near", *near) if near else None
+        if kind:
+            out[d] = kind
+            continue
+        if url and url.strip():
+            urls[url] = d
+        if t is not None:
+            hashes[t] = d
+            signed.append((d, s))
+    return out
+
+
+def test_signatures_by_hand():
+    draw = random.Random(42)
+    a = [draw.randint(1, 2**32 - 1) for _ in range(128)]
+    b = [draw.randint(0, 2**32 - 1) for _ in range(128)]
+    hashes = [int.from_bytes(hashlib.md5(g.encode()).digest()[:4], "little") for g in ("abcde", "bcdef")]
+    assert dedup.signature(" ABCDEF ").tolist() == [min((x * h + y) % (2**61 - 1) & (2**32 - 1) for h in hashes) for x, y in zip(a, b)]
+    assert len(dedup.signature("")) == 128
+
+
+def test_verdicts_equal_one_by_one(spark):
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice((0, 1, 3, 8, 20))):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        rows.append((f"d{i}", i * 3, rng.choice([None, "", " ", f"u{rng.randrange(40)}"]), rng.choice([None, "", "ab", "".join(t), "".join(t), "".join(t)])))
+    frame = spark.createDataFrame(rows, "doc_id string, ord bigint, url string, text string").withColumn("key", F.lit(1))
+    got = dedup.verdicts(frame).collect()
+    assert len(got) == 60
+    assert {r.doc_id: (r.duplicate_type, r.duplicate_of, r.similarity) for r in got if r.is_duplicate} == brute_verdicts(rows)
+    assert dedup.verdicts(frame.limit(0)).count() == 0
+    sizes = dedup.store_sizes(dedup.verdicts(frame), frame).first()
+    assert sizes.signatures >= sizes.unique_hashes > 5
+
+
+def test_alike_texts_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts = [None, "", "abc", "ABC ", "a" * 50] + ["".join(rng.choice("abcdef") for _ in range(120)) for _ in range(6)]
+    for t in texts[5:]:
+        for n in (1, 2, 3, 6):
+            texts.append(t[:60] + "z" * n + t[60 + n :])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    low = {i: t.lower().strip() for i, t in enumerate(texts) if t is not None}
+    first = {i: min(j for j in low if low[j] == low[i]) for i in low}
+    sets = {i: {low[i]} if len(low[i]) < 5 else {low[i][k : k + 5] for k in range(len(low[i]) - 4)} for i in set(first.values())}
+    links_of = {i: sum(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.85 for j in sets if j != i) for i in sets}
+    want = {i: (first[i], links_of[first[i]]) for i in low if links_of[first[i]] or sum(f == first[i] for f in first.values()) > 1}
+    assert {r.doc_id: (r.first_id, r.n_links) for r in dedup.alike_texts(frame).collect()} == want and any(n for _, n in want.values())
+
+
+def test_pipeline(spark):
+    body = "The bank raised its savings account rate for every student loan and each pension. " * 3
+    page = f"<html><body><article><p>{body}</p></article></body></html>"
+    rows = [("a", "s", "n", "T", "u1", "pdf", "c", None, 1, body, 1, 1), ("b", "s", "n", None, "u1", "pdf", "c", None, 1, "other " * 30, 1, 2), ("c", "s", "n", "", "u3", "HTML", "c", None, 0, page, 1, 3),
+            ("d", "t", "n", None, None, "pdf", "c", None, 0, None, 1, 4), ("e", "t", "n", None, None, "txt", "c", None, 0, "short", 1, 5), ("f", "t", "n", "News", None, "article", "c", None, 0, "A story of the market and its shares. " * 9, None, None)]
+    raw = spark.createDataFrame(rows, "doc_id string, source_id string, source_name string, title string, url string, doc_type string, category string, date_hint string, pages int, text string, batch_no int, seq_no bigint")
+    sources = spark.createDataFrame([("s", "bank", ["x", "y"])], "source_id string, institution_type string, financial_domain array<string>")
+    done = pipeline.process(pipeline.inputs(raw, sources)).cache()
+    got = {r.doc_id: r for r in done.collect()}
+    assert {d: r.status for d, r in got.items()} == {"a": "ok", "b": "duplicate", "c": "duplicate", "d": "error", "e": "error", "f": "ok"}
+    assert (got["b"].duplicate_type, got["c"].duplicate_type) == ("url", "exact") and got["a"].financial_domain == "x,y" and got["a"].chunks > 0
+    assert got["a"].persona == "student,salaried" and got["d"].persona is None and got["f"].regulatory_class == "news"
+    made = {r.source_id: r for r in pipeline.report(done).collect()}
+    assert (made["s"].parsed, made["s"].duplicates_skipped, made["t"].errors) == (1, 2, 2)
+    total = pipeline.summary(pipeline.report(done)).first()
+    assert total.total_input == 6 and total.per_source == {"s": 1, "t": 1}
+
+
+def test_health_and_alerts(spark):
+    sources = spark.createDataFrame([("a",), ("b",)], "source_id string")
+    none = spark.createDataFrame([(None,)], "built timestamp")
+    sick = monitor.health(sources, sources, none, F.lit("2025-02-01")).first()
+    assert sick.status == "unhealthy" and len(sick.issues) == 1 and sick.sources_missing == []
+    built = spark.createDataFrame([(datetime(2024, 12, 1),)], "built timestamp")
+    health = monitor.health(sources, sources.limit(1), built, F.lit("2025-02-01"))
+    assert health.first().status == "degraded" and len(health.first().warnings) == 2
+    assert monitor.health(sources, sources, built, F.lit("2024-12-02")).first().status == "healthy"
+    fresh = spark.createDataFrame([("a", "A", "stale"), ("b", "B", "fresh")], "source_id string, name string, state string")
+    covered = spark.createDataFrame([("persona", 10.0), ("category", 90.0)], "tag string, percent double")
+    for total, n in ((101, 4), (100, 3)):
+        got = monitor.alerts(health, fresh, covered, spark.createDataFrame([(total,)], "total bigint")).collect()
+        assert len(got) == n and "1 sources have stale data: A" in {r.message for r in got}
+
+
+def test_retrieval_policy(spark):
+    index = spark.createDataFrame([(i, [float(i)]) for i in range(100)], "vec_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(1, [0.0])], "query_id bigint, vector array<float>")
+    meta = spark.createDataFrame([(i, "s" if i % 2 else "t", "sme,farmer" if i < 50 else "sme", None) for i in range(100)], "vec_id bigint, source_id string, persona string, life_stage string")
+
+    def ids(**filters):
+        return [r.vec_id for r in vector.retrieve(asked, index, meta, 2, **filters).orderBy("rank").collect()]
+
+    assert ids() == [0, 1] and ids(source_id="s") == [1, 3, 5, 7, 9, 11]
+    assert ids(persona="sme") == [0, 1]  # none of those found is of the persona alone, so all stay
+    assert ids(persona="gone") == [] and ids(source_id="gone") == []
+
+
+def test_index_of_cells(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(600)]
+    index = spark.createDataFrame(rows + [(9999, None)], "vec_id bigint, embedding array<float>")
+    placed, centroids = vector.cells(index, 8)
+    asked = index.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = {(r.query_id, r["rank"]): r.vec_id for r in vector.knn(asked, index, 3).collect()}
+    assert {(r.query_id, r["rank"]): r.vec_id for r in vector.knn_cells(asked, placed, centroids, 3, nprobe=8).collect()} == exact
+    more = spark.createDataFrame([(1000, [0.0] * 8), (5, [0.0] * 8), (1001, None)], "vec_id bigint, embedding array<float>")
+    grown = vector.append(placed, more, centroids)
+    assert grown.count() == 601 and grown.where("vec_id = 1000 AND cell_id IS NOT NULL").count() == 1
+    assert vector.migrate(index, asked)[0] == "flat"
+    kind, _, share = vector.migrate(index, asked, nprobe=15, switch=100)
+    assert kind == "ivf" and share > 0.9
+    assert vector.migrate(index, asked, nprobe=1, switch=100, least=1.01)[0] == "flat"
+    assert vector.index_stats(placed).first().index_type == "ivf"
+
+
 def test_chunks(spark):
     assert chunk.chunk_text("x" * 99) == []
     assert chunk.split_sections("intro\n## A\nbody a\n## B\nbody b") == [("", "intro"), ("## A", "body a"), ("## B", "body b")]
@@ -242,14 +407,15 @@ def test_stream_merge_keeps_each_key_once(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
 
 
-FAST = ["docs_per_source", "dedup_exact", "dedup_url", "risk_levels", "document_classes", "date_hints", "url_facts", "table_pages", "joined_pages", "knn_flat", "manifest_upsert", "tag_coverage", "run_health", "hourly_events", "p4_found"]
+FAST = ["docs_per_source", "dedup_exact", "dedup_url", "risk_levels", "document_tags", "flagship_tag_summary", "document_classes", "date_hints", "url_facts", "table_pages", "joined_pages", "clean_plain", "html_pages",
+        "page_links", "alike_texts", "knn_flat", "retrieval_by_persona", "manifest_upsert", "tag_coverage", "run_health", "alerts_raised", "hourly_events", "p4_found"]
 
 
 @pytest.mark.parametrize("name", FAST)
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
-    for t in ("documents", "raw_docs", "pdf_results", "pdf_pages", "embeddings", "doc_metadata", "sources", "runs", "events"):
+    for t in ("documents", "raw_docs", "pdf_results", "pdf_pages", "html_results", "embeddings", "doc_metadata", "sources", "runs", "events"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = registry.queries()[name](spark, SF)
     want = con.sql(registry.oracle_sql()[name])
