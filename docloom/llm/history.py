@@ -1,34 +1,48 @@
 """Problem 3: new batches against everything accepted before.
 
-Accepted records are appended to tables in the shared folder: the keys of their
-addresses and texts, their sets with a pivot-distance table, and the variants of
-their fingerprints. The last two are bucketed, so that a later batch is sent to
-where the history lies and the history itself is never shuffled, tokenised or
-hashed again.
+The history is three tables in a folder that all executors share. `marks` has the
+keys of accepted addresses and texts and those of the sets' fingerprints,
+`pivots` the pivot-distance table, `sets` the sets themselves. Each batch appends
+its accepted records as a lot of its own, which counts once it is committed; a new
+process takes the history up from the folder, and a batch that failed is run
+again. All three are bucketed, so that a batch is sent to where the history lies
+and the history is never shuffled, tokenised or hashed again; small lots are
+merged into large ones.
 
 The pivots are fixed sets of shingles, the classes of a hash of the shingle; the
 metric is the size of the symmetric difference. The distance of a set A to the
 pivot P is |A| + |P| - 2 |A & P|, so |A| and the members in each class are the
 whole row of the table. A similarity of t or more bounds the distance of A and B
-by (1 - t) / (1 + t) of |A| + |B|; the triangle inequality then prunes a pair
-whose sizes (distances to the empty pivot) or whose distances to the pivots,
-summed over these disjoint pivots, differ by more. One range of pivot distances
-alone lets nearly all pairs through, as unrelated texts lie at about the same
-distance from every pivot; so the ranges are joined within variants of the
-min-hash fingerprint, and the true distance is verified for what is left.
+by (1 - t) / (1 + t) of |A| + |B|, and the triangle inequality prunes twice: by
+the distance to the empty pivot, |A|, whose ranges partition the join (a set only
+meets the two ranges that it can reach, and of the history only the ranges that
+the batch reaches are read), and by the distances to all pivots, summed over these
+disjoint ones, before any set is fetched. Then the true distance is verified.
+
+Ranges of pivot distances alone let nearly all pairs through, as unrelated texts
+lie at about the same distance from every pivot. So a range is joined within the
+variants of a min-hash fingerprint, tables of three symbols.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import near
-from docloom.session import pick, settle, table, work_path
-
-PIVOTS = 16
+from docloom.operators import order
+from docloom.session import list_names, pick, put_text, read_text, remove_path, settle, table, work_path
+
+PIVOTS = 64
+#: Symbols of a table and tables: at a similarity of 0.7 two sets share no table with probability 0.0012.
+TABLE_WIDTH, TABLES = 3, 16
+#: Lots of about one size that are merged into one.
+FAN = 8
 #: Parameters of addresses that only track a campaign, a click or a session.
 TRACKING = (
     r"utm_\w+|gclid|dclid|fbclid|msclkid|yclid|twclid|igshid|mc_cid|mc_eid|_ga|_gl|"
@@ -52,37 +66,105 @@ def address(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")) != "", F.concat_ws("?", F.concat(host, path), F.when(F.size(kept) > 0, F.array_join(kept, "&"))))
 
 
+def table_keys(symbols: np.ndarray) -> np.ndarray:
+    """For each row of symbols the keys of its tables of three."""
+    symbols = symbols.astype(np.uint64)
+    out = np.empty((len(symbols), TABLES), dtype=np.uint64)
+    for t in range(TABLES):
+        key = np.full(len(symbols), t + 1, dtype=np.uint64)
+        for i in range(TABLE_WIDTH):
+            key = (key ^ symbols[:, t * TABLE_WIDTH + i]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        out[:, t] = key
+    return out.view(np.int64)
+
+
 def features(records: DataFrame) -> DataFrame:
-    """One row per record: its place in the order, keys and fingerprint; a narrow pass over the texts."""
-    base = pick(records, doc_id="doc_id", batch_no="batch_no", seq_no="seq_no", url="url", text="text").select(
+    """One row per record: its batch, its place in the order, keys and fingerprint.
+
+    `ord` grows with `batch_no`, `seq_no` (null batches count as 0, null numbers
+    come first in their batch) and differs from row to row, also where numbers
+    are missing or occur again; then the order is that of the rows' contents, and
+    rows that are alike in all stand in any order.
+    """
+    rows = pick(records, doc_id="doc_id", batch_no="batch_no", seq_no="seq_no", url="url", text="text")
+    base = rows.select(
         "doc_id",
-        "batch_no",
-        (F.coalesce("batch_no", F.lit(0)).cast("bigint") * (1 << 40) + F.coalesce("seq_no", F.lit(0))).alias("ord"),
-        F.xxhash64(F.lit("u"), address(F.col("url"))).alias("url_key"),
+        F.coalesce(F.col("batch_no").cast("bigint"), F.lit(0)).alias("batch"),
+        F.col("seq_no").cast("bigint").alias("seq"),
+        F.when(address(F.col("url")).isNotNull(), F.xxhash64(F.lit("u"), address(F.col("url")))).alias("url_key"),
         F.when(F.col("text").isNotNull(), F.xxhash64(F.lit("t"), F.col("text"), F.length("text"))).alias("text_key"),
-        address(F.col("url")).isNotNull().alias("has_url"),
         near.shingles(F.col("text")).alias("grams"),
     )
-    base = base.withColumn("url_key", F.when(F.col("has_url"), F.col("url_key"))).drop("has_url")
-    return near.fingerprints(base, PIVOTS)
+    made = near.fingerprints(base, PIVOTS, table_keys, TABLE_WIDTH * TABLES)
+    by = ["batch", "seq", "doc_id", "text_key", "url_key"]
+    parts = max(2, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = made.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
+    # The partition in 18 bits, the row of the partition in 26.
+    place = F.shiftleft(F.shiftright("place", 33), 26).bitwiseOR(F.col("place").bitwiseAND(F.lit((1 << 26) - 1)))
+    return placed.withColumn("ord", place).drop("place", "seq")
 
 
 class History:
-    """What has been accepted so far; `check` takes one batch of `features`, gives verdicts and appends."""
+    """What has been accepted so far; `check` takes a batch of `features`, decides it and appends what it accepts.
+
+    All state is in `state_dir`: another `History` over the same folder, also in
+    another process, goes on where the last committed batch ended. One writer at
+    a time.
+    """
 
     def __init__(self, spark: SparkSession, state_dir: str | None = None, threshold: float = 0.7, few: int = near.FEW):
         self.spark, self.threshold, self.few = spark, threshold, few
-        self.state = state_dir or work_path(spark, "history")
-        self.name = f"docloom_history_{uuid.uuid4().hex[:12]}"
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.empty = True
+        self.state = (state_dir or work_path(spark, "history")).rstrip("/")
+        if "facts" not in list_names(spark, self.state):
+            put_text(spark, f"{self.state}/facts", json.dumps({"buckets": int(spark.conf.get("spark.sql.shuffle.partitions"))}))
+        self.buckets = json.loads(read_text(spark, f"{self.state}/facts"))["buckets"]
+        self.name = f"docloom_history_{uuid.uuid4().hex[:12]}"  # of this session's view of the folder
+        self._define()
+
+    SCHEMAS = {
+        "marks": ("key BIGINT, span INT, since BIGINT, cls BIGINT, n INT, sketch BIGINT", "key"),
+        "pivots": ("cls BIGINT, n INT, pivots ARRAY<INT>", "cls"),
+        "sets": ("cls BIGINT, members ARRAY<INT>", "cls"),
+    }
+
+    def _define(self) -> None:
+        """The folder's tables, with the partitions that are there."""
+        for kind, (columns, key) in self.SCHEMAS.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
+            self.spark.sql(
+                f"CREATE TABLE {self.name}_{kind} ({columns}, lot INT) USING parquet PARTITIONED BY (lot) "
+                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.state}/{kind}'"
+            )
+            if list_names(self.spark, f"{self.state}/{kind}"):
+                self.spark.sql(f"ALTER TABLE {self.name}_{kind} RECOVER PARTITIONS")
 
-    def _table(self, kind: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{kind}")
+    def lots(self) -> list[int]:
+        """The committed lots that were not merged into others."""
+        known = {int(n): json.loads(read_text(self.spark, f"{self.state}/lots/{n}")) for n in list_names(self.spark, f"{self.state}/lots") if n.isdigit()}
+        merged = {m for lot in known.values() for m in lot["of"]}
+        return sorted(n for n in known if n not in merged)
 
-    def _append(self, kind: str, df: DataFrame, key: str) -> None:
-        path = f"{self.state}/{kind}"
-        df.repartition(self.buckets, key).write.mode("append").bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(f"{self.name}_{kind}")
+    def _table(self, kind: str) -> DataFrame:
+        return self.spark.table(f"{self.name}_{kind}").where(F.col("lot").isin(self.lots())).drop("lot")
+
+    def _write(self, lot: int, parts: dict[str, DataFrame], batch: int | None, of: list[int]) -> None:
+        """A lot of all three tables, replacing what a failed try left; it counts when its entry is written."""
+        for kind, rows in parts.items():
+            columns, key = self.SCHEMAS[kind]
+            remove_path(self.spark, f"{self.state}/{kind}/lot={lot}")
+            made = rows.select(*[c.split()[0] for c in columns.split(", ")], F.lit(lot).alias("lot"))
+            made.repartition(self.buckets, key).write.mode("append").format("parquet").partitionBy("lot").bucketBy(self.buckets, key).sortBy(key).option(
+                "path", f"{self.state}/{kind}"
+            ).saveAsTable(f"{self.name}_{kind}")
+        put_text(self.spark, f"{self.state}/lots/{lot}", json.dumps({"batch": batch, "of": of}))
+
+    def done(self) -> set[int]:
+        """The batches that were checked to their end."""
+        return {int(n) for n in list_names(self.spark, f"{self.state}/done") if n.lstrip("-").isdigit()}
+
+    def _last_lot(self) -> int:
+        return max((int(n) for n in list_names(self.spark, f"{self.state}/lots") if n.isdigit()), default=0)
 
     def _bound(self, a: str, b: str) -> Column:
         """The triangle inequality over all pivots, for rows with `n1, n2` and two arrays of pivot counts."""
@@ -90,133 +172,155 @@ class History:
         t = self.threshold
         return gap <= (F.col("n1") + F.col("n2")) * F.lit((1 - t) / (1 + t)) + 1e-9
 
-    def _verified(self, pairs: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-        """`c, other` of the pairs that pass the pivots and then reach the threshold; both sides have `cls, n, pivots, members`."""
-        left = pairs.join(ours.select(F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("pivots").alias("p1"), F.col("members").alias("m1")), "c")
-        both = left.join(theirs.select(F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("pivots").alias("p2"), F.col("members").alias("m2")), "other")
+    def _spans(self, n: Column) -> Column:
+        """The ranges of sizes in which sets lie that one of size `n` can be like, at most two; a range is (1/t)^2 wide."""
+        width = -2 * math.log(self.threshold)
+        low, high = F.ceil(n * self.threshold - 1e-9), F.floor(n / self.threshold + 1e-9)
+        return F.array_distinct(F.array(self._span(low), self._span(F.greatest(high, low))))
+
+    def _span(self, n: Column) -> Column:
+        return F.floor(F.log(n) / (-2 * math.log(self.threshold))).cast("int")
+
+    def _verified(self, pairs: DataFrame, ours: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
+        """`c, other` of the pairs that pass the pivots, and whose sets then reach the threshold."""
+        left = pairs.join(ours.select(F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("pivots").alias("p1")), "c")
+        both = left.join(pivots.select(F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("pivots").alias("p2")), "other")
+        close = both.where(self._bound("p1", "p2")).select("c", "other", "n1", "n2")
+        fetched = close.join(sets.select(F.col("cls").alias("other"), F.col("members").alias("m2")), "other").join(
+            ours.select(F.col("cls").alias("c"), F.col("members").alias("m1")), "c"
+        )
         common = F.size(F.array_intersect("m1", "m2"))
-        return both.where(self._bound("p1", "p2")).where(
-            common / (F.col("n1") + F.col("n2") - common) >= self.threshold
-        ).select("c", "other")
+        return fetched.where(common / (F.col("n1") + F.col("n2") - common) >= self.threshold).select("c", "other")
 
     def _alike(self) -> Column:
         return (F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) <= near.most_bits(self.threshold)) & (
             F.least("n1", "n2") >= self.threshold * F.greatest("n1", "n2") - 1e-9
         )
 
-    def check(self, batch: DataFrame) -> None:
-        """Decide a batch of `features`: the accepted records are appended to the history."""
-        self._pass(batch, batch.drop("symbols"))
+    def check(self, rows: DataFrame, batch: int | None = None) -> None:
+        """Decide a batch of `features`: the accepted records are appended to the history.
 
-    def _pass(self, rows: DataFrame, undecided: DataFrame, every: bool = False) -> None:
-        """With `every`, also all rows of the variants that the stream left open are compared, and no record is in doubt."""
+        With a number, a batch that was checked to its end before is passed over,
+        and what a failed try of it appended is dropped first.
+        """
+        if batch is not None and batch in self.done():
+            return
+        for n in list_names(self.spark, f"{self.state}/lots"):
+            if n.isdigit() and batch is not None and json.loads(read_text(self.spark, f"{self.state}/lots/{n}"))["batch"] == batch:
+                remove_path(self.spark, f"{self.state}/lots/{n}")
+        self._pass(rows, rows.drop("symbols"), batch)
+        if batch is not None:
+            put_text(self.spark, f"{self.state}/done/{batch}", "{}")
+        self._compact()
+
+    def _compact(self) -> None:
+        """Merge the last lots when there are `FAN` that were not merged yet; the merged one lies in their place."""
+        fresh = [n for n in self.lots() if not json.loads(read_text(self.spark, f"{self.state}/lots/{n}"))["of"]]
+        if len(fresh) < FAN:
+            return
+        lot = self._last_lot() + 1
+        self._write(lot, {k: self.spark.table(f"{self.name}_{k}").where(F.col("lot").isin(fresh)).drop("lot") for k in self.SCHEMAS}, None, fresh)
+        for n in fresh:
+            for kind in self.SCHEMAS:
+                self.spark.sql(f"ALTER TABLE {self.name}_{kind} DROP IF EXISTS PARTITION (lot = {n})")
+                remove_path(self.spark, f"{self.state}/{kind}/lot={n}")
+
+    def _pass(self, rows: DataFrame, undecided: DataFrame, batch: int | None, level: int = 1) -> None:
+        """One pass over the records not decided yet, and another over those that it leaves in doubt.
+
+        Members of a variant too long to be paired are compared with its earliest
+        record only and are in doubt unless that settles them. At level 2 they
+        are keyed by longer keys, at level 3 all rows of what is long still are compared.
+        """
         classes = settle(
             undecided.where("cls IS NOT NULL").groupBy("cls").agg(
                 F.min("ord").alias("first"), *[F.first(c).alias(c) for c in ("n", "sketch", "pivots", "members", "balls")]
             ),
             "classes",
         )
-        keyed = classes.select(F.explode("balls").alias("key"), F.col("first").alias("ord"), "cls", "n", "sketch")
         left = undecided.select("doc_id", "ord", "url_key", "text_key", "cls")
-        if not self.empty:
-            # One probe of the history: its addresses, texts and sets by their keys, its variants by theirs.
-            asked = undecided.select("ord", F.explode(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"))
-            probe = keyed.select("key", F.lit(None).cast("bigint").alias("ord"), F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("sketch").alias("s1")).unionByName(
-                asked.select("key", "ord", F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("int").alias("n1"), F.lit(None).cast("bigint").alias("s1"))
-            )
-            old = self._table("marks").select("key", F.col("since"), F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
-            met = settle(
-                probe.join(old, "key").where((F.col("ord").isNotNull() & F.col("since").isNotNull()) | self._alike()).select("ord", "c", "other").distinct(),
-                "met",
-            )
-            hit = self._verified(met.where("c IS NOT NULL").select("c", "other"), classes, self._table("classes")).select(F.col("c").alias("cls")).distinct()
-            gone = met.where("ord IS NOT NULL").select("ord").unionByName(left.join(hit, "cls").select("ord")).distinct()
-            left = settle(left.join(gone.withColumn("gone", F.lit(True)), "ord", "left"), "left")
-            left = left.where("gone IS NULL").drop("gone")
+        if self.lots():
+            left = self._new(left, classes)
         # Links within the batch, among the records that the history leaves.
-        alive = keyed.join(left.groupBy("cls").agg(F.min("ord").alias("o")), "cls").select("key", F.col("o").alias("ord"), "cls", "n", "sketch")
-        stream = settle(near._streamed(alive, self.threshold, self.few), "stream")
+        alive = classes.join(left.groupBy("cls").agg(F.min("ord").alias("ord")), "cls")
+        if level == 1:
+            keyed = alive.select(F.explode("balls").alias("key"), "ord", "cls", "n", "sketch")
+        else:
+            keyed = settle(near.deep_variants(alive.select("ord", "cls", "n", "sketch", F.col("members").cast("array<bigint>").alias("grams"))), "deep")
+        stream = settle(near._streamed(keyed, self.threshold, self.few), "stream")
         pairs = stream.where("b IS NOT NULL").select(F.col("a").alias("c"), F.col("b").alias("other"))
         open_keys = near.open_variants(stream)
         unsure = None
         if not open_keys.isEmpty():
-            lead = alive.join(open_keys, "key", "left_semi")
-            if every:
+            lead = keyed.join(open_keys, "key", "left_semi")
+            if level == 3:
                 more = near.joined(lead, lead, self.threshold).where("cls < cls2")
                 pairs = pairs.unionByName(more.select(F.col("cls").alias("c"), F.col("cls2").alias("other")))
             else:
                 firsts = lead.groupBy("key").agg(F.min("ord").alias("lead"))
                 unsure = lead.join(firsts, "key").where("ord > lead").select("cls").distinct()
-        linked = self._verified(pairs.distinct(), classes, classes)
+        linked = self._verified(pairs.distinct(), classes, classes, classes)
         links = settle(linked.unionByName(linked.select(F.col("other").alias("c"), F.col("c").alias("other"))), "links")
         status, waiting = self._resolve(left, links, unsure)
-        self._accept(rows.join(status.where("state = 1").select("ord"), "ord", "left_semi"))
+        self._accept(rows.join(status.where("state = 1").select("ord"), "ord", "left_semi"), batch)
         if waiting:
-            # Members of variants too long to be paired: the accepted are history by now, near copies of the leaders
-            # are gone, and the rest is a batch of its own, of which all pairs are compared.
-            self._pass(rows, undecided.join(status.where("state = 0").select("ord"), "ord", "left_semi"), every=True)
+            # The accepted are history by now, near copies of the leaders are gone, and the rest is a batch of its own.
+            self._pass(rows, undecided.join(status.where("state = 0").select("ord"), "ord", "left_semi"), batch, level + 1)
+
+    def _new(self, left: DataFrame, classes: DataFrame) -> DataFrame:
+        """Those of `left` that no accepted record has the address, the text or nearly the set of; one probe of the history."""
+        spans = classes.select("balls", F.explode(self._spans(F.col("n"))).alias("span"), F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
+        near_keys = spans.select(F.explode("balls").alias("ball"), "span", "c", "n1", "s1").select(F.xxhash64("ball", "span").alias("key"), F.lit(None).cast("bigint").alias("ord"), "c", "n1", "s1")
+        own = left.select(
+            F.explode(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"), "ord",
+            F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("int").alias("n1"), F.lit(None).cast("bigint").alias("s1"),
+        )
+        reached = classes.select(F.explode(self._spans(F.col("n"))).alias("span")).agg(F.min("span"), F.max("span")).first()
+        old = self._table("marks")
+        # Only the ranges of sizes that the batch reaches are read; -1 are the addresses and texts.
+        within = F.col("span") == -1
+        if reached[0] is not None:
+            within = (F.col("span") <= reached[1]) & ((F.col("span") == -1) | (F.col("span") >= reached[0]))
+        old = old.where(within).select("key", "since", F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
+        met = settle(
+            near_keys.unionByName(own).join(old, "key")
+            .where((F.col("ord").isNotNull() & F.col("since").isNotNull()) | self._alike()).select("ord", "c", "other").distinct(),
+            "met",
+        )
+        pairs = met.where("c IS NOT NULL").select("c", "other")
+        hit = self._verified(pairs, classes, self._table("pivots"), self._table("sets")).select(F.col("c").alias("cls")).distinct()
+        gone = met.where("ord IS NOT NULL").select("ord").unionByName(left.join(hit, "cls").select("ord")).distinct()
+        return settle(left.join(gone, "ord", "left_anti"), "left")
 
     def _resolve(self, left: DataFrame, links: DataFrame, unsure: DataFrame | None) -> tuple[DataFrame, int]:
-        """`ord, state`: 1 accepted, 2 a duplicate of one accepted before it in the batch, 0 to be seen again; and how many of those.
-
-        A record waits while an earlier record with a key in common is open. A
-        key carries the earliest accepted and the earliest open record of its
-        members, so that a key of any number of records is combined before it is
-        shuffled. Each round decides at least the earliest open record.
-        """
-        member = left.select("ord", F.explode(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"), F.lit(True).alias("own"))
-        sees = member.unionByName(
-            left.join(links.select(F.col("c").alias("cls"), "other"), "cls").select("ord", F.col("other").alias("key"), F.lit(False).alias("own"))
-        )
-        shared = sees.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        busy = settle(sees.join(shared, "key", "left_semi"), "sees")
-        member = busy.where("own").select("ord", "key")
-        state = left.select("ord", "cls").join(busy.select("ord").distinct().withColumn("busy", F.lit(True)), "ord", "left")
+        """`ord, state` of `left`, and how many are to be seen again: those in doubt that no accepted record of the batch settles."""
+        own = left.select("ord", F.explode(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"))
+        like = left.join(links.select(F.col("c").alias("cls"), "other"), "cls").select("ord", F.col("other").alias("key"))
+        records = left.select("ord", "cls")
         if unsure is not None:
-            state = state.join(unsure.withColumn("doubt", F.lit(True)), "cls", "left").withColumn("doubt", F.coalesce("doubt", F.lit(False)))
-        else:
-            state = state.withColumn("doubt", F.lit(False))
-        state = state.select("ord", "doubt", F.when(F.col("busy").isNull() & ~F.col("doubt"), 1).otherwise(0).alias("state"))
-        while True:
-            seen = member.join(state, "ord").where("state < 2").groupBy("key").agg(
-                F.min(F.when(F.col("state") == 1, F.col("ord"))).alias("accepted"), F.min(F.when(F.col("state") == 0, F.col("ord"))).alias("open")
-            )
-            view = busy.join(seen, "key").groupBy("ord").agg(
-                F.max(F.coalesce(F.col("accepted") < F.col("ord"), F.lit(False))).alias("dup"),
-                F.max(F.coalesce(F.col("open") < F.col("ord"), F.lit(False))).alias("wait"),
-            )
-            after = settle(
-                state.join(view, "ord", "left").select(
-                    "ord", "doubt",
-                    F.when(F.col("state") > 0, F.col("state")).when(F.col("dup"), 2)
-                    .when(~F.coalesce("wait", F.lit(False)) & ~F.col("doubt"), 1).otherwise(0).alias("state"),
-                    F.col("state").alias("before"),
-                ),
-                "state",
-            )
-            moved, open_ = after.agg(F.count_if(F.col("state") != F.col("before")), F.count_if(F.col("state") == 0)).first()
-            state = after.drop("before")
-            if not moved or not open_:
-                return state.select("ord", "state"), open_
+            records = records.join(unsure.withColumn("doubt", F.lit(True)), "cls", "left").withColumn("doubt", F.coalesce("doubt", F.lit(False)))
+        return order.decide(records, own, own.unionByName(like))
 
-    def _accept(self, accepted: DataFrame) -> None:
+    def _accept(self, accepted: DataFrame, batch: int | None) -> None:
         # Also without any key there is a row, which says that the record was accepted.
         own = accepted.select(
-            F.explode_outer(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"), F.col("ord").alias("since"),
+            F.explode_outer(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"), F.lit(-1).alias("span"), F.col("ord").alias("since"),
             F.lit(None).cast("bigint").alias("cls"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("bigint").alias("sketch"),
         )
         sets = accepted.where("cls IS NOT NULL")
-        balls = sets.select(F.explode("balls").alias("key"), F.lit(None).cast("bigint").alias("since"), "cls", "n", "sketch")
-        self._append("marks", own.unionByName(balls), "key")
-        self._append("classes", sets.select("cls", "n", "pivots", "members"), "cls")
-        self.empty = False
+        balls = sets.select(F.explode("balls").alias("ball"), self._span(F.col("n")).alias("span"), "cls", "n", "sketch").select(
+            F.xxhash64("ball", "span").alias("key"), "span", F.lit(None).cast("bigint").alias("since"), "cls", "n", "sketch"
+        )
+        self._write(self._last_lot() + 1, {"marks": own.unionByName(balls), "pivots": sets, "sets": sets}, batch, [])
 
     def verdicts(self, rows: DataFrame) -> DataFrame:
         """`doc_id, ord, duplicate_type` of those of the checked `rows` that were not accepted.
 
         The type is the first reason that holds against the records accepted before each.
         """
-        marks = self._table("marks").where("since IS NOT NULL")
+        if not self.lots():
+            return rows.select("doc_id", "ord", F.lit(None).cast("string").alias("duplicate_type")).limit(0)
+        marks = self._table("marks").where("span = -1")
         mine = rows.select("doc_id", "ord", "url_key", "text_key").join(marks.select(F.col("since").alias("ord")), "ord", "left_anti")
         mine = settle(mine, "duplicates")
         probe = mine.select("ord", F.explode(F.array(
@@ -234,31 +338,30 @@ class History:
         )
 
     def close(self) -> None:
-        for kind in ("marks", "classes"):
+        """Forget this session's tables; the folder stays."""
+        for kind in self.SCHEMAS:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
 
 
-def check_batches(records: DataFrame, threshold: float = 0.7, few: int = near.FEW) -> DataFrame:
+def check_batches(records: DataFrame, threshold: float = 0.7, few: int = near.FEW, state_dir: str | None = None) -> DataFrame:
     """`doc_id, ord, duplicate_type` of the duplicates, batch by batch in the order of `batch_no` (null counts as 0), `seq_no`.
 
     Null addresses and null texts match nothing; an empty text is exactly like
-    another empty text; texts of under three words are near to none. Of two
-    records with one `seq_no` either may count as the earlier. An empty table
-    gives no rows.
+    another empty text; texts of under three words are near to none. Records of
+    one `seq_no`, or without one, are ordered by their contents. An empty table
+    gives no rows. With a `state_dir`, the batches also go against what earlier
+    calls with it accepted; a batch number counts once.
     """
     spark = records.sparkSession
     path = work_path(spark, "features")
     made = features(records)
-    made.write.partitionBy("batch_no").parquet(path)
+    made.write.partitionBy("batch").parquet(path)
     kept = spark.read.schema(made.schema).parquet(path)
     # One value for each batch.
-    numbers = sorted({-1 if r[0] is None else r[0] for r in kept.select("batch_no").distinct().collect()})
-    history = History(spark, threshold=threshold, few=few)
+    numbers = sorted(r[0] for r in kept.select("batch").distinct().collect())
+    history = History(spark, state_dir, threshold=threshold, few=few)
     for number in numbers:
-        batch = kept.where(F.col("batch_no").isNull() if number == -1 else F.col("batch_no") == number)
-        history.check(batch.drop("batch_no"))
-    if not numbers:
-        return kept.select("doc_id", "ord", F.lit(None).cast("string").alias("duplicate_type"))
+        history.check(kept.where(F.col("batch") == number).drop("batch"), number)
     out = history.verdicts(kept)
     history.close()
     return out

@@ -11,8 +11,11 @@ Texts with the same set of shingles form one class before anything is paired.
 The rows of a variant are spread by a range partitioning on (variant, random
 order), so a variant shared by any number of texts is split over tasks, and a
 task reads its rows as a stream. Variants of few rows give all their pairs, long
-ones a star around a leader; pairs of a long variant that the stars leave in
-different groups are compared in a second pass, so no link is lost to the star.
+ones a star around a leader. Texts of a long variant that the stars leave in
+different groups, such as pages over one template, go through a second pass with
+longer keys, in which what they have in common no longer makes a variant: those
+variants are short again and are paired, and of the few that stay long, pairs of
+different groups are compared one by one. So no link is lost to the star.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from docloom.session import pick, settle, table
 
 #: Symbols of a table, tables, rows of a variant that are still paired one by one.
 WIDTH, TABLES, FEW = 5, 9, 16
-#: Blocks that a variant is cut into where all its rows are compared.
+#: Symbols of a key of the second pass, and keys: a pair of similarity 0.7 has none in common with probability 0.0011.
+DEEP_WIDTH, DEEP_KEYS = 8, 115
+#: Blocks that a variant is cut into where its rows are compared one by one.
 BLOCKS = 8
 SKETCH_BITS = 48
 #: A pair of similarity 0.7 disagrees in 0.15 of the sketch's bits; this many is 4.5 deviations above.
@@ -42,14 +47,14 @@ def shingles(text: Column, n: int = 3) -> Column:
     return F.array_distinct(let(words(text, LETTERS_DIGITS), lambda w: grams(w, n)))
 
 
-def _constants(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(_PRIME_SEED)
+def _constants(count: int, seed: int = _PRIME_SEED) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return rng.integers(1, 2**63, count, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, count, dtype=np.uint64)
 
 
-def min_symbols(values: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
+def min_symbols(values: np.ndarray, offsets: np.ndarray, count: int, seed: int = _PRIME_SEED) -> np.ndarray:
     """`count` min-hash symbols for each slice of `values`; all slices must be non-empty."""
-    mul, add = _constants(count)
+    mul, add = _constants(count, seed)
     values = values.view(np.uint64)
     out = np.empty((len(offsets) - 1, count), dtype=np.uint64)
     for i in range(count):
@@ -60,29 +65,42 @@ def min_symbols(values: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarr
     return (out >> np.uint64(11)) ^ out
 
 
-def ball_keys(symbols: np.ndarray) -> np.ndarray:
-    """For each row of symbols the keys of its variants with one symbol erased, table by table."""
-    mixed = symbols.view(np.uint32).astype(np.uint64)
-    out = np.empty(symbols.shape, dtype=np.uint64)
-    for t in range(TABLES):
-        for gone in range(WIDTH):
-            at = t * WIDTH + gone
-            key = np.full(len(symbols), at + 1, dtype=np.uint64)
-            for i in range(WIDTH):
-                if i != gone:
-                    key = (key ^ mixed[:, t * WIDTH + i]) * np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
-            out[:, at] = key
-    return out.view(np.int64)
-
-
-def fingerprint_batches(batches: Iterator[pa.RecordBatch], pivots: int = 0) -> Iterator[pa.RecordBatch]:
+def deep_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns the last column, non-empty sets of shingles, into the keys of the second pass."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        array = batch.column(batch.num_columns - 1)
+        offsets = np.asarray(array.offsets, dtype=np.int64)
+        values = np.asarray(array.values)[offsets[0] : offsets[-1]]
+        symbols = min_symbols(values, offsets - offsets[0], DEEP_WIDTH * DEEP_KEYS, _PRIME_SEED + 1)
+        keys = np.empty((batch.num_rows, DEEP_KEYS), dtype=np.uint64)
+        for k in range(DEEP_KEYS):
+            key = np.full(batch.num_rows, k + 1, dtype=np.uint64)
+            for i in range(DEEP_WIDTH):
+                key = (key ^ symbols[:, k * DEEP_WIDTH + i]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            keys[:, k] = key
+        made = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).reshape(-1)), DEEP_KEYS).cast(pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], "key"])
+
+
+def deep_variants(rows: DataFrame) -> DataFrame:
+    """`key, ord` and the other columns of `rows` (with `cls` and a non-empty `grams`): a row for each longer key."""
+    others = [f for f in rows.schema.fields if f.name != "grams"]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    keyed = rows.select(*[f.name for f in others], "grams").mapInArrow(deep_batches, f"{kept}, key array<bigint>")
+    single = keyed.select(*[f.name for f in others], F.explode("key").alias("key"))
+    return single if "ord" in single.columns else single.withColumn("ord", F.col("cls").bitwiseXOR(F.col("key")))
+
+
+def fingerprint_batches(batches: Iterator[pa.RecordBatch], pivots: int = 0, keys=None, width: int = 0) -> Iterator[pa.RecordBatch]:
     """Turns the column `grams` into `cls, n, sketch, symbols`; the other columns stay.
 
     Empty sets drop out. With `pivots`, they stay with nulls, and three columns
     more come out: `pivots`, the members in each of so many hash classes,
-    `members`, the set as sorted 32-bit hashes, and `balls`, the keys of all
-    variants of the fingerprint.
+    `members`, the set as sorted 32-bit hashes, and `balls`, what `keys` makes of
+    the first `width` symbols.
     """
     for batch in batches:
         if pivots:
@@ -134,19 +152,20 @@ def fingerprint_batches(batches: Iterator[pa.RecordBatch], pivots: int = 0) -> I
             low = low[np.lexsort((low, owner))]
             columns.append(pa.FixedSizeListArray.from_arrays(pa.array(counts.reshape(-1)), pivots).cast(pa.list_(pa.int32())))
             columns.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(low)))
-            columns.append(pa.FixedSizeListArray.from_arrays(pa.array(ball_keys(part).reshape(-1)), WIDTH * TABLES).cast(pa.list_(pa.int64())))
+            balls = keys(symbols[:, :width])
+            columns.append(pa.FixedSizeListArray.from_arrays(pa.array(balls.reshape(-1)), balls.shape[1]).cast(pa.list_(pa.int64())))
             names += ["pivots", "members", "balls"]
         elif pivots:
             continue
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def fingerprints(rows: DataFrame, pivots: int = 0) -> DataFrame:
+def fingerprints(rows: DataFrame, pivots: int = 0, keys=None, width: int = 0) -> DataFrame:
     """Rows with a column `grams` of shingle hashes get the columns of `fingerprint_batches` in its place."""
     others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "grams")
     more = ", pivots array<int>, members array<int>, balls array<bigint>" if pivots else ""
     return rows.mapInArrow(
-        lambda batches: fingerprint_batches(batches, pivots),
+        lambda batches: fingerprint_batches(batches, pivots, keys, width),
         f"{others}, cls bigint, n int, sketch bigint, symbols array<int>{more}",
     )
 
@@ -173,7 +192,7 @@ def _alike(n1, s1, n2, s2, threshold: float):
 
 
 def pair_stream(threshold: float, few: int):
-    """A pass over rows sorted by variant: pairs to verify, and the variants that need the second pass.
+    """A pass over rows `key, cls, n, sketch, root` sorted by variant: pairs of different roots to verify, and variants not fully paired.
 
     Output rows are `key, a, b`; a row without `b` says that the rows of `key`
     may not all have been paired: without `a` as well it is a long variant, with
@@ -199,12 +218,12 @@ def pair_stream(threshold: float, few: int):
             return pa.RecordBatch.from_arrays([pa.array([key]), none, none], ["key", "a", "b"])
 
         def star(key, lead, rows):
-            n, s, c = rows[2], rows[3], rows[1]
-            ok = _alike(n, s, lead[2], lead[3], threshold) & (c != lead[1])
+            n, s, c, root = rows[2], rows[3], rows[1], rows[4]
+            ok = _alike(n, s, lead[2], lead[3], threshold) & (root != lead[4])
             return out(np.full(ok.sum(), key), np.full(ok.sum(), lead[1]), c[ok])
 
         def closed(rows):
-            key, cls, n, s = rows
+            key, cls, n, s, root = rows
             new = np.concatenate([[True], key[1:] != key[:-1]])
             begin = np.flatnonzero(new)
             length = np.diff(np.append(begin, len(key)))
@@ -214,7 +233,7 @@ def pair_stream(threshold: float, few: int):
                 i = np.flatnonzero(short[d:] & (run_of[d:] == run_of[:-d]))
                 if not len(i):
                     break
-                i = i[_alike(n[i], s[i], n[i + d], s[i + d], threshold) & (cls[i] != cls[i + d])]
+                i = i[_alike(n[i], s[i], n[i + d], s[i + d], threshold) & (root[i] != root[i + d])]
                 if len(i):
                     yield out(key[i], cls[i], cls[i + d])
             for r in np.flatnonzero(length > few):
@@ -226,7 +245,7 @@ def pair_stream(threshold: float, few: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("key", "cls", "n", "sketch")]
+            rows = [np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("key", "cls", "n", "sketch", "root")]
             if first_key is None:
                 first_key = rows[0][0]
                 yield flags(rows[0][:1], rows[1][:1])
@@ -260,7 +279,8 @@ def pair_stream(threshold: float, few: int):
 def _streamed(rows: DataFrame, threshold: float, few: int) -> DataFrame:
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = rows.repartitionByRange(parts, "key", "ord").sortWithinPartitions("key", "ord")
-    return spread.select("key", "cls", "n", "sketch").mapInArrow(
+    root = F.col("root") if "root" in rows.columns else F.col("cls").alias("root")
+    return spread.select("key", "cls", "n", "sketch", root).mapInArrow(
         pair_stream(threshold, few), "key bigint, a bigint, b bigint"
     )
 
@@ -345,93 +365,100 @@ class NearDuplicates:
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
             F.first("symbols").alias("symbols"),
         )
-        self._sets: DataFrame | None = None
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Read the texts of the paired classes only, and compare the sets themselves."""
-        pairs = settle(pairs.select("a", "b").distinct(), "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        wanted = settle(self.classes.select("cls", "doc_id").join(ends, "cls", "left_semi"), "wanted")
+    def _sets(self, ends: DataFrame) -> DataFrame:
+        """`cls, grams` of the classes in `ends` (`cls`); only their texts are read, one of each class."""
+        wanted = settle(self.classes.select("cls", "doc_id").join(ends.distinct(), "cls", "left_semi"), "wanted")
         texts = self.docs.join(wanted, "doc_id").dropDuplicates(["cls"])
-        sets = settle(texts.select("cls", shingles(F.col("text")).alias("grams")), "sets")
-        return settle(verify(pairs, sets, self.threshold), "links")
+        return settle(texts.select("cls", shingles(F.col("text")).alias("grams")), "sets")
 
-    def links(self, every: bool = False) -> DataFrame:
-        """`a, b, similarity`: links between classes that connect every group, stars for long variants; with `every`, all links."""
+    def _verified(self, pairs: DataFrame, threshold: float | None = None) -> DataFrame:
+        """The sets themselves compared: `a, b, similarity` of the pairs that reach the threshold."""
+        pairs = settle(pairs.select("a", "b").distinct(), "pairs")
+        self.compared.append(pairs)
+        sets = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")))
+        return settle(verify(pairs, sets, self.threshold if threshold is None else threshold), "links")
+
+    def links(self) -> DataFrame:
+        """`a, b, similarity`: links between classes that connect every group, stars for long variants."""
+        #: the pairs whose sets were compared, table by table
+        self.compared: list[DataFrame] = []
         rows = variants(self.classes)
         stream = settle(_streamed(rows, self.threshold, self.few), "candidates")
-        first = self._verified(stream.where("b IS NOT NULL"))
-        borders = open_variants(stream)
-        if borders.isEmpty():
-            return first
-        if every:
-            # All pairs of the long variants that the stars don't hold.
-            spread = settle(rows.join(borders, "key", "left_semi").select("key", "cls", "n", "sketch"), "long")
-            more = joined(spread, spread, self.threshold).where("cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
-            done = stream.where("b IS NOT NULL").select("a", "b")
-            return first.unionByName(self._verified(more.distinct().join(done, ["a", "b"], "left_anti")))
-        roots = components(first).withColumnRenamed("node", "cls")
-        spread = (
-            rows.join(borders, "key", "left_semi")
-            .join(roots, "cls", "left")
-            .withColumn("root", F.coalesce("root", "cls"))
-        )
-        spread = settle(spread, "long")
+        links = self._verified(stream.where("b IS NOT NULL"))
+        mixed = self._mixed(rows, stream, links)
+        if mixed is None:
+            return links
+        # The second pass: of variants with different groups all texts, by longer keys.
+        parts = settle(mixed.select("cls", "n", "sketch", "root").distinct(), "parts")
+        deep = settle(deep_variants(parts.join(self._sets(parts.select("cls")), "cls")), "deep")
+        stream = settle(_streamed(deep, self.threshold, self.few), "candidates")
+        links = links.unionByName(self._verified(stream.where("b IS NOT NULL")))
+        mixed = self._mixed(deep.drop("root"), stream, links)
+        if mixed is None:
+            return links
+        # Long still: those outside a variant's largest group against all its rows.
         largest = (
-            spread.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
+            mixed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
             .agg(F.max_by("root", F.struct("m", "root")).alias("main"))
         )
-        # All pairs of which not both are in the variant's largest group: the others against all its rows.
-        minor = spread.join(largest, "key").where("root <> main").select("key", "cls", "n", "sketch", "root")
-        more = joined(spread.select("key", "cls", "n", "sketch", "root"), minor, self.threshold).where("root <> root2").select(
+        minor = mixed.join(largest, "key").where("root <> main").select("key", "cls", "n", "sketch", "root")
+        more = joined(mixed.select("key", "cls", "n", "sketch", "root"), minor, self.threshold).where("root <> root2").select(
             F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")
         )
-        return first.unionByName(self._verified(more))
+        return links.unionByName(self._verified(more))
 
-    def groups(self, every: bool = True) -> DataFrame:
-        """`doc_id, root, duplicate_of, similarity, n_links`: one row for each record of a group.
+    def _mixed(self, rows: DataFrame, stream: DataFrame, links: DataFrame) -> DataFrame | None:
+        """The rows, with their `root`, of the long variants that hold more than one group; None if there are none."""
+        borders = open_variants(stream)
+        if borders.isEmpty():
+            return None
+        roots = components(links).withColumnRenamed("node", "cls")
+        spread = rows.join(borders, "key", "left_semi").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        spread = settle(spread, "long")
+        several = spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        mixed = settle(spread.join(several.select("key"), "key", "left_semi"), "mixed")
+        return None if mixed.isEmpty() else mixed
+
+    def members(self) -> DataFrame:
+        """`doc_id, root, cls`: each record of a group, by the links between classes and by equal sets."""
+        links = self.links()
+        roots = components(links).withColumnRenamed("node", "cls")
+        copies = self.prints.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
+        known = copies.join(roots, "cls", "left").where("copies > 1 OR root IS NOT NULL")
+        return settle(self.prints.select("doc_id", "cls").join(known, "cls").select("doc_id", F.coalesce("root", "cls").alias("root"), "cls"), "members")
 
-        `duplicate_of` is the smallest `doc_id` of the group (null for that record
-        itself), `similarity` the largest of the record's links (1 for a set that
-        occurs again), `n_links` the verified links of its class. Without `every`,
-        these two only count the links that connect the groups. Records that are
+    def groups(self) -> DataFrame:
+        """`doc_id, group_id, duplicate_of, similarity`: one row for each record of a group.
+
+        `group_id` is the smallest `doc_id` of the group, `duplicate_of` the same
+        (null for that record itself) and `similarity` that of the two records'
+        sets; in a chain of links it may be below the threshold. Records that are
         like no other, and texts of under three words, have no row.
         """
-        links = self.links(every)
-        self.edges = links
-        roots = components(links)
-        ends = links.select(F.col("a").alias("cls"), "similarity").unionByName(links.select(F.col("b").alias("cls"), "similarity"))
-        best = ends.groupBy("cls").agg(F.max("similarity").alias("s"), F.count(F.lit(1)).alias("n_links"))
-        copies = self.prints.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"))
-        known = (
-            copies.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(best, "cls", "left")
-            .where("copies > 1 OR root IS NOT NULL")
-        )
-        rows = self.prints.select("doc_id", "cls").join(known, "cls").select(
-            "doc_id",
-            F.coalesce("root", "cls").alias("root"),
-            F.when(F.col("copies") > 1, 1.0).otherwise(F.col("s")).alias("similarity"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        )
-        rows = settle(rows, "groups")
-        smallest = rows.groupBy("root").agg(F.min("doc_id").alias("first"))
-        return rows.join(smallest, "root").select(
-            "doc_id", "root", F.when(F.col("doc_id") != F.col("first"), F.col("first")).alias("duplicate_of"), "similarity", "n_links"
+        rows = self.members()
+        first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("f"))
+        placed = settle(rows.join(first, "root").select("doc_id", "cls", F.col("f.doc_id").alias("group_id"), F.col("f.cls").alias("first_cls")), "placed")
+        pairs = placed.where("cls <> first_cls").select(F.least("cls", "first_cls").alias("a"), F.greatest("cls", "first_cls").alias("b"))
+        scores = self._verified(pairs, threshold=-1.0)
+        return placed.withColumn("a", F.least("cls", "first_cls")).withColumn("b", F.greatest("cls", "first_cls")).join(scores, ["a", "b"], "left").select(
+            "doc_id", "group_id", F.when(F.col("doc_id") != F.col("group_id"), F.col("group_id")).alias("duplicate_of"),
+            F.when(F.col("doc_id") != F.col("group_id"), F.coalesce("similarity", F.lit(1.0))).alias("similarity"),
         )
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of records in the same group, as the statement of the problem asks."""
-    groups = settle(NearDuplicates(table(spark, sf_dir, "pdf_results")).groups(every=False).select("root", "doc_id"), "members")
+    groups = NearDuplicates(table(spark, sf_dir, "pdf_results")).members()
     a = groups.select("root", F.col("doc_id").alias("doc_id_a"))
     b = groups.select("root", F.col("doc_id").alias("doc_id_b"))
     return a.join(b, "root").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
 
 
 def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each record of a group with its duplicate_of, similarity and number of links."""
+    """Each record of a group with its group, what it is a duplicate of, and their similarity."""
     groups = NearDuplicates(table(spark, sf_dir, "pdf_results")).groups()
-    return groups.select("doc_id", "duplicate_of", F.round("similarity", 6).alias("similarity"), "n_links")
+    return groups.select("doc_id", "group_id", "duplicate_of", F.round("similarity", 6).alias("similarity"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}

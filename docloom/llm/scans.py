@@ -46,7 +46,7 @@ CUTS = "-¬‐­"
 _NUMBER = re.compile(r"^\W*(?:(page|p\.?|ukurasa|uk\.?)\s*)?([\dlIOo]{1,5}|[ivxl]{1,6})(?:\s*(of|/|ya)\s*[\dlIOo]{1,5})?\W*$", re.I)
 _FIGURE = re.compile(r"^(?=.*\d)(?=.*[lIOo])[\dlIOo]+$")
 _PLAIN = re.compile(r"^[\dlIOo]+$")
-_TOKEN = re.compile(r"[^\W_@$|](?:[^\W_]|[@$|!](?=[^\W_]))*|[@$|](?:[^\W_]|[@$|!](?=[^\W_]))*[^\W_]")
+_TOKEN = re.compile(r"[^\W_]+(?:[@$|!][^\W_]+)*|[@$|][@$|!]?[^\W_]+(?:[@$|!][^\W_]+)*")
 
 
 def fold_column(word: Column) -> Column:
