@@ -314,8 +314,8 @@ SELECT query_id, vec_id, r2::INTEGER AS rank FROM f WHERE r2 <= 15""",
     "retrieval_by_persona": f"""WITH k AS ({_RANKED}), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS r2 FROM k WHERE r <= 75
 AND (persona = 'sme' OR list_contains(string_split(persona, ','), 'sme')) AND life_stage = 'advanced'),
 g AS (SELECT *, coalesce(persona IN ('', 'sme', 'general'), true) AND coalesce(life_stage IN ('', 'advanced'), true) AS fits FROM f WHERE r2 <= 15),
-h AS (SELECT *, bool_or(fits) OVER (PARTITION BY query_id) AS some FROM g)
-SELECT query_id, vec_id, rank::INTEGER AS rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY r2) AS rank FROM h WHERE fits OR NOT some) WHERE rank <= 5""",
+h AS (SELECT *, bool_or(fits) OVER (PARTITION BY query_id) AS one_fits FROM g)
+SELECT query_id, vec_id, rank::INTEGER AS rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY r2) AS rank FROM h WHERE fits OR NOT one_fits) WHERE rank <= 5""",
     "source_records": f"""SELECT query_id, r::INTEGER AS rank, 'Unknown' AS title, 'Unknown' AS source_name, source_id, '' AS institution_type, '' AS doc_type, '' AS section, '' AS url, '' AS chunk_id,
 persona, life_stage, '' AS risk_level, '' AS product_type, 0.0::DOUBLE AS relevance_score, 'vector ' || vec_id || ', of which more is told here' AS preview FROM ({_RANKED}) WHERE r <= 3""",
     "documents_by_filter": "SELECT source_id, count(DISTINCT doc_id) AS docs FROM doc_metadata WHERE list_contains(string_split(persona, ','), 'student') GROUP BY source_id",
