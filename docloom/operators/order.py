@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import settle
+from docloom.session import settle, settle_counted
 
 
 def decide(records: DataFrame, own: DataFrame, sees: DataFrame) -> tuple[DataFrame, int]:
@@ -20,33 +20,35 @@ def decide(records: DataFrame, own: DataFrame, sees: DataFrame) -> tuple[DataFra
     open record without doubt; on an order that has nothing to do with likeness
     a few rounds decide all.
     """
-    shared = sees.groupBy("key").agg(F.count_distinct("ord").alias("n")).where("n > 1").select("key")
-    busy = settle(sees.select("ord", "key").distinct().join(shared, "key", "left_semi"), "sees")
-    member = busy.join(own.select("ord", "key").distinct(), ["ord", "key"], "left_semi")
+    # A record's own keys are among those that it sees.
+    seen = own.select("ord", "key", F.lit(True).alias("own")).unionByName(sees.select("ord", "key", F.lit(False).alias("own")))
+    pairs = seen.groupBy("ord", "key").agg(F.max("own").alias("own"))
+    shared = sees.groupBy("key").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("key")
+    busy = settle(pairs.join(shared, "key", "left_semi"), "sees")
     doubt = F.col("doubt") if "doubt" in records.columns else F.lit(False)
     state = records.select("ord", doubt.alias("doubt")).join(busy.select("ord").distinct().withColumn("busy", F.lit(True)), "ord", "left")
     state = state.select("ord", "doubt", F.when(F.col("busy").isNull() & ~F.col("doubt"), 1).otherwise(0).alias("state"))
     while True:
-        seen = member.join(state, "ord").where("state < 2").groupBy("key").agg(
+        at = busy.join(state, "ord")
+        held = at.where("own AND state < 2").groupBy("key").agg(
             F.min(F.when(F.col("state") == 1, F.col("ord"))).alias("accepted"), F.min(F.when(F.col("state") == 0, F.col("ord"))).alias("open")
         )
-        view = busy.join(seen, "key").groupBy("ord").agg(
+        view = busy.join(held, "key").groupBy("ord").agg(
             F.max(F.coalesce(F.col("accepted") < F.col("ord"), F.lit(False))).alias("dup"),
             F.max(F.coalesce(F.col("open") < F.col("ord"), F.lit(False))).alias("wait"),
         )
-        after = settle(
+        after, count = settle_counted(
             state.join(view, "ord", "left").select(
                 "ord", "doubt",
                 F.when(F.col("state") > 0, F.col("state")).when(F.col("dup"), 2)
                 .when(~F.coalesce("wait", F.lit(False)) & ~F.col("doubt"), 1).otherwise(0).alias("state"),
                 F.col("state").alias("before"),
             ),
-            "state",
+            "state", moved=F.col("state") != F.col("before"), open=F.col("state") == 0,
         )
-        moved, open_ = after.agg(F.count_if(F.col("state") != F.col("before")), F.count_if(F.col("state") == 0)).first()
         state = after.drop("before")
-        if not moved or not open_:
-            return state.select("ord", "state"), open_
+        if not count["moved"] or not count["open"]:
+            return state.select("ord", "state"), count["open"]
 
 
 def first_come(records: DataFrame, own: DataFrame, sees: DataFrame) -> DataFrame:

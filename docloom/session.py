@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,13 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, name: str = "t", **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """`settle`, and on the way the number of rows for which each of `counts` is true."""
+    seen = Observation()
+    made = settle(df.observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()]), name)
+    return made, seen.get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
