@@ -1,13 +1,12 @@
 """Problem 3: new batches against everything accepted before.
 
-The history is three tables in a folder that all executors share. `marks` has the
-keys of accepted addresses and texts and those of the sets' fingerprints,
-`pivots` the pivot-distance table, `sets` the sets themselves. Each batch appends
-its accepted records as a lot of its own, which counts once it is committed; a new
-process takes the history up from the folder, and a batch that failed is run
-again. All three are bucketed, so that a batch is sent to where the history lies
-and the history is never shuffled, tokenised or hashed again; small lots are
-merged into large ones.
+The history is two tables in a folder that all executors share. `marks` has the
+keys of accepted addresses and texts and those of the sets' fingerprints, `sets`
+the pivot-distance table and the sets themselves. Each batch appends its accepted
+records as a lot of its own, which counts once it is committed; a new process
+takes the history up from the folder, and a batch that failed is run again. Both
+are bucketed, so that a batch is sent to where the history lies and the history
+is never shuffled, tokenised or hashed again; small lots are merged into large ones.
 
 The pivots are fixed sets of shingles, the classes of a hash of the shingle; the
 metric is the size of the symmetric difference. The distance of a set A to the
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import near
 from docloom.operators import order
-from docloom.session import list_names, pick, put_text, read_text, remove_path, settle, table, work_path
+from docloom.session import list_names, pick, put_text, read_text, remove_path, settle, settle_counted, table, work_path
 
 PIVOTS = 64
 #: Symbols of a table and tables: at a similarity of 0.7 two sets share no table with probability 0.0012.
@@ -79,13 +78,14 @@ def table_keys(symbols: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def features(records: DataFrame) -> DataFrame:
+def features(records: DataFrame, era: int = 0) -> DataFrame:
     """One row per record: its batch, its place in the order, keys and fingerprint.
 
     `ord` grows with `batch_no`, `seq_no` (null batches count as 0, null numbers
     come first in their batch) and differs from row to row, also where numbers
     are missing or occur again; then the order is that of the rows' contents, and
-    rows that are alike in all stand in any order.
+    rows that are alike in all stand in any order. All of one `era` stand before
+    those of the next.
     """
     rows = pick(records, doc_id="doc_id", batch_no="batch_no", seq_no="seq_no", url="url", text="text")
     base = rows.select(
@@ -102,7 +102,7 @@ def features(records: DataFrame) -> DataFrame:
     placed = made.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
     # The partition in 18 bits, the row of the partition in 26.
     place = F.shiftleft(F.shiftright("place", 33), 26).bitwiseOR(F.col("place").bitwiseAND(F.lit((1 << 26) - 1)))
-    return placed.withColumn("ord", place).drop("place", "seq")
+    return placed.withColumn("ord", place.bitwiseOR(F.lit(era << 44))).drop("place", "seq")
 
 
 class History:
@@ -124,8 +124,7 @@ class History:
 
     SCHEMAS = {
         "marks": ("key BIGINT, span INT, since BIGINT, cls BIGINT, n INT, sketch BIGINT", "key"),
-        "pivots": ("cls BIGINT, n INT, pivots ARRAY<INT>", "cls"),
-        "sets": ("cls BIGINT, members ARRAY<INT>", "cls"),
+        "sets": ("cls BIGINT, n INT, pivots ARRAY<INT>, members ARRAY<INT>", "cls"),
     }
 
     def _define(self) -> None:
@@ -163,7 +162,7 @@ class History:
         """The batches that were checked to their end."""
         return {int(n) for n in list_names(self.spark, f"{self.state}/done") if n.lstrip("-").isdigit()}
 
-    def _last_lot(self) -> int:
+    def last_lot(self) -> int:
         return max((int(n) for n in list_names(self.spark, f"{self.state}/lots") if n.isdigit()), default=0)
 
     def _bound(self, a: str, b: str) -> Column:
@@ -174,41 +173,51 @@ class History:
 
     def _spans(self, n: Column) -> Column:
         """The ranges of sizes in which sets lie that one of size `n` can be like, at most two; a range is (1/t)^2 wide."""
-        width = -2 * math.log(self.threshold)
         low, high = F.ceil(n * self.threshold - 1e-9), F.floor(n / self.threshold + 1e-9)
         return F.array_distinct(F.array(self._span(low), self._span(F.greatest(high, low))))
 
     def _span(self, n: Column) -> Column:
         return F.floor(F.log(n) / (-2 * math.log(self.threshold))).cast("int")
 
-    def _verified(self, pairs: DataFrame, ours: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
-        """`c, other` of the pairs that pass the pivots, and whose sets then reach the threshold."""
-        left = pairs.join(ours.select(F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("pivots").alias("p1")), "c")
-        both = left.join(pivots.select(F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("pivots").alias("p2")), "other")
-        close = both.where(self._bound("p1", "p2")).select("c", "other", "n1", "n2")
-        fetched = close.join(sets.select(F.col("cls").alias("other"), F.col("members").alias("m2")), "other").join(
-            ours.select(F.col("cls").alias("c"), F.col("members").alias("m1")), "c"
+    def _verified(self, pairs: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
+        """`c, other` of the pairs that pass the pivots, and whose sets then reach the threshold; no set of `theirs` is read before."""
+        left = pairs.join(ours.select(F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("pivots").alias("p1"), F.col("members").alias("m1")), "c")
+        close = left.join(theirs.select(F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("pivots").alias("p2")), "other").where(self._bound("p1", "p2"))
+        both = close.join(theirs.select(F.col("cls").alias("other"), F.col("members").alias("m2")), "other")
+        return both.where(self._reach()).select("c", "other")
+
+    def _linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The same for the sets of one batch."""
+        one, two = (
+            classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{i}"), F.col("pivots").alias(f"p{i}"), F.col("members").alias(f"m{i}"))
+            for i, c in ((1, "c"), (2, "other"))
         )
+        return pairs.join(one, "c").join(two, "other").where(self._bound("p1", "p2")).where(self._reach()).select("c", "other")
+
+    def _reach(self) -> Column:
         common = F.size(F.array_intersect("m1", "m2"))
-        return fetched.where(common / (F.col("n1") + F.col("n2") - common) >= self.threshold).select("c", "other")
+        return common / (F.col("n1") + F.col("n2") - common) >= self.threshold
 
     def _alike(self) -> Column:
         return (F.bit_count(F.col("s1").bitwiseXOR(F.col("s2"))) <= near.most_bits(self.threshold)) & (
             F.least("n1", "n2") >= self.threshold * F.greatest("n1", "n2") - 1e-9
         )
 
-    def check(self, rows: DataFrame, batch: int | None = None) -> None:
+    def check(self, rows: DataFrame, batch: int | None = None, sizes: tuple[int, int] | None = None) -> None:
         """Decide a batch of `features`: the accepted records are appended to the history.
 
         With a number, a batch that was checked to its end before is passed over,
-        and what a failed try of it appended is dropped first.
+        and what a failed try of it appended is dropped first. `sizes` are the
+        least and largest size of the batch's sets, if they are known.
         """
         if batch is not None and batch in self.done():
             return
         for n in list_names(self.spark, f"{self.state}/lots"):
             if n.isdigit() and batch is not None and json.loads(read_text(self.spark, f"{self.state}/lots/{n}"))["batch"] == batch:
                 remove_path(self.spark, f"{self.state}/lots/{n}")
-        self._pass(rows, rows.drop("symbols"), batch)
+        if sizes is None:
+            sizes = tuple(rows.agg(F.min("n"), F.max("n")).first())
+        self._pass(rows, rows.drop("symbols"), batch, sizes)
         if batch is not None:
             put_text(self.spark, f"{self.state}/done/{batch}", "{}")
         self._compact()
@@ -218,14 +227,14 @@ class History:
         fresh = [n for n in self.lots() if not json.loads(read_text(self.spark, f"{self.state}/lots/{n}"))["of"]]
         if len(fresh) < FAN:
             return
-        lot = self._last_lot() + 1
+        lot = self.last_lot() + 1
         self._write(lot, {k: self.spark.table(f"{self.name}_{k}").where(F.col("lot").isin(fresh)).drop("lot") for k in self.SCHEMAS}, None, fresh)
         for n in fresh:
             for kind in self.SCHEMAS:
                 self.spark.sql(f"ALTER TABLE {self.name}_{kind} DROP IF EXISTS PARTITION (lot = {n})")
                 remove_path(self.spark, f"{self.state}/{kind}/lot={n}")
 
-    def _pass(self, rows: DataFrame, undecided: DataFrame, batch: int | None, level: int = 1) -> None:
+    def _pass(self, rows: DataFrame, undecided: DataFrame, batch: int | None, sizes: tuple, level: int = 1) -> None:
         """One pass over the records not decided yet, and another over those that it leaves in doubt.
 
         Members of a variant too long to be paired are compared with its earliest
@@ -240,18 +249,20 @@ class History:
         )
         left = undecided.select("doc_id", "ord", "url_key", "text_key", "cls")
         if self.lots():
-            left = self._new(left, classes)
+            left = self._new(left, classes, sizes)
         # Links within the batch, among the records that the history leaves.
         alive = classes.join(left.groupBy("cls").agg(F.min("ord").alias("ord")), "cls")
         if level == 1:
             keyed = alive.select(F.explode("balls").alias("key"), "ord", "cls", "n", "sketch")
         else:
             keyed = settle(near.deep_variants(alive.select("ord", "cls", "n", "sketch", F.col("members").cast("array<bigint>").alias("grams"))), "deep")
-        stream = settle(near._streamed(keyed, self.threshold, self.few), "stream")
+        stream, count = settle_counted(
+            near._streamed(keyed, self.threshold, self.few), "stream", pairs=F.col("b").isNotNull(), flags=F.col("b").isNull()
+        )
         pairs = stream.where("b IS NOT NULL").select(F.col("a").alias("c"), F.col("b").alias("other"))
         open_keys = near.open_variants(stream)
         unsure = None
-        if not open_keys.isEmpty():
+        if count["flags"] and not open_keys.isEmpty():
             lead = keyed.join(open_keys, "key", "left_semi")
             if level == 3:
                 more = near.joined(lead, lead, self.threshold).where("cls < cls2")
@@ -259,15 +270,15 @@ class History:
             else:
                 firsts = lead.groupBy("key").agg(F.min("ord").alias("lead"))
                 unsure = lead.join(firsts, "key").where("ord > lead").select("cls").distinct()
-        linked = self._verified(pairs.distinct(), classes, classes, classes)
+        linked = self._linked(pairs.distinct(), classes)
         links = settle(linked.unionByName(linked.select(F.col("other").alias("c"), F.col("c").alias("other"))), "links")
         status, waiting = self._resolve(left, links, unsure)
         self._accept(rows.join(status.where("state = 1").select("ord"), "ord", "left_semi"), batch)
         if waiting:
             # The accepted are history by now, near copies of the leaders are gone, and the rest is a batch of its own.
-            self._pass(rows, undecided.join(status.where("state = 0").select("ord"), "ord", "left_semi"), batch, level + 1)
+            self._pass(rows, undecided.join(status.where("state = 0").select("ord"), "ord", "left_semi"), batch, sizes, level + 1)
 
-    def _new(self, left: DataFrame, classes: DataFrame) -> DataFrame:
+    def _new(self, left: DataFrame, classes: DataFrame, sizes: tuple) -> DataFrame:
         """Those of `left` that no accepted record has the address, the text or nearly the set of; one probe of the history."""
         spans = classes.select("balls", F.explode(self._spans(F.col("n"))).alias("span"), F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
         near_keys = spans.select(F.explode("balls").alias("ball"), "span", "c", "n1", "s1").select(F.xxhash64("ball", "span").alias("key"), F.lit(None).cast("bigint").alias("ord"), "c", "n1", "s1")
@@ -275,12 +286,13 @@ class History:
             F.explode(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"), "ord",
             F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("int").alias("n1"), F.lit(None).cast("bigint").alias("s1"),
         )
-        reached = classes.select(F.explode(self._spans(F.col("n"))).alias("span")).agg(F.min("span"), F.max("span")).first()
         old = self._table("marks")
         # Only the ranges of sizes that the batch reaches are read; -1 are the addresses and texts.
         within = F.col("span") == -1
-        if reached[0] is not None:
-            within = (F.col("span") <= reached[1]) & ((F.col("span") == -1) | (F.col("span") >= reached[0]))
+        if sizes[0] is not None:
+            width = -2 * math.log(self.threshold)
+            low, high = math.floor(math.log(sizes[0] * self.threshold) / width), math.floor(math.log(sizes[1] / self.threshold) / width)
+            within = (F.col("span") <= high) & ((F.col("span") == -1) | (F.col("span") >= max(low, 0)))
         old = old.where(within).select("key", "since", F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
         met = settle(
             near_keys.unionByName(own).join(old, "key")
@@ -288,7 +300,7 @@ class History:
             "met",
         )
         pairs = met.where("c IS NOT NULL").select("c", "other")
-        hit = self._verified(pairs, classes, self._table("pivots"), self._table("sets")).select(F.col("c").alias("cls")).distinct()
+        hit = self._verified(pairs, classes, self._table("sets")).select(F.col("c").alias("cls")).distinct()
         gone = met.where("ord IS NOT NULL").select("ord").unionByName(left.join(hit, "cls").select("ord")).distinct()
         return settle(left.join(gone, "ord", "left_anti"), "left")
 
@@ -311,7 +323,7 @@ class History:
         balls = sets.select(F.explode("balls").alias("ball"), self._span(F.col("n")).alias("span"), "cls", "n", "sketch").select(
             F.xxhash64("ball", "span").alias("key"), "span", F.lit(None).cast("bigint").alias("since"), "cls", "n", "sketch"
         )
-        self._write(self._last_lot() + 1, {"marks": own.unionByName(balls), "pivots": sets, "sets": sets}, batch, [])
+        self._write(self.last_lot() + 1, {"marks": own.unionByName(balls), "sets": sets}, batch, [])
 
     def verdicts(self, rows: DataFrame) -> DataFrame:
         """`doc_id, ord, duplicate_type` of those of the checked `rows` that were not accepted.
@@ -350,19 +362,22 @@ def check_batches(records: DataFrame, threshold: float = 0.7, few: int = near.FE
     another empty text; texts of under three words are near to none. Records of
     one `seq_no`, or without one, are ordered by their contents. An empty table
     gives no rows. With a `state_dir`, the batches also go against what earlier
-    calls with it accepted; a batch number counts once.
+    calls with it accepted; a batch number counts once, and what earlier calls
+    did with a batch is not given again.
     """
     spark = records.sparkSession
     path = work_path(spark, "features")
-    made = features(records)
+    history = History(spark, state_dir, threshold=threshold, few=few)
+    before = history.done()
+    made = features(records, history.last_lot() + 1)
     made.write.partitionBy("batch").parquet(path)
     kept = spark.read.schema(made.schema).parquet(path)
-    # One value for each batch.
-    numbers = sorted(r[0] for r in kept.select("batch").distinct().collect())
-    history = History(spark, state_dir, threshold=threshold, few=few)
-    for number in numbers:
-        history.check(kept.where(F.col("batch") == number).drop("batch"), number)
-    out = history.verdicts(kept)
+    # One row for each batch.
+    found = kept.groupBy("batch").agg(F.min("n").alias("least"), F.max("n").alias("most")).collect()
+    batches = sorted((tuple(r) for r in found if r["batch"] not in before), key=lambda r: r[0])
+    for number, least, most in batches:
+        history.check(kept.where(F.col("batch") == number).drop("batch"), number, (least, most))
+    out = history.verdicts(kept.where(F.col("batch").isin([b[0] for b in batches])))
     history.close()
     return out
 

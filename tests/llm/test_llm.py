@@ -437,3 +437,32 @@ def test_frequent_misreadings_are_found_like_rare_ones(spark):
         frame = spark.createDataFrame(pages, "doc_id string, page_number int, text string, title int")
         found = scans.findings(frame, spark.createDataFrame([], "doc_id string, title string")).where("kind = 'misread'").collect()
         assert {(r.doc_id, r.page_number, r.word, r.repaired) for r in found} == {("w", p, "valiie", "value") for p in range(1, times + 1)}
+
+
+def test_history_goes_on_in_another_process(spark, tmp_path, monkeypatch):
+    """Two views of one folder, an undone batch run again, lots merged; negative and null batches, and numbers that occur twice."""
+    monkeypatch.setattr(history, "FAN", 3)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(24)]
+    state = f"file://{tmp_path}/history"
+    schema = "doc_id string, batch_no int, seq_no bigint, url string, text string"
+
+    def batch(number, rows):
+        return spark.createDataFrame([(d, number, s, None, t) for d, s, t in rows], schema)
+
+    first = history.check_batches(batch(-1, [("a", 1, texts[0]), ("b", 2, texts[1]), ("c", 2, texts[0])]), state_dir=state)
+    assert {r.doc_id: r.duplicate_type for r in first.collect()} == {"c": "exact"}
+    again = history.check_batches(batch(-1, [("z", 1, texts[9])]), state_dir=state)  # the batch was done
+    assert again.count() == 0 and history.History(spark, state).done() == {-1}
+    for n in range(1, 5):
+        edited = texts[n - 1].split(" ")
+        edited[30] = "edited"
+        rows = [(f"n{n}", 1, texts[n]), (f"e{n}", 1, " ".join(edited)), (f"o{n}", None, "o " + texts[n + 10])]
+        if n == 3:
+            broken = history.History(spark, state)
+            broken._accept(history.features(batch(n, rows)).drop("batch"), n)  # fails before the batch is done
+        got = {r.doc_id: r.duplicate_type for r in history.check_batches(batch(None if n == 4 else n, rows), state_dir=state).collect()}
+        assert got == {f"e{n}": "near"} | ({"n1": "exact"} if n == 1 else {}), n
+    known = history.History(spark, state)
+    assert len(known.lots()) < 5 and known._table("sets").count() == 2 + 3 + 4
+    known.close()
