@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import work_path
+from docloom.session import list_names, work_path
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
@@ -14,26 +14,27 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 4) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def merge_new(stream: DataFrame, target: str, checkpoint: str, key: str) -> None:
-    """Append the rows whose key the target doesn't hold; each batch writes a folder of its own, so a replay replaces it."""
+def merge_new(stream: DataFrame, target: str, checkpoint: str, key: str, slots: int = 64) -> None:
+    """Append the rows whose key the target doesn't hold; each batch writes a folder of its own, so a replay replaces it.
+
+    The target is partitioned by a hash of the key (`_slot`), and a batch reads the
+    keys of those partitions only that its own keys fall into.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        parts = [f"{target}/batch={n}" for n in range(number)]
-        held = [p for p in parts if _exists(spark, p)]
+        slot = F.pmod(F.xxhash64(f"`{key}`"), F.lit(slots)).cast("int")
+        new = batch.dropDuplicates([key]).withColumn("_slot", slot)
+        held = [n for n in list_names(spark, target) if n.startswith("batch=") and n != f"batch={number}"]
         if held:
-            new = new.join(spark.read.parquet(*held).select(key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            touched = [r[0] for r in batch.select(slot.alias("s")).distinct().collect()]  # `slots` numbers at most
+            known = spark.read.schema(new.schema).parquet(*[f"{target}/{n}" for n in held]).where(F.col("_slot").isin(touched))
+            new = new.join(known.select(key, "_slot"), [key, "_slot"], "left_anti")
+        new.select(*batch.columns, "_slot").write.mode("overwrite").partitionBy("_slot").parquet(f"{target}/batch={number}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """`window_start, event_type, n, total` with a watermark; `events` has `ts, event_type, value`."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -45,9 +46,15 @@ def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 ho
 
 
 def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and give its result as a table in memory of the driver; for bounded results only."""
+    """Run a stream over what is there and give its result as a table in the shared folder; each trigger replaces (`complete`) or adds to it."""
     spark = stream.sparkSession
-    name = f"docloom_{abs(hash(work_path(spark)))}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", work_path(spark, "stream")).trigger(availableNow=True).start()
+    out = work_path(spark, "streamed")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", work_path(spark, "stream")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not list_names(spark, out):  # nothing came
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(out if mode == "complete" else f"{out}/*")
