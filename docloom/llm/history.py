@@ -1,12 +1,13 @@
 """Problem 3: new batches against everything accepted before.
 
-The history is two tables in a folder that all executors share. `marks` has the
-keys of accepted addresses and texts and those of the sets' fingerprints, `sets`
-the pivot-distance table and the sets themselves. Each batch appends its accepted
-records as a lot of its own, which counts once it is committed; a new process
-takes the history up from the folder, and a batch that failed is run again. Both
-are bucketed, so that a batch is sent to where the history lies and the history
-is never shuffled, tokenised or hashed again; small lots are merged into large ones.
+The history is a table in a folder that all executors share. It has rows for the
+keys of accepted addresses, texts and sets, those of sets with their line of the
+pivot-distance table and the set itself, and rows for the keys of the sets'
+fingerprints. Each batch appends its accepted records as a lot of its own, which
+counts once it is committed; a new process takes the history up from the folder,
+and a batch that failed is run again. The table is bucketed, so that a batch is
+sent to where the history lies and the history is never shuffled, tokenised or
+hashed again; small lots are merged into large ones.
 
 The pivots are fixed sets of shingles, the classes of a hash of the shingle; the
 metric is the size of the symmetric difference. The distance of a set A to the
@@ -87,22 +88,21 @@ def features(records: DataFrame, era: int = 0) -> DataFrame:
     rows that are alike in all stand in any order. All of one `era` stand before
     those of the next.
     """
-    rows = pick(records, doc_id="doc_id", batch_no="batch_no", seq_no="seq_no", url="url", text="text")
-    base = rows.select(
-        "doc_id",
-        F.coalesce(F.col("batch_no").cast("bigint"), F.lit(0)).alias("batch"),
-        F.col("seq_no").cast("bigint").alias("seq"),
-        F.when(address(F.col("url")).isNotNull(), F.xxhash64(F.lit("u"), address(F.col("url")))).alias("url_key"),
-        F.when(F.col("text").isNotNull(), F.xxhash64(F.lit("t"), F.col("text"), F.length("text"))).alias("text_key"),
-        near.shingles(F.col("text")).alias("grams"),
+    rows = pick(records, doc_id="doc_id", batch_no="batch_no", seq_no="seq_no", url="url", text="text").select(
+        "doc_id", F.coalesce(F.col("batch_no").cast("bigint"), F.lit(0)).alias("batch"), F.col("seq_no").cast("bigint").alias("seq"), "url", "text",
     )
-    made = near.fingerprints(base, PIVOTS, table_keys, TABLE_WIDTH * TABLES)
-    by = ["batch", "seq", "doc_id", "text_key", "url_key"]
+    by = ["batch", "seq", "doc_id", F.xxhash64("text", "url")]
     parts = max(2, int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = made.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
+    placed = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
     # The partition in 18 bits, the row of the partition in 26.
     place = F.shiftleft(F.shiftright("place", 33), 26).bitwiseOR(F.col("place").bitwiseAND(F.lit((1 << 26) - 1)))
-    return placed.withColumn("ord", place.bitwiseOR(F.lit(era << 44))).drop("place", "seq")
+    base = placed.select(
+        "doc_id", "batch", place.bitwiseOR(F.lit(era << 44)).alias("ord"),
+        F.when(address(F.col("url")).isNotNull(), F.xxhash64(F.lit("u"), address(F.col("url")))).alias("url_key"),
+        F.when(F.col("text").isNotNull(), F.xxhash64(F.lit("t"), F.col("text"), F.length("text"))).alias("text_key"),
+        near.shingles(F.col("text")).alias("grams"),
+    )
+    return near.fingerprints(base, PIVOTS, table_keys, TABLE_WIDTH * TABLES)
 
 
 class History:
@@ -122,21 +122,17 @@ class History:
         self.name = f"docloom_history_{uuid.uuid4().hex[:12]}"  # of this session's view of the folder
         self._define()
 
-    SCHEMAS = {
-        "marks": ("key BIGINT, span INT, since BIGINT, cls BIGINT, n INT, sketch BIGINT", "key"),
-        "sets": ("cls BIGINT, n INT, pivots ARRAY<INT>, members ARRAY<INT>", "cls"),
-    }
+    COLUMNS = "key BIGINT, span INT, since BIGINT, cls BIGINT, n INT, sketch BIGINT, pivots ARRAY<INT>, members ARRAY<INT>"
 
     def _define(self) -> None:
-        """The folder's tables, with the partitions that are there."""
-        for kind, (columns, key) in self.SCHEMAS.items():
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
-            self.spark.sql(
-                f"CREATE TABLE {self.name}_{kind} ({columns}, lot INT) USING parquet PARTITIONED BY (lot) "
-                f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.state}/{kind}'"
-            )
-            if list_names(self.spark, f"{self.state}/{kind}"):
-                self.spark.sql(f"ALTER TABLE {self.name}_{kind} RECOVER PARTITIONS")
+        """The folder's table, with the partitions that are there."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(
+            f"CREATE TABLE {self.name} ({self.COLUMNS}, lot INT) USING parquet PARTITIONED BY (lot) "
+            f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.state}/marks'"
+        )
+        if list_names(self.spark, f"{self.state}/marks"):
+            self.spark.sql(f"ALTER TABLE {self.name} RECOVER PARTITIONS")
 
     def lots(self) -> list[int]:
         """The committed lots that were not merged into others."""
@@ -144,18 +140,18 @@ class History:
         merged = {m for lot in known.values() for m in lot["of"]}
         return sorted(n for n in known if n not in merged)
 
-    def _table(self, kind: str) -> DataFrame:
-        return self.spark.table(f"{self.name}_{kind}").where(F.col("lot").isin(self.lots())).drop("lot")
-
-    def _write(self, lot: int, parts: dict[str, DataFrame], batch: int | None, of: list[int]) -> None:
-        """A lot of all three tables, replacing what a failed try left; it counts when its entry is written."""
-        for kind, rows in parts.items():
-            columns, key = self.SCHEMAS[kind]
-            remove_path(self.spark, f"{self.state}/{kind}/lot={lot}")
-            made = rows.select(*[c.split()[0] for c in columns.split(", ")], F.lit(lot).alias("lot"))
-            made.repartition(self.buckets, key).write.mode("append").format("parquet").partitionBy("lot").bucketBy(self.buckets, key).sortBy(key).option(
-                "path", f"{self.state}/{kind}"
-            ).saveAsTable(f"{self.name}_{kind}")
+    def marks(self) -> DataFrame:
+        return self.spark.table(self.name).where(F.col("lot").isin(self.lots())).drop("lot")
+
+    def sets(self) -> DataFrame:
+        """`cls, n, pivots, members` of all accepted sets."""
+        return self.marks().where("span = -1 AND n IS NOT NULL").select(F.col("key").alias("cls"), "n", "pivots", "members")
+
+    def _write(self, lot: int, rows: DataFrame, batch: int | None, of: list[int]) -> None:
+        """A lot, replacing what a failed try left; it counts when its entry is written."""
+        remove_path(self.spark, f"{self.state}/marks/lot={lot}")
+        made = rows.select(*[c.split()[0] for c in self.COLUMNS.split(", ")], F.lit(lot).alias("lot")).repartition(self.buckets, "key")
+        made.write.mode("append").format("parquet").partitionBy("lot").bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.state}/marks").saveAsTable(self.name)
         put_text(self.spark, f"{self.state}/lots/{lot}", json.dumps({"batch": batch, "of": of}))
 
     def done(self) -> set[int]:
@@ -228,11 +224,10 @@ class History:
         if len(fresh) < FAN:
             return
         lot = self.last_lot() + 1
-        self._write(lot, {k: self.spark.table(f"{self.name}_{k}").where(F.col("lot").isin(fresh)).drop("lot") for k in self.SCHEMAS}, None, fresh)
+        self._write(lot, self.spark.table(self.name).where(F.col("lot").isin(fresh)).drop("lot"), None, fresh)
         for n in fresh:
-            for kind in self.SCHEMAS:
-                self.spark.sql(f"ALTER TABLE {self.name}_{kind} DROP IF EXISTS PARTITION (lot = {n})")
-                remove_path(self.spark, f"{self.state}/{kind}/lot={n}")
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (lot = {n})")
+            remove_path(self.spark, f"{self.state}/marks/lot={n}")
 
     def _pass(self, rows: DataFrame, undecided: DataFrame, batch: int | None, sizes: tuple, level: int = 1) -> None:
         """One pass over the records not decided yet, and another over those that it leaves in doubt.
@@ -286,7 +281,7 @@ class History:
             F.explode(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"), "ord",
             F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("int").alias("n1"), F.lit(None).cast("bigint").alias("s1"),
         )
-        old = self._table("marks")
+        old = self.marks()
         # Only the ranges of sizes that the batch reaches are read; -1 are the addresses and texts.
         within = F.col("span") == -1
         if sizes[0] is not None:
@@ -300,7 +295,7 @@ class History:
             "met",
         )
         pairs = met.where("c IS NOT NULL").select("c", "other")
-        hit = self._verified(pairs, classes, self._table("sets")).select(F.col("c").alias("cls")).distinct()
+        hit = self._verified(pairs, classes, self.sets()).select(F.col("c").alias("cls")).distinct()
         gone = met.where("ord IS NOT NULL").select("ord").unionByName(left.join(hit, "cls").select("ord")).distinct()
         return settle(left.join(gone, "ord", "left_anti"), "left")
 
@@ -315,15 +310,16 @@ class History:
 
     def _accept(self, accepted: DataFrame, batch: int | None) -> None:
         # Also without any key there is a row, which says that the record was accepted.
-        own = accepted.select(
-            F.explode_outer(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"), F.lit(-1).alias("span"), F.col("ord").alias("since"),
-            F.lit(None).cast("bigint").alias("cls"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("bigint").alias("sketch"),
+        kinds = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("key"), F.lit(k == "cls").alias("set"))) for k in ("url_key", "text_key", "cls")]))
+        own = accepted.withColumn("k", F.explode_outer(kinds)).select(
+            "k.key", F.lit(-1).alias("span"), F.col("ord").alias("since"), F.lit(None).cast("bigint").alias("cls"), F.lit(None).cast("bigint").alias("sketch"),
+            *[F.when(F.col("k.set"), F.col(c)).alias(c) for c in ("n", "pivots", "members")],
         )
-        sets = accepted.where("cls IS NOT NULL")
-        balls = sets.select(F.explode("balls").alias("ball"), self._span(F.col("n")).alias("span"), "cls", "n", "sketch").select(
-            F.xxhash64("ball", "span").alias("key"), "span", F.lit(None).cast("bigint").alias("since"), "cls", "n", "sketch"
+        balls = accepted.where("cls IS NOT NULL").select(F.explode("balls").alias("ball"), self._span(F.col("n")).alias("span"), "cls", "n", "sketch").select(
+            F.xxhash64("ball", "span").alias("key"), "span", F.lit(None).cast("bigint").alias("since"), "cls", "n", "sketch",
+            F.lit(None).cast("array<int>").alias("pivots"), F.lit(None).cast("array<int>").alias("members"),
         )
-        self._write(self.last_lot() + 1, {"marks": own.unionByName(balls), "sets": sets}, batch, [])
+        self._write(self.last_lot() + 1, own.unionByName(balls), batch, [])
 
     def verdicts(self, rows: DataFrame) -> DataFrame:
         """`doc_id, ord, duplicate_type` of those of the checked `rows` that were not accepted.
@@ -332,7 +328,7 @@ class History:
         """
         if not self.lots():
             return rows.select("doc_id", "ord", F.lit(None).cast("string").alias("duplicate_type")).limit(0)
-        marks = self._table("marks").where("span = -1")
+        marks = self.marks().where("span = -1")
         mine = rows.select("doc_id", "ord", "url_key", "text_key").join(marks.select(F.col("since").alias("ord")), "ord", "left_anti")
         mine = settle(mine, "duplicates")
         probe = mine.select("ord", F.explode(F.array(
@@ -350,9 +346,8 @@ class History:
         )
 
     def close(self) -> None:
-        """Forget this session's tables; the folder stays."""
-        for kind in self.SCHEMAS:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{kind}")
+        """Forget this session's table; the folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def check_batches(records: DataFrame, threshold: float = 0.7, few: int = near.FEW, state_dir: str | None = None) -> DataFrame:

@@ -319,21 +319,64 @@ def test_lines_tell_prose_from_the_rest(spark):
     rows = [("p", prose), ("upper", prose.upper()), ("t", tabular), ("m", mixed), ("j", "x9$ {}[] ;;== a1b2 ##\n" * 5), ("n", None), ("e", ""), ("b", " \n ")]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id string, text string, words int")
     common = spark.createDataFrame([("en", w) for w in "the a in so that each may for it if any of was than before by more".split()] + [(None, None)], "lang string, word string")
-    got = {r.doc_id: r for r in quality.text_statistics(docs, common).collect()}
+    got = {r.doc_id: r for r in quality.text_statistics(docs, common, model=quality.START).collect()}
     assert got["p"].prose_share == 1.0 and got["upper"].prose_share == 1.0 and got["m"].prose_share > 0.5
     assert got["t"].prose_share < 0.5 and got["j"].prose_share < 0.5
     assert got["p"].words == len(prose.split()) and got["p"].lines == 8 and got["p"].punctuated_lines == 1.0
     assert all(got[d].words == got[d].lines == 0 and got[d].prose_share == 0 for d in ("n", "e", "b"))
 
 
+def brute_counts(line, common):
+    """Tokens, firm, joining, joining_sw, figures, odd of a line, token by token."""
+    if len(re.findall(r"[,;|](?=[\"\d\-n])(?<![\d][,;|](?=\d{3}\b))", line)) > 1:
+        line = re.sub(r"[,;|](?=[\"\d\-n])(?<![\d][,;|](?=\d{3}\b))", " ", line)
+    out = Counter(tokens=len(line.split()))
+    for token in line.split():
+        words = re.findall(r"[^\W\d_]+", token)
+        if any(c.isdigit() for c in token) and not (words and len(words[0]) > 2):
+            out["figures"] += 1
+        elif not words:
+            out["figures"] += token in ("-", "|")
+            out["odd"] += token not in ("-", "|", "&", "\u2013", "\u2014")
+        else:
+            word = words[0].lower()
+            kind = "joining" if word in quality.JOINING else "joining_sw" if word in quality.JOINING_SW else "firm" if word in common else None
+            odd = re.search(r"[^\w\s.,;:!?'\"()&/%$\-\u2010-\u201d\u00ad@]|[a-z][A-Z]|[\[\]{}=;]\S|\w\(|[A-Za-z]\d[A-Za-z]", token) or len(token) > 24
+            out[kind or ("odd" if odd else "rest")] += 1
+    return [out[k] for k in quality.COUNTS]
+
+
+def test_counts_of_lines_equal_brute_force(spark):
+    rng = random.Random(11)
+    common = frozenset(("the", "if", "so", "a", "and", "na"))
+    pieces = ["the", "The,", "and", "na", "(if", "a1", "a1b2", "fund", "x(y)", "12", "1,300", "12%", "-", "|", "&", "--", "{x}", "camelCase", "w" * 30, "so;is", "q3", "n/a", "\u00e9t\u00e9", "=", "9th", "ab;9", "4;5;6", "\u2014"]
+    lines = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["a,b,1,2", "x|1|2|-3", "1,300 and 2,500"]
+    docs = spark.createDataFrame([(i, f"{line}\n \n{line}") for i, line in enumerate(lines)], "doc_id int, text string")
+    for r in quality.with_lines(docs, common).collect():
+        assert [[r[k][i] for k in quality.COUNTS] for i in (0, 1)] == [brute_counts(lines[r.doc_id], common)] * 2, lines[r.doc_id]
+        assert r.chars == [len(lines[r.doc_id].strip())] * 2
+
+
+def test_fit_follows_the_lines_and_keeps_what_it_has_not_seen():
+    rng = np.random.default_rng(3)
+    chances = np.array([0.4, 0.02, 0.002, 0.02, 0.002])
+    lines = rng.multinomial(40, [*chances, 1 - chances.sum()], size=4000)
+    counts = np.column_stack([lines.sum(axis=1), lines[:, :5]]).astype(float)
+    model = quality.fit(counts, np.zeros(4000), np.arange(0, 4000, 20))
+    assert np.allclose(model.chances[0], chances, atol=0.01) and np.allclose(model.chances[2], quality.START.chances[2])
+    assert np.allclose(model.move.sum(axis=1), 1) and model.move[0, 0] > 0.95
+    none = quality.fit(np.zeros((0, 6)), np.zeros(0), np.zeros(0, dtype=int))
+    assert none is quality.START
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     starts, lengths = [], [1, 4, 3, 5]
     scores = rng.normal(size=(sum(lengths), 4)) * 3
     for n in lengths:
         starts.append(sum(lengths[: len(starts)]))
-    got = quality.viterbi(scores, np.array(starts))
-    stay, move = np.log(quality.STAY), np.log((1 - quality.STAY) / 3)
+    got = quality.viterbi(scores, np.array(starts), quality.START.move)
+    stay, move = np.log(0.9), np.log(0.1 / 3)
     for s, n in zip(starts, lengths):
         best = max(itertools.product(range(4), repeat=n), key=lambda p: sum(scores[s + i, k] for i, k in enumerate(p)) + sum(stay if a == b else move for a, b in zip(p, p[1:])))
         assert tuple(got[s : s + n]) == best
@@ -464,5 +507,5 @@ def test_history_goes_on_in_another_process(spark, tmp_path, monkeypatch):
         got = {r.doc_id: r.duplicate_type for r in history.check_batches(batch(None if n == 4 else n, rows), state_dir=state).collect()}
         assert got == {f"e{n}": "near"} | ({"n1": "exact"} if n == 1 else {}), n
     known = history.History(spark, state)
-    assert len(known.lots()) < 5 and known._table("sets").count() == 2 + 3 + 4
+    assert len(known.lots()) < 5 and known.sets().count() == 2 + 3 + 4
     known.close()
