@@ -2,11 +2,14 @@
 
 The pages come flattened to lines, so the tree is rebuilt as far as it can be: a
 line is a leaf, its links and separated pieces are its tags, and a subtree is a
-run of lines. Each line has its density, the characters outside links per tag;
-the lines that a site repeats on its pages (counted over the whole corpus, as
-hashes) and lines of a known furniture form have a negative one. The run of the
-largest sum of densities above the threshold is the body, from the page's title
-on; blocks of teasers and furniture inside the run are cut out of it.
+run of lines. Each line has its density, the characters outside links per tag. The
+threshold comes from the page: the lowest mean density on the path from the
+whole page down to its densest line. Lines of the site, which it repeats on its
+pages or which stand on pages of many sites (counted over the whole corpus, as
+hashes), and paths, tags and counted links count against a run; paragraphs count by
+their density, other lines by theirs up to a third of the threshold.
+The run of the largest sum of densities is the body, from the page's title on;
+lines of the site inside the run are cut out of it.
 """
 
 from __future__ import annotations
@@ -22,34 +25,19 @@ from pyspark.sql import functions as F
 from docloom.session import pick, settle, table
 
 SALTS = 8
-BLANK, FORM, TITLE, PARAGRAPH, TEASER_HEAD, LINKED, SHORT, AGO, ITEM, TABLE = (1 << i for i in range(10))
+#: In thresholds: what a line that is no paragraph (an item, a row, a heading) can add to a run, and what a line of the site takes from it.
+LINE, AGAINST = 1 / 3, 2 / 3
+BLANK, FORM, TITLE, PARAGRAPH, LINKED, SHORT, ITEM, TABLE = (1 << i for i in range(8))
 
-#: The forms of lines that belong to a site and not to a page.
+#: Forms of lines that are a page's own but not of its text: path, tags, a rights notice, a link with a count.
 FORMS = re.compile(
     r"""(?ix)^\s*(
-      (home|nyumbani|mwanzo|start)\s*[>/»›|]\s*.+          # path
-    | (you\sare\shere|uko\shapa)\b.*
+      (home|nyumbani|mwanzo|start)\s*[>/»›|]\s*.+
     | (tags?|filed\sunder|topics?|labels?|keywords|mada|lebo)\s*:.*
-    | (©|copyright\b|\(c\)\s).* | haki\szote.* | tovuti\shii\shutumia\s.*
-    | (read\s(more|also|next)|see\salso|also\sread|more\son\sthis|soma\s(zaidi|pia)|related|advertisement|sponsored|tangazo|promoted)\s*(:.*|$)
-    | \d+\s(second|minute|hour|day|week|month|year)s?\sago | (dakika|saa|siku|wiki)\s\d+\szilizopita
-    | (this|our)\s(web)?site\s(uses|stores|keeps|sets)\b.* | we\suse\s(small\sfiles|cookies)\b.* | your\sprivacy\smatters\b.*
-    | (accept|agree|reject|decline|manage|allow|deny|customi[sz]e)(\s\w+){0,3} | ok,?\sgot\sit | nakubali | kubali(\s\w+){0,2} | kataa(\s\w+){0,2}
-    | read\sour\s(cookie|privacy)\spolicy | necessary\s*\|.* | privacy\b.{0,60} | terms\s(of|and|\|).{0,80} | sitemap | legal
-    | sign\sup\b.{0,120} | subscribe\b.{0,80} | never\smiss\b.{0,120} | join\s(now|us)\b.{0,60} | jiunge\b.{0,60} | jisajili\b.{0,60}
-    | open\sa\b.{0,60}\baccount\stoday\b.{0,60} | get\sthe\sapp | download\s(the|our)\sapp
-    | (share|tweet|print|e-?mail)(\s(this(\s\w+)?|on\s\w+))?(\s*[|·,]\s*\w+)* | share\sthis\b.{0,40} | sambaza\b.{0,40} | e-?mail\sthis\s.{0,20}
-    | follow\sus\b.{0,60} | tufuate\b.{0,60} | back\sto\stop | rudi\sjuu | menu | search | tafuta | log\s?in | ingia | story\scontinues\sbelow
+    | (©|copyright\b|\(c\)\s).* | haki\szote.*
+    | [^().]{2,40}\s\(\d{1,4}\)
     )\s*$"""
 )
-#: Headings of lists that lead to other pages.
-TEASERS = re.compile(
-    r"(?i)^\s*(related(\s\w+){0,2}|most\s(read|popular|viewed|shared)(\s\w+)?|you\s(may|might)\salso\s(like|read)|latest(\s\w+){0,4}|"
-    r"more\s(from|stories|news|articles|on)\b.{0,40}|recommended(\s\w+){0,3}|read\snext|trending(\s\w+)?|popular(\s\w+)?|"
-    r"(habari|makala)\s\w+(\s\w+)?|zinazosomwa\s\w+|soma\spia|see\salso|recent\s(posts|articles|news))\s*:?\s*$"
-)
-#: Phrases that mark such a line wherever they stand in it, and counted categories.
-PHRASES = re.compile(r"all rights reserved|p\.? ?o\.? box|licensed and (?:supervised|regulated)|vidakuzi|^[^().]{2,40} \(\d{1,4}\)$")
 _LABEL = re.compile(r"^[^:]{1,24}:\s*")
 _WORDS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?;]['\")”]?(\s|$)")
@@ -73,10 +61,8 @@ def line_marks(text: str, title: str | None, links: set[str]) -> tuple[list[int]
         if not bare:
             mark = BLANK
         else:
-            if brief and (FORMS.match(bare) or PHRASES.search(low)):
+            if brief and FORMS.match(bare):
                 mark |= FORM
-            if brief and TEASERS.match(bare):
-                mark |= TEASER_HEAD
             if low in (name, full) and name:
                 mark |= TITLE
             if links and brief:
@@ -118,36 +104,29 @@ def mark_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def outside(density: list[int], marks: list[int], repeated: set[int], threshold: float = 25.0) -> list[int]:
+def path_threshold(density: np.ndarray, marks: list[int]) -> float:
+    """The lowest mean density on the way from the page over the block of its densest line to that line; blocks lie between blank lines."""
+    filled = np.array([not m & BLANK for m in marks], dtype=bool)
+    if not filled.any():
+        return 1.0
+    top = int(np.where(filled, density, -1).argmax())
+    lo, hi = top, top
+    while lo > 0 and filled[lo - 1]:
+        lo -= 1
+    while hi + 1 < len(marks) and filled[hi + 1]:
+        hi += 1
+    return max(1.0, float(min(density[filled].mean(), density[lo : hi + 1].mean(), density[top])))
+
+
+def outside(density: list[int], marks: list[int], repeated: set[int]) -> list[int]:
     """Numbers (from 1) of the non-blank lines outside the main body."""
-    n = len(marks)
-    furniture = np.array([bool(m & (FORM | TEASER_HEAD)) or i in repeated or (m & LINKED and not m & PARAGRAPH) for i, m in enumerate(marks)], dtype=bool)
-    furniture &= ~np.array([bool(m & TITLE) for m in marks], dtype=bool)
-    # A list of teasers: from its heading on, titles, times and single sentences, until a paragraph or furniture.
-    i = 0
-    while i < n:
-        if marks[i] & TEASER_HEAD:
-            j = i + 1
-            while j < n and not (marks[j] & (BLANK | PARAGRAPH | TABLE | TEASER_HEAD)) and not (furniture[j] and not marks[j] & FORM):
-                furniture[j] = True
-                j += 1
-            i = j
-        else:
-            i += 1
-    score = np.zeros(n)
-    for i, m in enumerate(marks):
-        if m & BLANK:
-            continue
-        if furniture[i]:
-            score[i] = -2 * threshold
-        elif m & (PARAGRAPH | TITLE):
-            score[i] = max(density[i], 3 * threshold)
-        elif m & (SHORT | TABLE | ITEM):
-            score[i] = threshold
-        elif m & LINKED:
-            score[i] = -threshold
-        else:
-            score[i] = 0.2 * threshold
+    n, dens = len(marks), np.array(density, dtype=float)
+    own = [bool(m & TITLE) for m in marks]
+    furniture = [not own[i] and (bool(m & FORM) or i in repeated or bool(m & LINKED and not m & PARAGRAPH)) for i, m in enumerate(marks)]
+    threshold = path_threshold(dens, marks)
+    text = np.array([bool(m & (PARAGRAPH | TITLE)) for m in marks])
+    lines = np.where(text, np.maximum(dens, threshold), np.minimum(dens, LINE * threshold))
+    score = np.where([bool(m & BLANK) for m in marks], 0.0, np.where(furniture, -AGAINST * threshold, lines))
     # The run of the largest sum; the title, if there is one, begins it.
     titles = [i for i, m in enumerate(marks) if m & TITLE and not m & FORM]
     best, lo, hi, run, begin = -1.0, 0, -1, 0.0, 0
@@ -174,15 +153,16 @@ def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nos, pa.int32())], ["doc_id", "line_no"])
 
 
-def outside_lines(pages: DataFrame, meta: DataFrame, share: float = 0.01, least: int = 3) -> DataFrame:
+def outside_lines(pages: DataFrame, meta: DataFrame, share: float = 0.01, least: int = 3, site_share: float = 0.1) -> DataFrame:
     """`doc_id, line_no`: the non-blank lines outside the main body of each page.
 
     `pages` has `doc_id, text, title, links`; `meta` has `doc_id, source_id,
     doc_type`, several rows per document allowed. A page is a document with a
     `doc_type` of htm or html in any spelling; others, and documents without
-    metadata, have no such lines, nor have null texts. A line is the site's own if
+    metadata, have no such lines, nor have null texts. A line is a site's own if
     its words stand on at least `least` pages and on the share `share` of the
-    pages of its source.
+    pages of its source, or on pages of the share `site_share` of all sources
+    (`least` of them at the fewest).
     """
     pages = pick(pages, doc_id="doc_id", text="text", title="title", links="links")
     known = meta.groupBy("doc_id").agg(
@@ -196,8 +176,13 @@ def outside_lines(pages: DataFrame, meta: DataFrame, share: float = 0.01, least:
     held = marked.select("doc_id", "source_id", salt.alias("salt"), F.explode(F.array_distinct("keys")).alias("key"))
     held = held.where(F.col("key") != F.lit(hash_words([])))
     sizes = marked.groupBy("source_id").agg(F.count(F.lit(1)).alias("pages"))
-    often = held.groupBy("source_id", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    often = often.join(sizes, "source_id").where(F.col("n") >= share * F.col("pages")).select("source_id", "key")
+    counts = settle(held.groupBy("source_id", "key").agg(F.count(F.lit(1)).alias("n")), "counts")
+    sites = sizes.agg(F.count(F.lit(1)).alias("sites"))
+    everywhere = counts.groupBy("key").agg(F.count(F.lit(1)).alias("in")).where(F.col("in") >= least).join(F.broadcast(sites)).where(  # one row
+        F.col("in") >= site_share * F.col("sites")
+    ).select("key")
+    often = counts.where(F.col("n") >= least).join(sizes, "source_id").where(F.col("n") >= share * F.col("pages")).select("source_id", "key")
+    often = often.unionByName(counts.join(everywhere, "key").select("source_id", "key")).distinct()
     spread = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     repeated = held.join(spread, ["source_id", "key", "salt"]).groupBy("doc_id").agg(F.collect_set("key").alias("repeated"))
     return marked.join(repeated, "doc_id", "left").select("doc_id", "keys", "density", "marks", "repeated").mapInArrow(
