@@ -104,15 +104,15 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
-    """Cut the lineage: write `df` as Parquet in the shared folder, read it back.
+def settle(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write `df` as Parquet in the shared folder, in folders for the values of `by`, and read it back.
 
     A written table survives the loss of executors and, unlike `checkpoint()`,
     is columnar and compressed.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -123,6 +123,15 @@ def settle_counted(df: DataFrame, name: str = "t", **counts: Column) -> tuple[Da
     return made, seen.get
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, upon which Spark drops the broadcasts and shuffle files of plans that are gone.
+
+    Spark does so every half hour by itself; for programs that run many plans in
+    a row, as one for each batch, that is late.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
