@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import near
 from docloom.operators import order
-from docloom.session import list_names, pick, put_text, read_text, remove_path, settle, settle_counted, table, work_path
+from docloom.session import list_names, pick, put_text, read_text, remove_path, settle, settle_counted, table, tidy, work_path
 
 PIVOTS = 64
 #: Symbols of a table and tables: at a similarity of 0.7 two sets share no table with probability 0.0012.
@@ -105,6 +106,14 @@ def features(records: DataFrame, era: int = 0) -> DataFrame:
     return near.fingerprints(base, PIVOTS, table_keys, TABLE_WIDTH * TABLES)
 
 
+class Prepared(NamedTuple):
+    """Of some batches: their classes, the links between those of one batch, both ways, and the classes in doubt."""
+
+    classes: DataFrame
+    links: DataFrame
+    unsure: DataFrame | None
+
+
 class History:
     """What has been accepted so far; `check` takes a batch of `features`, decides it and appends what it accepts.
 
@@ -183,12 +192,12 @@ class History:
         return both.where(self._reach()).select("c", "other")
 
     def _linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The same for the sets of one batch."""
+        """`batch, c, other`: the same for pairs of classes of one batch, `a` and `b` by their first records."""
         one, two = (
-            classes.select(F.col("cls").alias(c), F.col("n").alias(f"n{i}"), F.col("pivots").alias(f"p{i}"), F.col("members").alias(f"m{i}"))
-            for i, c in ((1, "c"), (2, "other"))
+            classes.select(F.col("first").alias(at), F.col("cls").alias(c), F.col("n").alias(f"n{i}"), F.col("pivots").alias(f"p{i}"), F.col("members").alias(f"m{i}"), *more)
+            for i, at, c, more in ((1, "a", "c", ["batch"]), (2, "b", "other", []))
         )
-        return pairs.join(one, "c").join(two, "other").where(self._bound("p1", "p2")).where(self._reach()).select("c", "other")
+        return pairs.join(one, "a").join(two, "b").where(self._bound("p1", "p2")).where(self._reach()).select("batch", "c", "other")
 
     def _reach(self) -> Column:
         common = F.size(F.array_intersect("m1", "m2"))
@@ -199,79 +208,88 @@ class History:
             F.least("n1", "n2") >= self.threshold * F.greatest("n1", "n2") - 1e-9
         )
 
-    def check(self, rows: DataFrame, batch: int | None = None, sizes: tuple[int, int] | None = None) -> None:
-        """Decide a batch of `features`: the accepted records are appended to the history.
-
-        With a number, a batch that was checked to its end before is passed over,
-        and what a failed try of it appended is dropped first. `sizes` are the
-        least and largest size of the batch's sets, if they are known.
-        """
-        if batch is not None and batch in self.done():
-            return
-        for n in list_names(self.spark, f"{self.state}/lots"):
-            if n.isdigit() and batch is not None and json.loads(read_text(self.spark, f"{self.state}/lots/{n}"))["batch"] == batch:
-                remove_path(self.spark, f"{self.state}/lots/{n}")
-        if sizes is None:
-            sizes = tuple(rows.agg(F.min("n"), F.max("n")).first())
-        self._pass(rows, rows.drop("symbols"), batch, sizes)
-        if batch is not None:
-            put_text(self.spark, f"{self.state}/done/{batch}", "{}")
-        self._compact()
-
-    def _compact(self) -> None:
-        """Merge the last lots when there are `FAN` that were not merged yet; the merged one lies in their place."""
-        fresh = [n for n in self.lots() if not json.loads(read_text(self.spark, f"{self.state}/lots/{n}"))["of"]]
-        if len(fresh) < FAN:
-            return
-        lot = self.last_lot() + 1
-        self._write(lot, self.spark.table(self.name).where(F.col("lot").isin(fresh)).drop("lot"), None, fresh)
-        for n in fresh:
-            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (lot = {n})")
-            remove_path(self.spark, f"{self.state}/marks/lot={n}")
-
-    def _pass(self, rows: DataFrame, undecided: DataFrame, batch: int | None, sizes: tuple, level: int = 1) -> None:
-        """One pass over the records not decided yet, and another over those that it leaves in doubt.
+    def prepare(self, rows: DataFrame, level: int = 1) -> Prepared:
+        """What batches of `features` have within themselves, for all of them at once; the history is not asked.
 
         Members of a variant too long to be paired are compared with its earliest
-        record only and are in doubt unless that settles them. At level 2 they
-        are keyed by longer keys, at level 3 all rows of what is long still are compared.
+        record only and are in doubt unless that settles them. At level 2 sets are
+        keyed by longer keys, at level 3 all rows of what is long still are compared.
         """
         classes = settle(
-            undecided.where("cls IS NOT NULL").groupBy("cls").agg(
+            rows.where("cls IS NOT NULL").groupBy("batch", "cls").agg(
                 F.min("ord").alias("first"), *[F.first(c).alias(c) for c in ("n", "sketch", "pivots", "members", "balls")]
             ),
-            "classes",
+            "classes", ["batch"],
         )
-        left = undecided.select("doc_id", "ord", "url_key", "text_key", "cls")
-        if self.lots():
-            left = self._new(left, classes, sizes)
-        # Links within the batch, among the records that the history leaves.
-        alive = classes.join(left.groupBy("cls").agg(F.min("ord").alias("ord")), "cls")
+        # A class of a batch goes by the place of its first record.
         if level == 1:
-            keyed = alive.select(F.explode("balls").alias("key"), "ord", "cls", "n", "sketch")
+            keyed = classes.select("batch", F.explode("balls").alias("key"), F.col("first").alias("ord"), F.col("first").alias("cls"), "n", "sketch")
         else:
-            keyed = settle(near.deep_variants(alive.select("ord", "cls", "n", "sketch", F.col("members").cast("array<bigint>").alias("grams"))), "deep")
+            keyed = settle(near.deep_variants(
+                classes.select("batch", F.col("first").alias("ord"), F.col("first").alias("cls"), "n", "sketch", F.col("members").cast("array<bigint>").alias("grams"))
+            ), "deep")
+        keyed = keyed.withColumn("key", F.xxhash64("batch", "key"))
         stream, count = settle_counted(
             near._streamed(keyed, self.threshold, self.few), "stream", pairs=F.col("b").isNotNull(), flags=F.col("b").isNull()
         )
-        pairs = stream.where("b IS NOT NULL").select(F.col("a").alias("c"), F.col("b").alias("other"))
+        pairs = stream.where("b IS NOT NULL").select("a", "b")
         open_keys = near.open_variants(stream)
         unsure = None
         if count["flags"] and not open_keys.isEmpty():
             lead = keyed.join(open_keys, "key", "left_semi")
             if level == 3:
-                more = near.joined(lead, lead, self.threshold).where("cls < cls2")
-                pairs = pairs.unionByName(more.select(F.col("cls").alias("c"), F.col("cls2").alias("other")))
+                pairs = pairs.unionByName(near.joined(lead.drop("ord", "batch"), lead.drop("ord", "batch"), self.threshold).where("cls < cls2").select(F.col("cls").alias("a"), F.col("cls2").alias("b")))
             else:
                 firsts = lead.groupBy("key").agg(F.min("ord").alias("lead"))
-                unsure = lead.join(firsts, "key").where("ord > lead").select("cls").distinct()
+                doubted = lead.join(firsts, "key").where("ord > lead").select(F.col("cls").alias("first")).distinct()
+                unsure = settle(classes.join(doubted, "first").select("batch", "cls"), "unsure", ["batch"])
         linked = self._linked(pairs.distinct(), classes)
-        links = settle(linked.unionByName(linked.select(F.col("other").alias("c"), F.col("c").alias("other"))), "links")
-        status, waiting = self._resolve(left, links, unsure)
-        self._accept(rows.join(status.where("state = 1").select("ord"), "ord", "left_semi"), batch)
-        if waiting:
+        both = linked.unionByName(linked.select("batch", F.col("other").alias("c"), F.col("c").alias("other")))
+        return Prepared(classes, settle(both, "links", ["batch"]), unsure)
+
+    def check(self, rows: DataFrame, batch: int, sizes: tuple[int, int] | None = None, prepared: Prepared | None = None) -> None:
+        """Decide a batch of `features`: the accepted records are appended to the history.
+
+        A batch that was checked to its end before is passed over, and what a failed
+        try of it appended is dropped first. `sizes` are the least and largest size
+        of the batch's sets, `prepared` what the batch has within itself, if they
+        are known.
+        """
+        if batch in self.done():
+            return
+        for n in list_names(self.spark, f"{self.state}/lots"):
+            if n.isdigit() and json.loads(read_text(self.spark, f"{self.state}/lots/{n}"))["batch"] == batch:
+                remove_path(self.spark, f"{self.state}/lots/{n}")
+        rows = rows.where(F.col("batch") == batch)
+        if sizes is None:
+            sizes = tuple(rows.agg(F.min("n"), F.max("n")).first())
+        undecided, level = rows, 1
+        while True:
+            own = prepared or self.prepare(undecided, level)
+            classes, links, unsure = (None if d is None else d.where(F.col("batch") == batch).drop("batch") for d in own)
+            left = undecided.select("doc_id", "ord", "url_key", "text_key", "cls")
+            if self.lots():
+                left = self._new(left, classes, sizes)
+            status, waiting = self._resolve(left, links, unsure)
+            self._accept(rows.join(status.where("state = 1").select("ord"), "ord", "left_semi"), batch)
+            if not waiting:
+                break
             # The accepted are history by now, near copies of the leaders are gone, and the rest is a batch of its own.
-            self._pass(rows, undecided.join(status.where("state = 0").select("ord"), "ord", "left_semi"), batch, sizes, level + 1)
+            undecided, level, prepared = undecided.join(status.where("state = 0").select("ord"), "ord", "left_semi"), level + 1, None
+        put_text(self.spark, f"{self.state}/done/{batch}", "{}")
+        self._compact()
+        tidy(self.spark)
+
+    def _compact(self) -> None:
+        """Merge the last lots when there are `FAN` that were not merged yet; the merged one lies in their place."""
+        fresh = [n for n in self.lots() if not json.loads(read_text(self.spark, f"{self.state}/lots/{n}"))["of"]]
+        if len(fresh) < FAN:
+            return
+        lot = self.last_lot() + 1
+        self._write(lot, self.spark.table(self.name).where(F.col("lot").isin(fresh)).drop("lot"), None, fresh)
+        for n in fresh:
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (lot = {n})")
+            remove_path(self.spark, f"{self.state}/marks/lot={n}")
 
     def _new(self, left: DataFrame, classes: DataFrame, sizes: tuple) -> DataFrame:
         """Those of `left` that no accepted record has the address, the text or nearly the set of; one probe of the history."""
@@ -295,8 +313,8 @@ class History:
             "met",
         )
         pairs = met.where("c IS NOT NULL").select("c", "other")
-        hit = self._verified(pairs, classes, self.sets()).select(F.col("c").alias("cls")).distinct()
-        gone = met.where("ord IS NOT NULL").select("ord").unionByName(left.join(hit, "cls").select("ord")).distinct()
+        hit = self._verified(pairs, classes, self.sets()).select(F.col("c").alias("cls"))
+        gone = met.where("ord IS NOT NULL").select("ord").unionByName(left.join(hit, "cls").select("ord"))
         return settle(left.join(gone, "ord", "left_anti"), "left")
 
     def _resolve(self, left: DataFrame, links: DataFrame, unsure: DataFrame | None) -> tuple[DataFrame, int]:
@@ -370,9 +388,11 @@ def check_batches(records: DataFrame, threshold: float = 0.7, few: int = near.FE
     # One row for each batch.
     found = kept.groupBy("batch").agg(F.min("n").alias("least"), F.max("n").alias("most")).collect()
     batches = sorted((tuple(r) for r in found if r["batch"] not in before), key=lambda r: r[0])
+    new = kept.where(F.col("batch").isin([b[0] for b in batches]))
+    prepared = history.prepare(new) if batches else None
     for number, least, most in batches:
-        history.check(kept.where(F.col("batch") == number).drop("batch"), number, (least, most))
-    out = history.verdicts(kept.where(F.col("batch").isin([b[0] for b in batches])))
+        history.check(kept, number, (least, most), prepared)
+    out = history.verdicts(new)
     history.close()
     return out
 

@@ -302,9 +302,9 @@ def test_copies_of_a_record_that_leads_no_long_variant(spark):
     texts = template_texts(3)
     frame = spark.createDataFrame([(f"d{i}", 1, i, None, t) for i, t in enumerate(texts)], "doc_id string, batch_no int, seq_no bigint, url string, text string")
     own = F.transform("balls", lambda key, i: F.when(i == 0, F.lit(7).cast("bigint")).otherwise(F.xxhash64("cls", i)))
-    rows = settle(history.features(frame).drop("batch_no").withColumn("balls", own))
+    rows = settle(history.features(frame).withColumn("balls", own))
     known = history.History(spark)
-    known.check(rows)
+    known.check(rows, 1)
     assert {r.doc_id: r.duplicate_type for r in known.verdicts(rows).collect()} == {"d40": "near", "d41": "near", "d42": "near"}
     known.close()
 
@@ -503,7 +503,7 @@ def test_history_goes_on_in_another_process(spark, tmp_path, monkeypatch):
         rows = [(f"n{n}", 1, texts[n]), (f"e{n}", 1, " ".join(edited)), (f"o{n}", None, "o " + texts[n + 10])]
         if n == 3:
             broken = history.History(spark, state)
-            broken._accept(history.features(batch(n, rows)).drop("batch"), n)  # fails before the batch is done
+            broken._accept(history.features(batch(n, rows)), n)  # fails before the batch is done
         got = {r.doc_id: r.duplicate_type for r in history.check_batches(batch(None if n == 4 else n, rows), state_dir=state).collect()}
         assert got == {f"e{n}": "near"} | ({"n1": "exact"} if n == 1 else {}), n
     known = history.History(spark, state)
