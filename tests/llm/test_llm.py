@@ -350,7 +350,7 @@ def test_counts_of_lines_equal_brute_force(spark):
     rng = random.Random(11)
     common = frozenset(("the", "if", "so", "a", "and", "na"))
     pieces = ["the", "The,", "and", "na", "(if", "a1", "a1b2", "fund", "x(y)", "12", "1,300", "12%", "-", "|", "&", "--", "{x}", "camelCase", "w" * 30, "so;is", "q3", "n/a", "\u00e9t\u00e9", "=", "9th", "ab;9", "4;5;6", "\u2014"]
-    lines = [" ".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["a,b,1,2", "x|1|2|-3", "1,300 and 2,500"]
+    lines = [rng.choice((" ", "  ", "\t", "     ")).join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(300)] + ["a,b,1,2", "x|1|2|-3", "1,300 and 2,500"]
     docs = spark.createDataFrame([(i, f"{line}\n \n{line}") for i, line in enumerate(lines)], "doc_id int, text string")
     for r in docs.select("doc_id", quality.line_counts(F.col("text"), common).alias("lines")).collect():
         assert [[r.lines[i][k] for k in quality.COUNTS] for i in (0, 1)] == [brute_counts(lines[r.doc_id], common)] * 2, lines[r.doc_id]
