@@ -137,7 +137,7 @@ class History:
         """The folder's table, with the partitions that are there."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         self.spark.sql(
-            f"CREATE TABLE {self.name} ({self.COLUMNS}, lot INT) USING parquet PARTITIONED BY (lot) "
+            f"CREATE TABLE {self.name} ({self.COLUMNS}, lot INT, ball BOOLEAN) USING parquet PARTITIONED BY (lot, ball) "
             f"CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.state}/marks'"
         )
         if list_names(self.spark, f"{self.state}/marks"):
@@ -150,17 +150,18 @@ class History:
         return sorted(n for n in known if n not in merged)
 
     def marks(self) -> DataFrame:
-        return self.spark.table(self.name).where(F.col("lot").isin(self.lots())).drop("lot")
+        """All rows; those of fingerprints (`ball`) lie in a partition of their own, so that the others are read without them."""
+        return self.spark.table(self.name).where(F.col("lot").isin(self.lots()))
 
     def sets(self) -> DataFrame:
         """`cls, n, pivots, members` of all accepted sets."""
-        return self.marks().where("span = -1 AND n IS NOT NULL").select(F.col("key").alias("cls"), "n", "pivots", "members")
+        return self.marks().where("NOT ball AND n IS NOT NULL").select(F.col("key").alias("cls"), "n", "pivots", "members")
 
     def _write(self, lot: int, rows: DataFrame, batch: int | None, of: list[int]) -> None:
         """A lot, replacing what a failed try left; it counts when its entry is written."""
         remove_path(self.spark, f"{self.state}/marks/lot={lot}")
-        made = rows.select(*[c.split()[0] for c in self.COLUMNS.split(", ")], F.lit(lot).alias("lot")).repartition(self.buckets, "key")
-        made.write.mode("append").format("parquet").partitionBy("lot").bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.state}/marks").saveAsTable(self.name)
+        made = rows.select(*[c.split()[0] for c in self.COLUMNS.split(", ")], F.lit(lot).alias("lot"), (F.col("span") >= 0).alias("ball")).repartition(self.buckets, "key")
+        made.write.mode("append").format("parquet").partitionBy("lot", "ball").bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self.state}/marks").saveAsTable(self.name)
         put_text(self.spark, f"{self.state}/lots/{lot}", json.dumps({"batch": batch, "of": of}))
 
     def done(self) -> set[int]:
@@ -286,7 +287,7 @@ class History:
         if len(fresh) < FAN:
             return
         lot = self.last_lot() + 1
-        self._write(lot, self.spark.table(self.name).where(F.col("lot").isin(fresh)).drop("lot"), None, fresh)
+        self._write(lot, self.spark.table(self.name).where(F.col("lot").isin(fresh)), None, fresh)
         for n in fresh:
             self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (lot = {n})")
             remove_path(self.spark, f"{self.state}/marks/lot={n}")
@@ -300,12 +301,12 @@ class History:
             F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("int").alias("n1"), F.lit(None).cast("bigint").alias("s1"),
         )
         old = self.marks()
-        # Only the ranges of sizes that the batch reaches are read; -1 are the addresses and texts.
-        within = F.col("span") == -1
+        # Only the ranges of sizes that the batch reaches are read, beside the addresses and texts.
+        within = ~F.col("ball")
         if sizes[0] is not None:
             width = -2 * math.log(self.threshold)
             low, high = math.floor(math.log(sizes[0] * self.threshold) / width), math.floor(math.log(sizes[1] / self.threshold) / width)
-            within = (F.col("span") <= high) & ((F.col("span") == -1) | (F.col("span") >= max(low, 0)))
+            within = ~F.col("ball") | F.col("span").between(max(low, 0), high)
         old = old.where(within).select("key", "since", F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
         met = settle(
             near_keys.unionByName(own).join(old, "key")
@@ -346,7 +347,7 @@ class History:
         """
         if not self.lots():
             return rows.select("doc_id", "ord", F.lit(None).cast("string").alias("duplicate_type")).limit(0)
-        marks = self.marks().where("span = -1")
+        marks = self.marks().where("NOT ball")
         mine = rows.select("doc_id", "ord", "url_key", "text_key").join(marks.select(F.col("since").alias("ord")), "ord", "left_anti")
         mine = settle(mine, "duplicates")
         probe = mine.select("ord", F.explode(F.array(

@@ -437,7 +437,7 @@ def test_scans(spark):
 def test_confusions_are_learned(spark):
     bases = ["survey", "reserve", "tender", "ledger", "member", "center"]
     words = [(w, 60) for w in bases] + [(w[0] + w[1:].replace("e", "f", 1), 2) for w in bases] + [("margin", 60), ("margins", 1), ("lender", 1)]
-    frame = spark.createDataFrame(words, "word string, n bigint")
+    frame = spark.createDataFrame(words, "word string, n bigint").withColumn("name", F.lit(False))
     got = {r.word: r.repaired for r in scans.corrections(frame).collect()}
     assert got == {w[0] + w[1:].replace("e", "f", 1): w for w in bases}
 
