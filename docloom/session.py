@@ -120,7 +120,8 @@ def settle_counted(df: DataFrame, name: str = "t", **counts: Column) -> tuple[Da
     """`settle`, and on the way the number of rows for which each of `counts` is true."""
     seen = Observation()
     made = settle(df.observe(seen, *[F.count_if(c).alias(n) for n, c in counts.items()]), name)
-    return made, seen.get
+    got = seen.get
+    return made, {n: got.get(n) or 0 for n in counts}  # a plan found to be empty observes nothing
 
 
 def tidy(spark: SparkSession) -> None:
