@@ -5,8 +5,9 @@ expressions; a hidden Markov model with the states prose, list, table and junk
 labels the lines of a record together (Viterbi), and the shares of the labels,
 weighted by characters, tell natural prose from the rest. The emissions are
 multinomial in the line's counts, so that a long line speaks louder than a short
-one. The model begins with set chances and is fitted to a bounded sample of
-records by expectation and maximisation.
+one. The model begins with set chances and is fitted to the lines of all records
+by expectation and maximisation: each round is a pass over their counts, of which
+only sums reach the driver.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.words import let
-from docloom.session import pick, table
+from docloom.session import pick, settle, table
 
 STATES = ("prose", "list", "table", "junk")
 #: Function words that also join bare noun phrases, as in English headings and lists, and those of Swahili.
 JOINING, JOINING_SW = ("and", "for", "of"), ("na", "ya", "wa", "za", "la", "cha")
-#: Records that the model is fitted to, and rounds of fitting.
-SAMPLE, ROUNDS = 1000, 5
-#: What the set chances weigh beside the counts of the sample, in tokens and in lines.
-WEIGHT = 20000.0
+#: Rounds of fitting.
+ROUNDS = 5
+#: What the set chances weigh beside the counts of so many records, in tokens and in lines; they weigh more in proportion beside more records.
+WEIGHT, BESIDE = 20000.0, 1000
 #: White space, and a character that is none.
 _GAP = r"[\s\p{Z}\x85]"
 _INK = r"[^\s\p{Z}\x85]"
@@ -127,6 +128,8 @@ def line_counts(text: Column, common: frozenset[str]) -> Column:
 
 
 COUNTS = ("tokens", "firm", "joining", "joining_sw", "figures", "odd")
+#: What a round of fitting sums for each component.
+SUMS = (*COUNTS, "bullets", "lines")
 
 
 def _emissions(counts: np.ndarray, bullets: np.ndarray, model: Model) -> np.ndarray:
@@ -142,24 +145,34 @@ def by_state(components: np.ndarray, model: Model) -> np.ndarray:
     return np.stack([components[:, [i for i, s in enumerate(model.of) if s == k]].max(axis=1) for k in range(len(STATES))], axis=1)
 
 
-def fit(counts: np.ndarray, bullets: np.ndarray, starts: np.ndarray, model: Model = START, rounds: int = ROUNDS, weight: float = WEIGHT) -> Model:
-    """The model after some rounds of labelling the lines by their best path and counting what the labels have.
+def label_sums(counts: np.ndarray, bullets: np.ndarray, starts: np.ndarray, model: Model) -> np.ndarray:
+    """For each component the `SUMS` of the lines that the best paths give it."""
+    components = _emissions(counts, bullets, model)
+    states = viterbi(by_state(components, model), starts, model.move)
+    allowed = np.array(model.of)[None, :] == states[:, None]
+    one = np.eye(len(model.of))[np.where(allowed, components, -np.inf).argmax(axis=1)]
+    return np.column_stack([one.T @ counts, one.T @ (bullets > 0), one.sum(axis=0)])
+
 
-    The chances of `model` count as `weight` tokens and lines of each component
-    beside those seen, so that a component that the sample hardly has keeps them.
+def refitted(sums: np.ndarray, first: Model, weight: float = WEIGHT) -> Model:
+    """The model that the sums of a round give.
+
+    The chances of `first` count as `weight` tokens and lines of each component
+    beside those seen, so that a component that the lines hardly have keeps them.
     How states follow each other stays as set: counted, it is that of long records
     of prose, by which a record of two lines of another kind would pass for prose.
     """
+    tokens, parts, bullets, lines = sums[:, :1], sums[:, 1 : len(COUNTS)], sums[:, -2], sums[:, -1]
+    chances = (parts + weight * first.chances) / (tokens + weight)
+    marks = (bullets + weight * first.bullets) / (lines + weight)
+    return Model(np.clip(chances, 1e-4, 0.9), np.clip(marks, 1e-3, 0.99), first.move, first.of)
+
+
+def fit(counts: np.ndarray, bullets: np.ndarray, starts: np.ndarray, model: Model = START, rounds: int = ROUNDS, weight: float = WEIGHT) -> Model:
+    """The model after some rounds of labelling the lines by their best path and counting what the labels have."""
     first = model
     for _ in range(rounds if len(counts) else 0):
-        components = _emissions(counts, bullets, model)
-        states = viterbi(by_state(components, model), starts, model.move)
-        allowed = np.array(model.of)[None, :] == states[:, None]
-        label = np.where(allowed, components, -np.inf).argmax(axis=1)
-        one = np.eye(len(model.of))[label]
-        chances = (one.T @ counts[:, 1:] + weight * first.chances) / (one.T @ counts[:, :1] + weight)
-        marks = (one.T @ (bullets > 0) + weight * first.bullets) / (one.sum(axis=0) + weight)
-        model = Model(np.clip(chances, 1e-4, 0.9), np.clip(marks, 1e-3, 0.99), first.move, model.of)
+        model = refitted(label_sums(counts, bullets, starts, model), first, weight)
     return model
 
 
@@ -227,19 +240,32 @@ def _common(common_words: DataFrame) -> frozenset[str]:
     return frozenset(r["word"] for r in common_words.where("word IS NOT NULL").select(F.lower("word").alias("word")).distinct().collect())
 
 
-def _fitted(docs: DataFrame, common: frozenset[str]) -> Model:
-    """The model fitted to the `SAMPLE` records of the smallest hash, of which only the counts of lines come to the driver."""
-    keyed = docs.where(F.col("text").rlike(_INK)).select("text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    # `SAMPLE` numbers, then only the texts up to the last of them.
-    least = [r["h"] for r in keyed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
-    if not least:
-        return START
-    rows = keyed.where(F.col("h") <= least[-1]).select(line_counts(F.col("text"), common).alias("lines")).toArrow()
-    batch = rows.combine_chunks().to_batches()
-    if not batch:
-        return START
-    counts, bullets, _, starts, _ = _lines(batch[0].column(0))
-    return fit(counts, bullets, starts)
+def _sums(model: Model):
+    """The pass over batches of lines' counts, the only column, that gives the sums of a partition for each component, and its records with lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, records = np.zeros((len(model.of), len(SUMS))), 0
+        for batch in batches:
+            counts, bullets, _, starts, owners = _lines(batch.column(0))
+            if len(owners):
+                sums += label_sums(counts, bullets, starts, model)
+                records += len(owners)
+        columns = [pa.array(range(len(sums)), pa.int32()), pa.array([records] * len(sums), pa.int64()), *map(pa.array, sums.T)]
+        yield pa.RecordBatch.from_arrays(columns, ["component", "records", *SUMS])
+
+    return run
+
+
+def fitted(counted: DataFrame, lines: str = "_lines") -> Model:
+    """`fit` over the lines of all records: a round is a pass over their counts, and the driver gets one row for each component."""
+    model, counted = START, counted.select(lines)
+    for _ in range(ROUNDS):
+        found = counted.mapInArrow(_sums(model), "component int, records bigint" + "".join(f", {c} double" for c in SUMS))
+        rows = sorted(found.groupBy("component").agg(*[F.sum(c).alias(c) for c in ("records", *SUMS)]).collect())
+        if not rows or not rows[0]["records"]:
+            return START
+        model = refitted(np.array([[r[c] for c in SUMS] for r in rows]), START, WEIGHT * max(1, rows[0]["records"] / BESIDE))
+    return model
 
 
 def label_shares(
@@ -250,7 +276,11 @@ def label_shares(
     docs = pick(docs, doc_id=doc_id, text=text)
     counted = docs.select("doc_id", *[c.alias(n) for n, c in (stats or {}).items()], line_counts(F.col("text"), common).alias("_lines"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.schema.fields[:-1]) + "".join(f", {n}_share double" for n in STATES)
-    return counted.mapInArrow(label(model or _fitted(docs, common)), schema)
+    if model is None:
+        # Fitting and labelling both need the counts: written once, the texts are read once.
+        counted = settle(counted, "lines")
+        model = fitted(counted)
+    return counted.mapInArrow(label(model), schema)
 
 
 def text_statistics(docs: DataFrame, common_words: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:

@@ -368,6 +368,21 @@ def test_fit_follows_the_lines_and_keeps_what_it_has_not_seen():
     assert none is quality.START
 
 
+def test_model_is_fitted_to_all_records(spark, monkeypatch):
+    rng, label, models = random.Random(13), quality.label, []
+    pieces = ["the", "and", "na", "fund", "12", "1,300", "{x}", "Rates", "-", "a1b2"]
+    texts = ["\n".join(" ".join(rng.choice(pieces[i % 5 :]) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))) for i in range(2500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id int, text string")
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    monkeypatch.setattr(quality, "label", lambda model: models.append(model) or label(model))
+    assert quality.label_shares(docs, common).count() == 2502
+    rows = docs.orderBy("doc_id").select(quality.line_counts(F.col("text"), frozenset(("the",))).alias("lines")).toArrow()
+    counts, bullets, _, starts, owners = quality._lines(rows.combine_chunks().to_batches()[0].column(0))
+    whole = quality.fit(counts, bullets, starts, weight=quality.WEIGHT * 2500 / quality.BESIDE)
+    assert len(owners) == 2500 and np.array_equal(models[0].chances, whole.chances) and np.array_equal(models[0].bullets, whole.bullets)
+    assert quality.label_shares(docs.limit(0), common).count() == 0 and models[1] is quality.START
+
+
 def test_viterbi_equals_brute_force():
     rng = np.random.default_rng(1)
     starts, lengths = [], [1, 4, 3, 5]
