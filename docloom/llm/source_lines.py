@@ -1,8 +1,9 @@
 """Problem 5: lines that a source repeats across its documents.
 
 A distributed PrefixSpan over sequences of line identifiers: frequent single
-lines of a source first, then each frequent sequence is grown by the line that
-follows it, level by level, with support counted in distinct documents. The
+lines of a source first, then each frequent sequence is grown by every frequent
+line that follows it in its projected documents, next to it or not, level by
+level, with support counted in distinct documents. The
 occurrences of all frequent sequences are deleted from the texts. Only hashes of
 lines are shuffled, never texts.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.words import LETTERS, let, lines, words
@@ -53,9 +54,12 @@ def frequent_sequences(sequences: DataFrame, min_docs: int = 8, max_length: int
     """`source_id, length, pattern, n_docs, doc_id, line_nos`: the occurrences of each frequent sequence.
 
     A sequence of lines is frequent if it stands in `min_docs` or more documents
-    of its source; its lines follow each other among the frequent lines of the
-    document. Level k+1 starts from the occurrences of level k (the projected
-    database), so that only what can still be frequent is shuffled. Counts are
+    of its source; its lines follow each other in the document, other lines may
+    stand between them. An occurrence is projected to the lines after it, and each
+    of these grows it at its first place there. Longer sequences thus have one
+    occurrence for each of the first lines they can begin with, not one for each
+    choice of places. Level k+1 starts from the occurrences of level k (the
+    projected database), so that only what can still be frequent is shuffled. Counts are
     combined before every shuffle; the join with the frequent patterns is salted,
     so that a source or a line with a third of all rows is spread.
     """
@@ -64,34 +68,35 @@ def frequent_sequences(sequences: DataFrame, min_docs: int = 8, max_length: int
     )
     # Counting and joining back both need the lines: written once, the texts are read and cut into words once.
     found = [settle(_frequent(settle(level, "lines"), min_docs, 1), "level")]
+    order = settle(_lines_in_order(found[0]), "order") if max_length > 1 else None
     for length in range(2, max_length + 1):
-        previous = found[-1]
-        singles = found[0].select(
-            "source_id", "doc_id", F.element_at("line_nos", 1).alias("next_no"), F.col("pattern").alias("next_key")
+        last = F.element_at(F.col("line_nos"), -1)
+        # The projection, and in it the first place of each line.
+        after = F.filter("all", lambda x: (x["no"] > last) & (x["before"] <= last))
+        grown = found[-1].join(order, ["source_id", "doc_id"]).select(
+            "source_id", "doc_id", "line_nos", "pattern", F.explode(after).alias("next")
         )
-        order = singles.groupBy("source_id", "doc_id").agg(
-            F.sort_array(F.collect_list(F.struct("next_no", "next_key"))).alias("all")
-        )
-        grown = previous.join(order, ["source_id", "doc_id"]).select(
-            "source_id",
-            "doc_id",
-            "line_nos",
-            "pattern",
-            F.get(F.filter("all", lambda x: x["next_no"] > F.element_at(F.col("line_nos"), -1)), F.lit(0)).alias("next"),
-        )
-        level = grown.where(F.col("next").isNotNull()).select(
+        level = grown.select(
             "source_id",
             "doc_id",
-            F.concat("line_nos", F.array(F.col("next.next_no"))).alias("line_nos"),
-            F.xxhash64("pattern", "next.next_key").alias("pattern"),
+            F.concat("line_nos", F.array(F.col("next.no"))).alias("line_nos"),
+            F.xxhash64("pattern", "next.key").alias("pattern"),
         )
-        level = settle(_frequent(level, min_docs, length), "level")
+        level = settle(_frequent(settle(level, "grown"), min_docs, length), "level")
         if level.isEmpty():
             break
         found.append(level)
     return reduce(DataFrame.unionByName, found)
 
 
+def _lines_in_order(singles: DataFrame) -> DataFrame:
+    """`source_id, doc_id, all`: the frequent lines of each document, each with the number of the same line before it (0: none)."""
+    same = Window.partitionBy("source_id", "doc_id", "pattern").orderBy("no")
+    lines_ = singles.select("source_id", "doc_id", "pattern", F.element_at("line_nos", 1).alias("no"))
+    item = F.struct("no", F.coalesce(F.lag("no").over(same), F.lit(0)).alias("before"), F.col("pattern").alias("key"))
+    return lines_.select("source_id", "doc_id", item.alias("item")).groupBy("source_id", "doc_id").agg(F.sort_array(F.collect_list("item")).alias("all"))
+
+
 def _frequent(level: DataFrame, min_docs: int, length: int) -> DataFrame:
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     support = (
@@ -146,7 +151,7 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frequent sequences of each source: length, support and occurrences."""
+    """The frequent sequences of each source: length, support and occurrences (of longer ones, the first lines they begin with)."""
     found = frequent_sequences(line_sequences(*_inputs(spark, sf_dir)))
     return found.groupBy("source_id", "length", "pattern").agg(
         F.max("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("occurrences")

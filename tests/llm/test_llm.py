@@ -168,6 +168,27 @@ def test_lines_of_a_source(spark):
     assert source_lines.repeated_lines(frame.limit(0), sources).count() == 0
 
 
+def test_sequences_equal_brute_force(spark):
+    """Frequent lines with other frequent lines between them, some of them twice in a document."""
+    rng, kinds = random.Random(14), [f"the line {w} here" for w in WORDS[:3]]
+    docs = {f"d{i}": [rng.choice(kinds) if rng.random() < 0.8 else f"alone is {w}{i}" for w in rng.choices(WORDS, k=rng.randint(1, 9))] for i in range(40)}
+    docs |= {f"gap{i}": ["first of all lines", *([kinds[0]] if i % 2 else [kinds[1], "never twice so"]), "last of all lines"] for i in range(8)}
+    support, starts = Counter(), Counter()
+    for d, own in docs.items():
+        for n in (1, 2, 3):
+            seen = {(tuple(own[p] for p in places), places[0]) for places in itertools.combinations(range(len(own)), n)}
+            support.update({k for k, _ in seen})
+            starts.update(k for k, _ in seen)
+    frame = spark.createDataFrame([(d, "\n".join(own)) for d, own in docs.items()], "doc_id string, text string")
+    sources = spark.createDataFrame([(d, "s") for d in docs], "doc_id string, source_id string")
+    found = source_lines.frequent_sequences(source_lines.line_sequences(frame, sources)).collect()
+    rows = [(tuple(docs[r.doc_id][n - 1] for n in r.line_nos), r) for r in found]
+    assert all(r.length == len(k) and r.line_nos == sorted(set(r.line_nos)) for k, r in rows)
+    assert {k: r.n_docs for k, r in rows} == {k: n for k, n in support.items() if n >= 8}
+    assert Counter(k for k, _ in rows) == {k: n for k, n in starts.items() if support[k] >= 8}
+    assert ("first of all lines", "last of all lines") in {k for k, _ in rows} and {len(k) for k, _ in rows} == {1, 2, 3}
+
+
 # Problem 2
 
 
