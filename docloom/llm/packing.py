@@ -15,7 +15,6 @@ budget.
 from __future__ import annotations
 
 import bisect
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.tokens import ByteBpe
-from docloom.session import pick, settle, table
+from docloom.session import pick, settle, table, tidy
 
 SALTS = 64
 
@@ -110,34 +109,50 @@ def pack(
     come out with `tokens` 0 and no container. Repeated rows are items of their
     own. Container numbers are dense from 0; an empty table gives no rows.
     """
-    spark = items.sparkSession
+    return pack_all(items, [capacity], max_buckets, doc_id, tokens).drop("pack")
+
+
+def pack_all(
+    items: DataFrame, capacities: list[int], max_buckets: int = 512, doc_id: str = "doc_id", tokens: str = "tokens"
+) -> DataFrame:
+    """`pack` for each of the capacities in one plan, with `pack`, the capacity's place in the list."""
     items = pick(items, doc_id=doc_id, tokens=tokens).withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("int"))
+    each = F.array(*[F.struct(F.lit(i).alias("pack"), F.lit(c).alias("capacity")) for i, c in enumerate(capacities)])
     pieces = (
-        items.withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("tokens") / capacity), F.lit(1)).cast("int"))))
-        .withColumn("tokens", F.least(F.col("tokens") - (F.col("piece_no") - 1) * capacity, F.lit(capacity)))
+        items.select("doc_id", "tokens", F.inline(each.cast("array<struct<pack:int,capacity:int>>")))
+        .withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.greatest(F.ceil(F.col("tokens") / F.col("capacity")), F.lit(1)).cast("int"))))
+        .withColumn("tokens", F.least(F.col("tokens") - (F.col("piece_no") - 1) * F.col("capacity"), F.col("capacity")))
     )
-    # One row for each size at most, and no more sizes than the capacity.
-    hist = sorted((r["tokens"], r["n"]) for r in pieces.where("tokens > 0").groupBy("tokens").agg(F.count(F.lit(1)).alias("n")).collect())
-    bounds = bucket_bounds([s for s, _ in hist], [n for _, n in hist], max_buckets)
-    counts = [0] * len(bounds)
-    for s, n in hist:
-        counts[bisect.bisect_left(bounds, s)] += n
-    starts, uses, bases, ranks = [], [], [], dict.fromkeys(bounds, 0)
-    base = 0
-    for slots, times in container_plan(bounds, counts, capacity):
-        for s, k in slots.items():
-            starts.append((bounds.index(s) << 40) + ranks[s])
-            uses.append(k)
-            bases.append(base)
-            ranks[s] += k * times
-        base += times
+    # One row for each size of a pack at most, and no more sizes than its capacity.
+    hist = sorted(
+        (r["pack"], r["tokens"], r["n"])
+        for r in pieces.where("tokens > 0").groupBy("pack", "tokens").agg(F.count(F.lit(1)).alias("n")).collect()
+    )
+    # Buckets are numbered through all packs.
+    all_bounds, starts, uses, bases = [], [], [], []
+    for i, capacity in enumerate(capacities):
+        own = [(s, n) for p, s, n in hist if p == i]
+        bounds = bucket_bounds([s for s, _ in own], [n for _, n in own], max_buckets)
+        counts = [0] * len(bounds)
+        for s, n in own:
+            counts[bisect.bisect_left(bounds, s)] += n
+        base, ranks = 0, dict.fromkeys(bounds, 0)
+        for slots, times in container_plan(bounds, counts, capacity):
+            for s, k in slots.items():
+                starts.append((len(all_bounds) + bounds.index(s) << 40) + ranks[s])
+                uses.append(k)
+                bases.append(base)
+                ranks[s] += k * times
+            base += times
+        all_bounds += [(i << 32) + b for b in bounds]
     order = np.argsort(np.array(starts, dtype=np.int64), kind="stable")
     starts_, uses_, bases_ = (np.array(x, dtype=np.int64)[order] for x in (starts, uses, bases))
-    bounds_ = np.array(bounds, dtype=np.int64)
+    bounds_ = np.array(all_bounds, dtype=np.int64)
 
     @F.pandas_udf("int")
-    def bucket_of(size: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds_, size.to_numpy()).astype(np.int32))
+    def bucket_of(pack: pd.Series, size: pd.Series) -> pd.Series:
+        key = (pack.to_numpy().astype(np.int64) << 32) + size.to_numpy()
+        return pd.Series(np.searchsorted(bounds_, key).astype(np.int32))
 
     @F.pandas_udf("bigint")
     def container_of(bucket: pd.Series, rank: pd.Series) -> pd.Series:
@@ -146,22 +161,24 @@ def pack(
         return pd.Series(bases_[at] + (key - starts_[at]) // uses_[at])
 
     if not hist:
-        return pieces.select("doc_id", "piece_no", "tokens", F.lit(None).cast("bigint").alias("container_no"))
-    placed = pieces.where("tokens > 0").withColumn("bucket", bucket_of("tokens"))
+        return pieces.select("doc_id", "piece_no", "tokens", F.lit(None).cast("bigint").alias("container_no"), "pack")
+    placed = pieces.where("tokens > 0").withColumn("bucket", bucket_of("pack", "tokens"))
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(SALTS)).cast("int"))
     sub = placed.groupBy("bucket", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # At most `max_buckets` x SALTS rows.
+    # At most `max_buckets` x SALTS rows a pack.
     offsets = F.broadcast(
         sub.selectExpr("bucket", "salt", "sum(n) OVER (PARTITION BY bucket ORDER BY salt) - n AS offset")
     )
     ranked = placed.selectExpr(
-        "doc_id", "piece_no", "tokens", "bucket", "salt",
+        "doc_id", "piece_no", "tokens", "pack", "bucket", "salt",
         "row_number() OVER (PARTITION BY bucket, salt ORDER BY doc_id, piece_no) - 1 AS rn",
     ).join(offsets, ["bucket", "salt"])
     full = ranked.select(
-        "doc_id", "piece_no", "tokens", container_of("bucket", F.col("rn") + F.col("offset")).alias("container_no")
+        "doc_id", "piece_no", "tokens", container_of("bucket", F.col("rn") + F.col("offset")).alias("container_no"), "pack"
+    )
+    none = pieces.where("tokens = 0").select(
+        "doc_id", "piece_no", "tokens", F.lit(None).cast("bigint").alias("container_no"), "pack"
     )
-    none = pieces.where("tokens = 0").select("doc_id", "piece_no", "tokens", F.lit(None).cast("bigint").alias("container_no"))
     return full.unionByName(none)
 
 
@@ -174,11 +191,12 @@ def document_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def p9_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in a container of each of the `pack_sizes`; containers are numbered within their pack."""
     sizes = settle(document_sizes(table(spark, sf_dir, "documents")), "sizes")
+    # The plans of the sizes hold the literals of the encoder, which would stay beside the plans of the packs.
+    tidy(spark)
     packs = table(spark, sf_dir, "pack_sizes").where("tokenizer = 'byte_bpe_50k'").collect()
-    return reduce(
-        DataFrame.unionByName,
-        [pack(sizes, p["capacity"]).withColumn("pack_name", F.lit(p["pack_name"])) for p in packs],
-    )
+    names = F.array(*[F.lit(p["pack_name"]) for p in packs]).cast("array<string>")
+    packed = pack_all(sizes, [p["capacity"] for p in packs])
+    return packed.select("doc_id", "piece_no", "tokens", "container_no", F.get(names, F.col("pack")).alias("pack_name"))
 
 
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

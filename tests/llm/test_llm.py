@@ -104,6 +104,24 @@ def test_packing_keeps_whole_items(spark):
     assert packing.pack(items.where("tokens = 0"), 100).collect()[0].container_no is None
 
 
+def test_packs_are_one_plan(spark, tmp_path):
+    """The plan is as large for three packs as for one, and each pack is as if alone."""
+    rng = random.Random(15)
+    texts = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "rate " * 200)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    reads = []
+    for packs in ([("p8", 8)], [("p8", 8), ("p64", 64), ("p100", 100)]):
+        rows = [(name, "byte_bpe_50k", c) for name, c in packs] + [("other", "none", 9)]
+        spark.createDataFrame(rows, "pack_name string, tokenizer string, capacity int").write.mode("overwrite").parquet(f"{tmp_path}/pack_sizes.parquet")
+        got = packing.p9_packed(spark, str(tmp_path))
+        reads.append(got._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+    assert reads[0] == reads[1]
+    sizes = packing.document_sizes(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    want = [(*r, name) for name, c in packs for r in packing.pack(sizes, c).collect()]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert packing.pack_all(sizes, []).count() == 0
+
+
 # Problem 10
 
 
