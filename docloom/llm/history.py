@@ -17,7 +17,7 @@ by (1 - t) / (1 + t) of |A| + |B|, and the triangle inequality prunes twice: by
 the distance to the empty pivot, |A|, whose ranges partition the join (a set only
 meets the two ranges that it can reach, and of the history only the ranges that
 the batch reaches are read), and by the distances to all pivots, summed over these
-disjoint ones, before any set is fetched. Then the true distance is verified.
+disjoint ones, before any set is compared. Then the true distance is verified.
 
 Ranges of pivot distances alone let nearly all pairs through, as unrelated texts
 lie at about the same distance from every pivot. So a range is joined within the
@@ -107,10 +107,10 @@ def features(records: DataFrame, era: int = 0) -> DataFrame:
 
 
 class Prepared(NamedTuple):
-    """Of some batches: their classes, the links between those of one batch, both ways, and the classes in doubt."""
+    """Of some batches: their classes, the keys that several records of one batch see (`order.busy`), and the classes in doubt."""
 
     classes: DataFrame
-    links: DataFrame
+    busy: DataFrame
     unsure: DataFrame | None
 
 
@@ -186,11 +186,10 @@ class History:
         return F.floor(F.log(n) / (-2 * math.log(self.threshold))).cast("int")
 
     def _verified(self, pairs: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
-        """`c, other` of the pairs that pass the pivots, and whose sets then reach the threshold; no set of `theirs` is read before."""
+        """`c, other` of the pairs that pass the pivots, and whose sets then reach the threshold; no set is compared before."""
         left = pairs.join(ours.select(F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("pivots").alias("p1"), F.col("members").alias("m1")), "c")
-        close = left.join(theirs.select(F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("pivots").alias("p2")), "other").where(self._bound("p1", "p2"))
-        both = close.join(theirs.select(F.col("cls").alias("other"), F.col("members").alias("m2")), "other")
-        return both.where(self._reach()).select("c", "other")
+        both = left.join(theirs.select(F.col("cls").alias("other"), F.col("n").alias("n2"), F.col("pivots").alias("p2"), F.col("members").alias("m2")), "other")
+        return both.where(self._bound("p1", "p2")).where(self._reach()).select("c", "other")
 
     def _linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """`batch, c, other`: the same for pairs of classes of one batch, `a` and `b` by their first records."""
@@ -245,8 +244,10 @@ class History:
                 doubted = lead.join(firsts, "key").where("ord > lead").select(F.col("cls").alias("first")).distinct()
                 unsure = settle(classes.join(doubted, "first").select("batch", "cls"), "unsure", ["batch"])
         linked = self._linked(pairs.distinct(), classes)
-        both = linked.unionByName(linked.select("batch", F.col("other").alias("c"), F.col("c").alias("other")))
-        return Prepared(classes, settle(both, "links", ["batch"]), unsure)
+        links = settle(linked.unionByName(linked.select("batch", F.col("other").alias("c"), F.col("c").alias("other"))), "links")
+        own = rows.select("batch", "ord", F.explode(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"))
+        like = rows.select("batch", "ord", "cls").join(links.withColumnRenamed("c", "cls"), ["batch", "cls"]).select("batch", "ord", F.col("other").alias("key"))
+        return Prepared(classes, order.busy(own, own.unionByName(like), ["batch"]), unsure)
 
     def check(self, rows: DataFrame, batch: int, sizes: tuple[int, int] | None = None, prepared: Prepared | None = None) -> None:
         """Decide a batch of `features`: the accepted records are appended to the history.
@@ -267,11 +268,11 @@ class History:
         undecided, level = rows, 1
         while True:
             own = prepared or self.prepare(undecided, level)
-            classes, links, unsure = (None if d is None else d.where(F.col("batch") == batch).drop("batch") for d in own)
-            left = undecided.select("doc_id", "ord", "url_key", "text_key", "cls")
+            classes, busy, unsure = (None if d is None else d.where(F.col("batch") == batch).drop("batch") for d in own)
+            left = undecided.select("ord", "url_key", "text_key", "cls")
             if self.lots():
                 left = self._new(left, classes, sizes)
-            status, waiting = self._resolve(left, links, unsure)
+            status, waiting = self._resolve(left, busy, unsure)
             self._accept(rows.join(status.where("state = 1").select("ord"), "ord", "left_semi"), batch)
             if not waiting:
                 break
@@ -293,7 +294,7 @@ class History:
             remove_path(self.spark, f"{self.state}/marks/lot={n}")
 
     def _new(self, left: DataFrame, classes: DataFrame, sizes: tuple) -> DataFrame:
-        """Those of `left` that no accepted record has the address, the text or nearly the set of; one probe of the history."""
+        """`ord, cls` of those of `left` that no accepted record has the address, the text or nearly the set of; one probe of the history."""
         spans = classes.select("balls", F.explode(self._spans(F.col("n"))).alias("span"), F.col("cls").alias("c"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
         near_keys = spans.select(F.explode("balls").alias("ball"), "span", "c", "n1", "s1").select(F.xxhash64("ball", "span").alias("key"), F.lit(None).cast("bigint").alias("ord"), "c", "n1", "s1")
         own = left.select(
@@ -315,30 +316,30 @@ class History:
         )
         pairs = met.where("c IS NOT NULL").select("c", "other")
         hit = self._verified(pairs, classes, self.sets()).select(F.col("c").alias("cls"))
-        gone = met.where("ord IS NOT NULL").select("ord").unionByName(left.join(hit, "cls").select("ord"))
-        return settle(left.join(gone, "ord", "left_anti"), "left")
+        return settle(left.select("ord", "cls").join(hit, "cls", "left_anti").join(met.where("ord IS NOT NULL"), "ord", "left_anti"), "left")
 
-    def _resolve(self, left: DataFrame, links: DataFrame, unsure: DataFrame | None) -> tuple[DataFrame, int]:
+    def _resolve(self, left: DataFrame, busy: DataFrame, unsure: DataFrame | None) -> tuple[DataFrame, int]:
         """`ord, state` of `left`, and how many are to be seen again: those in doubt that no accepted record of the batch settles."""
-        own = left.select("ord", F.explode(F.array_compact(F.array("url_key", "text_key", "cls"))).alias("key"))
-        like = left.join(links.select(F.col("c").alias("cls"), "other"), "cls").select("ord", F.col("other").alias("key"))
         records = left.select("ord", "cls")
         if unsure is not None:
             records = records.join(unsure.withColumn("doubt", F.lit(True)), "cls", "left").withColumn("doubt", F.coalesce("doubt", F.lit(False)))
-        return order.decide(records, own, own.unionByName(like))
+        return order.decide(records, busy)
 
     def _accept(self, accepted: DataFrame, batch: int | None) -> None:
+        def mark(key: Column, span: Column, since=None, cls=None, n=None, sketch=None, pivots=None, members=None) -> Column:
+            values = (key, span, since, cls, n, sketch, pivots, members)
+            return F.struct(*[(F.lit(None) if v is None else v).cast(c.split()[1]).alias(c.split()[0]) for v, c in zip(values, self.COLUMNS.split(", "))])
+
+        own = F.array_compact(F.array(*[
+            F.when(F.col(k).isNotNull(), mark(F.col(k), F.lit(-1), F.col("ord"), **({c: F.col(c) for c in ("n", "pivots", "members")} if k == "cls" else {})))
+            for k in ("url_key", "text_key", "cls")
+        ]))
         # Also without any key there is a row, which says that the record was accepted.
-        kinds = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.col(k).alias("key"), F.lit(k == "cls").alias("set"))) for k in ("url_key", "text_key", "cls")]))
-        own = accepted.withColumn("k", F.explode_outer(kinds)).select(
-            "k.key", F.lit(-1).alias("span"), F.col("ord").alias("since"), F.lit(None).cast("bigint").alias("cls"), F.lit(None).cast("bigint").alias("sketch"),
-            *[F.when(F.col("k.set"), F.col(c)).alias(c) for c in ("n", "pivots", "members")],
-        )
-        balls = accepted.where("cls IS NOT NULL").select(F.explode("balls").alias("ball"), self._span(F.col("n")).alias("span"), "cls", "n", "sketch").select(
-            F.xxhash64("ball", "span").alias("key"), "span", F.lit(None).cast("bigint").alias("since"), "cls", "n", "sketch",
-            F.lit(None).cast("array<int>").alias("pivots"), F.lit(None).cast("array<int>").alias("members"),
-        )
-        self._write(self.last_lot() + 1, own.unionByName(balls), batch, [])
+        own = F.when(F.size(own) > 0, own).otherwise(F.array(mark(F.lit(None), F.lit(-1), F.col("ord"))))
+        span = self._span(F.col("n"))
+        balls = F.transform("balls", lambda ball: mark(F.xxhash64(ball, span), span, cls=F.col("cls"), n=F.col("n"), sketch=F.col("sketch")))
+        rows = accepted.select(F.explode(F.when(F.col("cls").isNull(), own).otherwise(F.concat(own, balls))).alias("m")).select("m.*")
+        self._write(self.last_lot() + 1, rows, batch, [])
 
     def verdicts(self, rows: DataFrame) -> DataFrame:
         """`doc_id, ord, duplicate_type` of those of the checked `rows` that were not accepted.

@@ -562,3 +562,22 @@ def test_history_goes_on_in_another_process(spark, tmp_path, monkeypatch):
     known = history.History(spark, state)
     assert len(known.lots()) < 5 and known.sets().count() == 2 + 3 + 4
     known.close()
+
+
+def test_a_batch_against_the_history_takes_few_plans(spark):
+    """The driver keeps threads and heap for each plan that it runs, so that a batch has a bound of them."""
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(60)) for _ in range(18)]
+    rows = [(f"d{i}", 1 + i // 6, i, f"https://w.example/{i}", t) for i, t in enumerate(texts)]
+    rows += [(f"e{b}", b, 100, None, texts[0].replace(" ", "  ")) for b in (2, 3)] + [(f"f{b}", b, 101, f"https://w.example/{6 * b - 6}#f", None) for b in (2, 3)]
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    took = []
+    for batches in (2, 3):
+        frame = spark.createDataFrame([r for r in rows if r[1] <= batches], "doc_id string, batch_no int, seq_no bigint, url string, text string")
+        bus.waitUntilEmpty(30_000)
+        before = store.executionsCount()
+        got = {r.doc_id: r.duplicate_type for r in history.check_batches(frame).collect()}
+        assert got == {f"e{b}": "near" for b in range(2, batches + 1)} | {f"f{b}": "url" for b in range(2, batches + 1)}
+        bus.waitUntilEmpty(30_000)
+        took.append(store.executionsCount() - before)
+    assert took[1] - took[0] <= 7, took
