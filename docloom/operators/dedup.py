@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import let
+from docloom.operators import alike
 from docloom.operators.order import first_come
 from docloom.session import pick, settle
 
@@ -55,11 +56,6 @@ def shingle_set(text: Column, n: int = 5) -> Column:
     return let(F.lower(F.trim(text)), of)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return common / (F.size(a) + F.size(b) - common)
-
-
 @lru_cache(maxsize=8)
 def _permutations(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     draw = random.Random(seed)
@@ -183,29 +179,13 @@ def alike_texts(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Equal texts (trimmed, in lower case) are one class, named for its smallest
     `doc_id`; classes are linked if the Jaccard index of their character shingles
-    is `threshold` or more. An exact join by prefixes: two sets that are so much
-    alike share one of the rarest shingles of each, and sizes that differ more
-    than the threshold are not joined. Null texts are like none.
+    is `threshold` or more. The join is exact (see `alike`); neither texts nor
+    sets are kept beside `docs`, which is read three times. Null texts are like none.
     """
-    base = pick(docs, doc_id="doc_id", text="text").where("text IS NOT NULL").select("doc_id", F.lower(F.trim("text")).alias("low"))
-    placed = settle(base.select("doc_id", "low", F.sha2("low", 256).alias("h")), "texts")
-    classes = placed.groupBy("h").agg(F.min("doc_id").alias("first_id"))
-    one = placed.join(classes, "h").where("doc_id = first_id").dropDuplicates(["h"])
-    sets = settle(one.select("first_id", F.transform(shingle_set(F.col("low")), lambda g: F.xxhash64(g)).alias("grams")), "sets")
-    held = sets.select("first_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    rare = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # The prefix counts all shingles; those that stand in no other text can be left out of it.
-    ranked = held.join(rare, "gram").groupBy("first_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("common"))
-    alone = F.col("n") - F.size("common")
-    prefix = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1 - alone
-    keyed = ranked.where(prefix > 0).select("first_id", "n", F.explode(F.slice("common", F.lit(1), prefix.cast("int"))).alias("c")).select("first_id", "n", "c.gram")
-    met = keyed.alias("l").join(keyed.alias("r"), "gram").where(
-        (F.col("l.first_id") < F.col("r.first_id")) & (F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n") - 1e-9)
-    ).select(F.col("l.first_id").alias("a"), F.col("r.first_id").alias("b")).distinct()
-    left = met.join(sets.select(F.col("first_id").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("first_id").alias("b"), F.col("grams").alias("gb")), "b")
-    links = settle(both.where(jaccard(F.col("ga"), F.col("gb")) >= threshold).select("a", "b"), "links")
-    ends = links.select(F.explode(F.array("a", "b")).alias("first_id")).groupBy("first_id").agg(F.count(F.lit(1)).alias("n_links"))
-    sizes = placed.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
-    liked = sizes.join(ends, "first_id", "left").where("copies > 1 OR n_links > 0").select("h", "first_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    base = pick(docs, doc_id="doc_id", text="text").where("text IS NOT NULL").select("doc_id", F.lower(F.trim("text")).alias("low")).withColumn("id", F.xxhash64("low"))
+    placed = settle(base.select("doc_id", F.unhex(content_hash(F.col("low"))).alias("h"), "id"), "texts")
+    links = alike.links(base.where("doc_id IS NOT NULL"), placed.groupBy("id").agg(F.min("doc_id").alias("doc_id")), threshold)
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    sizes = placed.groupBy("h", "id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
+    liked = sizes.join(ends, "id", "left").where("copies > 1 OR n_links > 0").select("h", "first_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return placed.join(liked, "h").select("doc_id", "first_id", "n_links")

@@ -2,14 +2,17 @@ import hashlib
 import json
 import random
 from datetime import datetime
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docloom import session
 from docloom.functions import rules, text
-from docloom.operators import catalog, chunk, dedup, html, links, monitor, pipeline, tables, vector
+from docloom.operators import alike, catalog, chunk, dedup, html, links, monitor, pipeline, tables, vector
 from docloom.operators.changes import ChangeCapture, ChangeLog, document_states, due_documents, instant, merge_states
 from docloom.plans import registry
 from docloom.sources import readers
@@ -192,6 +195,58 @@ def test_alike_texts_equal_brute_force(spark):
     assert {r.doc_id: (r.first_id, r.n_links) for r in dedup.alike_texts(frame).collect()} == want and any(n for _, n in want.values())
 
 
+def disk_files(spark):
+    """Size of each file that Spark's shuffles and `settle` keep."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    kept = {}
+    while blocks.hasNext():
+        f = blocks.next()
+        kept[f.getPath()] = f.length()
+    folder = session.shared_dir(spark).removeprefix("file:")
+    return kept | {str(f): f.stat().st_size for f in Path(folder).rglob("*") if f.is_file()}
+
+
+def test_alike_texts_keep_no_sets(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(250)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(400)]
+    texts += [t.replace(words[0], "other") for t in texts[:40]] + texts[:20]
+    frame = session.settle(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    before = disk_files(spark)
+    got = {r.doc_id: (r.first_id, r.n_links) for r in dedup.alike_texts(frame).collect()}
+    written = sum(n for f, n in disk_files(spark).items() if f not in before)
+    assert written < 3 * sum(map(len, texts)), written
+    changed = [i for i in range(40) if texts[i] != texts[400 + i]]
+    assert changed and all(got[i] == (i, 1) and got[400 + i] == (400 + i, 1) for i in changed) and len(got) == 100
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.85, 1.0])
+def test_likely_pairs_hold_all_alike(threshold):
+    rng = random.Random(12)
+    texts = ["", "a", "ab", "\0", "abcd", "abcde", "x" * 40, "\U0001f600" * 3, "\U0001f600\u00e9abcdef"]
+    for size in (5, 6, 7, 9, 12, 20, 33, 60, 150, 400, 1500):
+        for _ in range(4):
+            t = "".join(rng.choice("abcdefghij") for _ in range(size))
+            texts += [t, t[size // 2 :] + t[: size // 2]]
+            for part in (0.01, 0.02, 0.03, 0.1):
+                n = max(1, int(part * size))
+                texts += [t + "".join(rng.choice("klm") for _ in range(n)), t[n:], "".join(rng.choice("klm") if rng.random() < part / 3 else c for c in t)]
+    texts = sorted(set(texts))
+    sets = [{t} if len(t) < 5 else {t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "low": texts})
+    rows = pa.Table.from_batches(alike.sketch_batches([batch], threshold)).to_pylist()
+    got = set()
+    for cls, part in {(r["cls"], r["part"]) for r in rows}:
+        some = [r for r in rows if (r["cls"], r["part"]) == (cls, part)]
+        boxes = np.frombuffer(b"".join(r["boxes"] for r in some), dtype=alike._KIND).reshape(len(some), -1)
+        a, b = alike.likely(np.array([r["id"] for r in some]), np.array([r["n"] for r in some]), boxes, cls, part, threshold)
+        got |= set(zip(a.tolist(), b.tolist()))
+    hashes, bounds = alike.gram_hashes(texts)
+    assert np.diff(bounds).tolist() == [len(s) for s in sets]
+    assert (want or threshold == 1) and want <= got and len(got) < 0.2 * len(texts) ** 2 / 2
+
+
 def test_pipeline(spark):
     body = "The bank raised its savings account rate for every student loan and each pension. " * 3
     page = f"<html><body><article><p>{body}</p></article></body></html>"
