@@ -24,8 +24,8 @@ from docloom.session import settle, tidy
 GRAM, BITS, SPAN, AFTER = 5, 16, 64, 4
 #: Characters of texts that are hashed at once, pairs that are tested at once.
 PORTION = 1 << 20
-#: Texts that are compared with each other in one place, about; texts up to which the table of those wanted is sent to all tasks.
-LOT, FEW = 500, 200_000
+#: Pairs that are compared in one call, about, where places are small, and at most; pairs up to which the table of the texts wanted is sent to all tasks.
+LOT, MOST, FEW = 500, 200_000, 100_000
 _FACTORS = np.random.default_rng(20240517).integers(1, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KIND = np.dtype(f"uint{BITS}")
 SKETCHED = "cls int, part int, id bigint, n int, boxes binary"
@@ -129,6 +129,11 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Itera
             ], ["cls", "part", "id", "n", "boxes"])
 
 
+def distinct(parts: list[np.ndarray]) -> np.ndarray:
+    values = np.sort(np.concatenate(parts))
+    return values[np.concatenate([np.ones(min(len(values), 1), dtype=bool), values[1:] != values[:-1]])]
+
+
 def likely(ids: np.ndarray, sizes: np.ndarray, boxes: np.ndarray, cls: int, part: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of ids, the smaller first, that may be alike by the boxes of one part of one class."""
     steps = ladder(int(sizes.max()), threshold)
@@ -138,7 +143,7 @@ def likely(ids: np.ndarray, sizes: np.ndarray, boxes: np.ndarray, cls: int, part
     ids, sizes, boxes = ids[kept], sizes[kept].astype(np.int64), np.ascontiguousarray(boxes[kept].T)
     ranks = np.arange(len(ids), dtype=np.uint64)
     half = BITS // 2
-    found = np.zeros(0, dtype=np.int64)
+    found = [np.zeros(0, dtype=np.int64)]
     for start in range(min(SPAN, total - part * SPAN)):
         keys = [boxes[start].astype(np.uint64)]
         if len(boxes) > start + 1:
@@ -148,8 +153,10 @@ def likely(ids: np.ndarray, sizes: np.ndarray, boxes: np.ndarray, cls: int, part
         for nth, key in enumerate(keys):
             placed = np.sort(key << np.uint64(32) | ranks)
             order, key = (placed & np.uint64(0xFFFFFFFF)).astype(np.int64), placed >> np.uint64(32)
-            # Runs of equal keys, in them the sizes ascend: each with the next, then the next but one.
+            # Runs of equal keys, in them the sizes ascend, and the last is of this class: each with the next, then the next but one.
             at, step, held, some = np.flatnonzero(key[:-1] == key[1:]), 1, 0, []
+            last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+            at = at[sizes[order[last[np.searchsorted(last, at)]]] >= steps[cls]]
             while len(at):
                 at = at[sizes[order[at]] >= threshold * sizes[order[at + step]] - 1e-9]
                 mine = at[sizes[order[at + step]] >= steps[cls]]  # pairs of smaller ones are the class before's
@@ -165,9 +172,11 @@ def likely(ids: np.ndarray, sizes: np.ndarray, boxes: np.ndarray, cls: int, part
                 at = at[key[at] == key[at + step]]
                 if held > PORTION or not len(at):
                     a, b = (np.concatenate(x) for x in zip(*some))
-                    found = np.union1d(found, close(boxes[start:], sizes, a, b, total, threshold))
+                    found.append(close(boxes[start:], sizes, a, b, total, threshold))
                     held, some = 0, []
-    a, b = (ids[i] for i in np.divmod(found, max(len(ids), 1)))
+                    if sum(map(len, found[1:])) > PORTION + 2 * len(found[0]):
+                        found = [distinct(found)]
+    a, b = (ids[i] for i in np.divmod(distinct(found), max(len(ids), 1)))
     return np.minimum(a, b), np.maximum(a, b)
 
 
@@ -184,10 +193,24 @@ def close(boxes: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, to
     return a * len(sizes) + b
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    both = np.concatenate([a, b])
-    both.sort()
-    return int(np.count_nonzero(both[1:] == both[:-1]))
+def indices(a: np.ndarray, b: np.ndarray, ids: list[int], texts: list[str]) -> np.ndarray:
+    """The Jaccard index of each pair `a, b` of `ids`, whose `texts` are given; `a` ascends."""
+    parts = [gram_hashes(texts[p]) for p in portions(texts)]
+    starts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(bounds) for _, bounds in parts]))])
+    values, codes = np.unique(np.concatenate([hashes for hashes, _ in parts]), return_inverse=True)
+    order = np.argsort(ids)
+    a, b = (order[np.searchsorted(ids, x, sorter=order)] for x in (a, b))
+    marked, shared = np.zeros(len(values), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(a)) + 1, [len(a)]])
+    for first, end in zip(edges[:-1], edges[1:]):
+        own = codes[starts[a[first]] : starts[a[first] + 1]]
+        marked[own] = 1
+        for at in range(first, end, LOT):
+            others = b[at : min(at + LOT, end)]
+            bounds = np.concatenate([[0], np.cumsum(starts[others + 1] - starts[others])])
+            shared[at : at + len(others)] = np.add.reduceat(marked[np.concatenate([codes[starts[x] : starts[x + 1]] for x in others])], bounds[:-1])
+        marked[own] = 0
+    return shared / (starts[a + 1] - starts[a] + starts[b + 1] - starts[b] - shared)
 
 
 def links(texts: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
@@ -206,16 +229,9 @@ def links(texts: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
 
     def judge(pairs: pa.Table, held: pa.Table) -> pa.Table:
         text = dict(zip(held.column("id").to_pylist(), held.column("low").to_pylist()))
-        ids, lows, sets = list(text), list(text.values()), {}
-        for portion in portions(lows):
-            hashes, bounds = gram_hashes(lows[portion])
-            sets.update(zip(ids[portion], np.split(hashes, bounds[1:-1])))
-        made = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            shared = common(sets[a], sets[b])
-            if shared / (len(sets[a]) + len(sets[b]) - shared) >= threshold:
-                made.append((a, b))
-        return pa.table({"a": pa.array([x for x, _ in made], pa.int64()), "b": pa.array([x for _, x in made], pa.int64())})
+        pairs = pairs.sort_by("a")
+        index = indices(np.asarray(pairs.column("a")), np.asarray(pairs.column("b")), list(text), list(text.values()))
+        return pairs.select(["a", "b"]).filter(pa.array(index >= threshold))
 
     sketched = texts.select("id", "low").mapInArrow(lambda batches: sketch_batches(batches, threshold), SKETCHED)
     met = settle(sketched.groupBy("cls", "part").applyInArrow(meet, "a bigint, b bigint").distinct(), "met")
@@ -225,10 +241,14 @@ def links(texts: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     least = ways.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
     placed = met.join(least.withColumnRenamed("least", "la"), "a").join(least.select(F.col("a").alias("b"), F.col("least").alias("lb")), "b")
     placed = settle(placed.select("a", "b", F.least("la", "lb").alias("place")), "places")
-    needed = placed.select("place", F.explode(F.array("a", "b")).alias("id")).distinct()
-    count = needed.count()
-    lot = F.pmod(F.xxhash64("place"), F.lit(count // LOT + 1))
-    wanted = needed.select("id", lot.alias("lot")).distinct().join(firsts, "id")
-    held = texts.join(F.broadcast(wanted) if count <= FEW else wanted, ["id", "doc_id"]).select("lot", "id", "low")
-    pairs = placed.select(lot.alias("lot"), "a", "b")
-    return settle(pairs.groupBy("lot").cogroup(held.groupBy("lot")).applyInArrow(judge, "a bigint, b bigint"), "links")
+    # A place of many pairs is cut into blocks, so many of texts by so many.
+    cuts = placed.groupBy("place").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / MOST)).cast("int").alias("cuts"))
+    total = placed.count()
+    cut = [F.pmod(F.xxhash64(c), F.col("cuts")) for c in ("a", "b")]
+    lot = F.pmod(F.xxhash64("place", *cut), F.lit(total // LOT + 1))
+    pairs = settle(placed.join(cuts, "place").select(lot.alias("lot"), "a", "b"), "pairs")
+    tidy(spark)
+    wanted = pairs.select("lot", F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = (F.broadcast(wanted) if total <= FEW else wanted).join(firsts, "id")
+    held = texts.join(F.broadcast(wanted) if total <= FEW else wanted, ["id", "doc_id"]).select(F.col("lot").alias("at"), "id", "low")
+    return settle(pairs.groupBy("lot").cogroup(held.groupBy("at")).applyInArrow(judge, "a bigint, b bigint"), "links")

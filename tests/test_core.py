@@ -220,6 +220,18 @@ def test_alike_texts_keep_no_sets(spark):
     assert changed and all(got[i] == (i, 1) and got[400 + i] == (400 + i, 1) for i in changed) and len(got) == 100
 
 
+def test_alike_texts_of_one_family(spark, monkeypatch):
+    monkeypatch.setattr(alike, "MOST", 40)
+    rng = random.Random(13)
+    page = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    texts = [page[:k] + rng.choice("xyz") * rng.randrange(1, 9) + page[k:] for k in (rng.randrange(400) for _ in range(60))]
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    want = {i: sum(len(s & o) / len(s | o) >= 0.95 for j, o in enumerate(sets) if j != i) for i, s in enumerate(sets)}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len(set(texts)) == 60 and 0 < sum(want.values()) < 60 * 59
+    assert {r.doc_id: r.n_links for r in dedup.alike_texts(frame, 0.95).collect()} == {i: n for i, n in want.items() if n}
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.85, 1.0])
 def test_likely_pairs_hold_all_alike(threshold):
     rng = random.Random(12)
